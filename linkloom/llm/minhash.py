@@ -5,11 +5,12 @@ equal sets are one node. The work then runs over nodes:
 
 1. Universal hash minima over each set, cut into bands; two sets of similarity s share a band with probability
    1 - (1 - s^rows)^bands, which leaves out 2 of a million links at s = 0.75 and fewer above.
-2. Within every band key the least node is compared with all others: one row per member, however large the group is.
-   Candidates whose sizes or signatures rule out the similarity go; the others are held against each other on full sets.
-3. Confirmed links give components (alternating large-star and small-star). Key groups that still hold several components
-   are taken up again with another centre, until comparing all remaining members of different components costs no more
-   than the rounds did; then all these pairs are compared. No link between different components is left untested.
+2. In every large group of nodes with a band key, one centre is compared with all others: one row per member, however large
+   the group is. Pairs whose sizes or signatures rule out the similarity go; the others are held against each other on full
+   sets. Confirmed links give components (alternating large-star and small-star). A few rounds, each with other centres,
+   join nearly all that belongs together.
+3. What is left are pairs of one group in different components. All of them are tested: in small groups by a join, in
+   large groups block against block. No candidate pair of different components is left out.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are components of their own.
 Rows that share a doc_id are one component if any of their texts links, and each keeps its own row.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,93 +121,134 @@ def agreeing(pairs: DataFrame, least_share: float) -> DataFrame:
     return map_batches(pairs.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, words_in: int, percent: int) -> DataFrame:
-    """Edges (u, v) of pairs whose full sets reach the similarity; text_a and text_b must be those of the nodes a and b."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words_in: int) -> DataFrame:
+    """(node, items) with the sorted shingle hashes of each wanted node; wanted: node, rep (the doc_id of a row with that set)."""
+    found = wanted.select("node", F.col("rep").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
 
     def make():
         hashes = WordHashes()
 
         def call(batch: dict) -> dict:
-            out, sets = {"u": [], "v": []}, {}
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                if a not in sets:  # rows of a centre mostly come together
-                    sets = {a: shingle_set(x, words_in, hashes)}
-                left, right = sets[a], shingle_set(y, words_in, hashes)
-                if node_of(right) != b or node_of(left) != a:  # another row with the same doc_id
-                    continue
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * both >= percent * (len(left) + len(right) - both):
+            out = {"node": [], "items": []}
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                s = shingle_set(text, words_in, hashes)
+                if node_of(s) == node:  # else another row with the same doc_id
+                    out["node"].append(node)
+                    out["items"].append(s.tobytes())
+            return out
+
+        return call
+
+    return map_batches(found, make, "node long, items binary").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) of the pairs (a, b) whose full sets reach the similarity."""
+    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
+    both = right.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+
+    def make():
+        def call(batch: dict) -> dict:
+            out = {"u": [], "v": []}
+            for a, b, x, y in zip(batch["a"], batch["b"], batch["items_a"], batch["items_b"], strict=True):
+                left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(left, right, assume_unique=True))
+                if 100 * same >= percent * (len(left) + len(right) - same):
                     out["u"].append(a)
                     out["v"].append(b)
             return out
 
         return call
 
-    return map_batches(pairs.select("a", "b", "text_a", "text_b"), make, "u long, v long")
+    return map_batches(both.select("a", "b", "items_a", "items_b"), make, "u long, v long")
+
+
+def pairs_in_blocks(members: DataFrame, percent: int, min_agreement: float, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of members of a large key group that may link: of different labels, fitting sizes and agreeing signatures.
+
+    members: k, c (size of the group), node, n, label, keys, sig. A group is dealt into blocks and each pair of blocks is a
+    task's group of at most about 2 x block rows; a pair of nodes comes out of the first band that they share only.
+    """
+    nb = F.ceil(F.col("c") / block).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "k"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
+    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "keys", "sig")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["own", "node"])
+        k, within = pdf["k"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        own, node, n, label = (pdf[c].to_numpy() for c in ("own", "node", "n", "label"))
+        sig, keys = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sig"]]), np.stack(pdf["keys"].to_list())
+        a, b = [], []
+        for x in range(len(pdf)):
+            rest = np.arange(x + 1, len(pdf)) if within else np.arange(max(x + 1, np.searchsorted(own, own[x], "right")), len(pdf))
+            rest = rest[label[rest] != label[x]]
+            rest = rest[100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])]
+            rest = rest[(sig[rest] == sig[x]).mean(1) >= min_agreement] if len(rest) else rest
+            if len(rest):
+                equal = keys[rest] == keys[x]
+                rest = rest[keys[x][equal.argmax(1)] == k]
+                a += [node[x]] * len(rest)
+                b += node[rest].tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(
-    docs: DataFrame, words_in: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, min_agreement: float = 0.6, pairs_per_member: float = 4.0
+    docs: DataFrame, words_in: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, min_agreement: float = 0.62, star_rounds: int = 4, large: int = 32
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
-    min_agreement is the share of equal minima below which a pair is ruled out: more than five standard deviations under
-    0.75 with 240 minima. pairs_per_member says when the remaining pairs of a key group are compared at once.
+    min_agreement is the share of equal minima below which a pair is ruled out: 4.7 standard deviations under 0.75 with 240
+    minima. Key groups of more than large members are first thinned by star_rounds rounds with one centre each.
     """
     signed = materialise(signatures(docs, words_in, bands, rows), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    exploded = signed.where("node is not null").select(F.explode("keys").alias("k"), "node", F.col("n_shingles").alias("n"))
+    some = signed.where("node is not null")
+    exploded = some.select(F.explode("keys").alias("k"), "node", F.col("n_shingles").alias("n"))
     shared_keys = exploded.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("k")
     members = materialise(exploded.join(shared_keys, "k").distinct(), "members")
-    sigs = signed.where("node is not null").select("node", "doc_id", "sig").join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).select("node", "sig").dropDuplicates(["node"])
-    texts = docs.select("doc_id", "text")
-    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        pairs = materialise(agreeing(pairs, min_agreement), "pairs")
-        reps = materialise(nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node"), "reps")
-        sources = reps.join(texts, reps["rep"] == texts["doc_id"]).select("node", "text")
-        right = pairs.join(sources.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = right.join(sources.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        return materialise(confirmed(both, words_in, percent), "links")
-
-    labels = members.select("node", F.col("node").alias("label")).distinct()
-    open_members, settled = members, None
-    while True:
-        labelled = open_members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        per_label = labelled.groupBy("k", "label").agg(F.count("*").alias("n_l"))
-        per_key = per_label.groupBy("k").agg(F.sum("n_l").alias("n_k"), F.count("*").alias("n_labels"), F.sum(F.col("n_l") * F.col("n_l")).alias("sq")).where("n_labels > 1")
-        labelled = materialise(labelled.join(per_key.select("k"), "k"), "labelled")
-        todo = per_key.agg(F.coalesce(F.sum("n_k"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("n_k") * F.col("n_k") - F.col("sq")) / 2), F.lit(0.0)).alias("pairs")).first()
-        if not todo["rows"]:
-            break
-        last = todo["pairs"] <= pairs_per_member * todo["rows"]
-        found = links(_pairs_of(labelled) if last else _centres_of(labelled))
-        edges = found.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v")
-        moved = components(edges.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-        labels = materialise(labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        if last:
-            break
-        centres = labelled.groupBy("k").agg(F.min("node").alias("node"))
-        open_members = labelled.drop("label").join(centres, ["k", "node"], "left_anti")
+    sizes = members.groupBy("k").agg(F.count("*").alias("c"))
+    wanted = materialise(some.groupBy("node").agg(F.min("doc_id").alias("rep")).join(members.select("node").distinct(), "node"), "wanted")
+    sets = materialise(full_sets(docs, wanted, words_in), "sets")
+    sigs = materialise(some.select("node", "keys", "sig", F.col("doc_id").alias("rep")).join(wanted, ["node", "rep"]).drop("rep").dropDuplicates(["node"]), "sigs")
+
+    def agree(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+        return agreeing(pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b"), min_agreement)
+
+    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Labels after the links among the pairs."""
+        found = confirmed(pairs, sets, percent)
+        for end in "uv":
+            found = found.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
+        moved = components(found.select(F.col("lu").alias("u"), F.col("lv").alias("v"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+    labels = wanted.select("node", F.col("node").alias("label"))
+    crowded = materialise(members.join(sizes.where(F.col("c") > large), "k"), "crowded")
+    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    if not crowded.isEmpty():
+        for turn in range(star_rounds):
+            here = crowded.join(labels, "node")
+            centres = here.groupBy("k").agg(F.min(F.struct(F.xxhash64("node", "k", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("c")).select("k", "c.a", "c.na", "c.la")
+            stars = here.join(centres, "k").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "na", F.col("n").alias("nb"))
+            labels = joined(labels, agree(stars.where(fits).select("a", "b").distinct()))
+
+    here = members.join(labels, "node")
+    mixed = here.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("k", "c")
+    here = materialise(here.join(mixed, "k"), "mixed")
+    few = here.where(F.col("c") <= large)
+    x = few.select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = few.select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = agree(x.join(y, "k").where(f"a < b and la <> lb and {fits}").select("a", "b").distinct())
+    many = here.where(F.col("c") > large).join(sigs, "node")
+    pairs = materialise(pairs.union(pairs_in_blocks(many, percent, min_agreement)).distinct(), "pairs")
+    labels = joined(labels, pairs)
 
     placed = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return _finish(placed)
 
 
-def _centres_of(labelled: DataFrame) -> DataFrame:
-    centres = labelled.groupBy("k").agg(F.min(F.struct("node", "n", "label")).alias("c"))
-    return labelled.join(centres, "k").where("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-
-
-def _pairs_of(labelled: DataFrame) -> DataFrame:
-    x = labelled.select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = labelled.select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    return x.join(y, "k").where("la <> lb and a < b")
-
-
 def _finish(placed: DataFrame) -> DataFrame:
     """Component labels to least doc_ids. A doc_id that stands in several components joins them."""
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
