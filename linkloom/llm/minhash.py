@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,25 +122,53 @@ def agreeing(pairs: DataFrame, least_share: float) -> DataFrame:
     return map_batches(pairs.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
 
 
+def id_bits(doc_ids: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (doc_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def bitmap_of(wanted: DataFrame, bits: int):
+    """A broadcast bitmap of the hashes of the doc_ids in column rep: 2^bits bits, however many there are."""
+
+    def make():
+        def call(batch: dict) -> dict:
+            h = id_bits(np.array(batch["rep"], np.int64), bits)
+            return {"w": (h >> np.uint64(6)).astype(np.int64), "b": (np.uint64(1) << (h & np.uint64(63))).astype(np.int64)}
+
+        return call
+
+    words = map_batches(wanted.select(F.coalesce("rep", F.lit(0)).alias("rep")), make, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint64)
+    return wanted.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(df: DataFrame, bitmap, bits: int) -> DataFrame:
+    """The rows whose doc_id may be in the bitmap; a join takes the others out. It saves shuffling rows that nothing wants."""
+
+    def run(batches):
+        words = bitmap.value
+        for batch in batches:
+            h = id_bits(batch.column("doc_id").fill_null(0).to_numpy(), bits)
+            found = (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
+            yield batch.filter(pa.array(found.astype(bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, words_in: int) -> DataFrame:
-    """(node, items) with the sorted shingle hashes of each wanted node; wanted: node, rep (the doc_id of a row with that set)."""
-    found = wanted.select("node", F.col("rep").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
+    """(node, items) with the sorted shingle hashes of the wanted nodes. docs: rows among which theirs are."""
 
     def make():
         hashes = WordHashes()
 
         def call(batch: dict) -> dict:
-            out = {"node": [], "items": []}
-            for node, text in zip(batch["node"], batch["text"], strict=True):
-                s = shingle_set(text, words_in, hashes)
-                if node_of(s) == node:  # else another row with the same doc_id
-                    out["node"].append(node)
-                    out["items"].append(s.tobytes())
-            return out
+            found = [s for text in batch["text"] if len(s := shingle_set(text, words_in, hashes))]
+            return {"node": [node_of(s) for s in found], "items": [s.tobytes() for s in found]}
 
         return call
 
-    return map_batches(found, make, "node long, items binary").dropDuplicates(["node"])
+    return map_batches(docs.select("doc_id", "text"), make, "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,39 +192,58 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "items_a", "items_b"), make, "u long, v long")
 
 
-def pairs_in_blocks(members: DataFrame, percent: int, min_agreement: float, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of members of a large key group that may link: of different labels, fitting sizes and agreeing signatures.
+def links_in_blocks(members: DataFrame, percent: int, min_agreement: float, block: int = 512) -> DataFrame:
+    """Links (u, v) between members of a large key group that have different labels; of each two labels in a task only one.
 
-    members: k, c (size of the group), node, n, label, keys, sig. A group is dealt into blocks and each pair of blocks is a
-    task's group of at most about 2 x block rows; a pair of nodes comes out of the first band that they share only.
+    members: k, node, n, label, main (has the most frequent label of the group), n_main, n_rest, keys, sig, items. A group is
+    dealt into blocks of main and of other rows, and each two blocks that aren't both main are a task's group of about
+    2 x block rows at most. A pair of nodes is tested in the first band that they share only.
     """
-    nb = F.ceil(F.col("c") / block).cast("int")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "k"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "keys", "sig")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    h = F.xxhash64("node", "k")
+    own = F.when(F.col("main"), blocks("n_rest") + F.pmod(h, blocks("n_main"))).otherwise(F.pmod(h, blocks("n_rest"))).cast("int")
+    last = F.when(F.col("main"), blocks("n_rest") - 1).otherwise(blocks("n_rest") + blocks("n_main") - 1)
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "keys", "sig", "items")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["own", "node"])
         k, within = pdf["k"].iloc[0], pdf["i"].iloc[0] == pdf["j"].iloc[0]
         own, node, n, label = (pdf[c].to_numpy() for c in ("own", "node", "n", "label"))
         sig, keys = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sig"]]), np.stack(pdf["keys"].to_list())
-        a, b = [], []
+        items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
+        joined: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        u, v = [], []
         for x in range(len(pdf)):
-            rest = np.arange(x + 1, len(pdf)) if within else np.arange(max(x + 1, np.searchsorted(own, own[x], "right")), len(pdf))
+            rest = np.arange(x + 1 if within else max(x + 1, np.searchsorted(own, own[x], "right")), len(pdf))
             rest = rest[label[rest] != label[x]]
             rest = rest[100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])]
-            rest = rest[(sig[rest] == sig[x]).mean(1) >= min_agreement] if len(rest) else rest
             if len(rest):
-                equal = keys[rest] == keys[x]
-                rest = rest[keys[x][equal.argmax(1)] == k]
-                a += [node[x]] * len(rest)
-                b += node[rest].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                rest = rest[(sig[rest] == sig[x]).mean(1) >= min_agreement]
+            if len(rest):
+                rest = rest[keys[x][(keys[rest] == keys[x]).argmax(1)] == k]
+            for y in rest.tolist():
+                p, q = top(label[x]), top(label[y])
+                if p == q:
+                    continue
+                same = len(np.intersect1d(items[x], items[y], assume_unique=True))
+                if 100 * same >= percent * (len(items[x]) + len(items[y]) - same):
+                    joined[p] = q
+                    u.append(node[x])
+                    v.append(node[y])
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(
-    docs: DataFrame, words_in: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, min_agreement: float = 0.62, star_rounds: int = 4, large: int = 32
+    docs: DataFrame, words_in: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, min_agreement: float = 0.62, star_rounds: int = 3, large: int = 32, filter_bits: int = 24
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -209,16 +257,17 @@ def near_duplicates(
     members = materialise(exploded.join(shared_keys, "k").distinct(), "members")
     sizes = members.groupBy("k").agg(F.count("*").alias("c"))
     wanted = materialise(some.groupBy("node").agg(F.min("doc_id").alias("rep")).join(members.select("node").distinct(), "node"), "wanted")
-    sets = materialise(full_sets(docs, wanted, words_in), "sets")
-    sigs = materialise(some.select("node", "keys", "sig", F.col("doc_id").alias("rep")).join(wanted, ["node", "rep"]).drop("rep").dropDuplicates(["node"]), "sigs")
+    bitmap = bitmap_of(wanted, filter_bits)
+    sets = materialise(full_sets(in_bitmap(docs.select("doc_id", "text"), bitmap, filter_bits), wanted, words_in), "sets")
+    sigs = in_bitmap(some.select("doc_id", "node", "keys", "sig"), bitmap, filter_bits)
+    sigs = materialise(sigs.join(wanted.select("node"), "node", "left_semi").drop("doc_id").dropDuplicates(["node"]), "sigs")
 
     def agree(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
         return agreeing(pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b"), min_agreement)
 
-    def joined(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Labels after the links among the pairs."""
-        found = confirmed(pairs, sets, percent)
+    def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+        """Labels after the links (u, v)."""
         for end in "uv":
             found = found.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
         moved = components(found.select(F.col("lu").alias("u"), F.col("lv").alias("v"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
@@ -232,18 +281,22 @@ def near_duplicates(
             here = crowded.join(labels, "node")
             centres = here.groupBy("k").agg(F.min(F.struct(F.xxhash64("node", "k", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("c")).select("k", "c.a", "c.na", "c.la")
             stars = here.join(centres, "k").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "na", F.col("n").alias("nb"))
-            labels = joined(labels, agree(stars.where(fits).select("a", "b").distinct()))
+            labels = joined(labels, confirmed(agree(stars.where(fits).select("a", "b").distinct()), sets, percent))
 
     here = members.join(labels, "node")
-    mixed = here.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("k", "c")
-    here = materialise(here.join(mixed, "k"), "mixed")
+    by_label = here.groupBy("k", "label").agg(F.count("*").alias("m"))
+    mixed = by_label.groupBy("k").agg(F.sum("m").alias("c"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    here = here.join(mixed.select("k", "c", F.col("most.m").alias("n_main"), (F.col("c") - F.col("most.m")).alias("n_rest"), F.col("most.label").alias("main_label")), "k")
+    here = materialise(here.withColumn("main", F.col("label") == F.col("main_label")).drop("main_label"), "mixed")
     few = here.where(F.col("c") <= large)
     x = few.select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = few.select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     pairs = agree(x.join(y, "k").where(f"a < b and la <> lb and {fits}").select("a", "b").distinct())
-    many = here.where(F.col("c") > large).join(sigs, "node")
-    pairs = materialise(pairs.union(pairs_in_blocks(many, percent, min_agreement)).distinct(), "pairs")
-    labels = joined(labels, pairs)
+    found = confirmed(pairs, sets, percent)
+    many = here.where(F.col("c") > large)
+    if not many.isEmpty():
+        found = found.union(links_in_blocks(many.join(sigs, "node").join(sets, "node"), percent, min_agreement))
+    labels = joined(labels, materialise(found, "links"))
 
     placed = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return _finish(placed)
