@@ -12,4 +12,4 @@ def score_arriving(records: DataFrame, tokens: Column, index: DataFrame) -> Data
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, size: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
