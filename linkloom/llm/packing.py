@@ -9,8 +9,10 @@ Defined results: a null or empty text is one piece of length 1 (its end id). Rep
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -64,18 +66,79 @@ class BestFit:
         return at, self.capacity - c
 
 
+COMMON_SPACE = re.compile(r"[ \t\n\r]+")
+OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+
+
+class PieceIds(dict):
+    """Piece of the pre-tokeniser (normalised, without white space) to its ids as little-endian 32-bit bytes.
+
+    The merges of the vocabulary run in tiktoken's engine, which knows single bytes only. A symbol, a byte inside or at the
+    end of a piece, is therefore written as two bytes: 0xFE or 0xFF, which UTF-8 never holds, and the byte itself; these
+    pairs merge before all others.
+    """
+
+    def __init__(self, spec: dict, room: int):
+        import tiktoken
+
+        super().__init__()
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+        vocabulary = spec["model"]["vocab"]
+        end = spec["model"]["end_of_word_suffix"]
+        written = {shown[b]: bytes((0xFE, b)) for b in range(256)} | {shown[b] + end: bytes((0xFF, b)) for b in range(256)}
+        ranks = {data: vocabulary[symbol] for symbol, data in written.items()}
+        for pair in spec["model"]["merges"]:
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            written[left + right] = written[left] + written[right]
+            ranks[written[left + right]] = vocabulary[left + right]
+        if list(ranks.values())[512:] != sorted(list(ranks.values())[512:]) or max(list(ranks.values())[:512]) > 511:
+            raise ValueError("the ids do not follow the merges")
+        free = max(vocabulary.values()) + 1  # single bytes must be known, but none ever stays
+        ranks |= {bytes((b,)): free + b for b in range(256)}
+        self.engine, self.room = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={}), room
+
+    def __missing__(self, piece: str) -> bytes:
+        data = piece.encode()
+        pairs = bytearray(b"\xfe\x00") * len(data)
+        pairs[1::2] = data
+        pairs[-2] = 0xFF
+        ids = np.array(self.engine._encode_single_piece(bytes(pairs)), "<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) > self.room:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class ChunkIds(dict):
-    """White-space separated chunk to its ids as little-endian 32-bit bytes. The vocabulary never merges over white space."""
+    """White-space separated chunk to its ids as little-endian 32-bit bytes. The vocabulary never merges over white space.
 
-    def __init__(self, path: str, room: int = 300_000):
+    A chunk whose normal form Python can tell is cut into pieces here; any other goes through the tokenizer itself.
+    """
+
+    def __init__(self, path: str, room: int = 800_000):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path) as f:
+            spec = json.load(f)
+        self.pieces = PieceIds(spec, room)
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        small = chunk.lower()
+        # Python lowers a sigma at the end of a word in its own way; marks may compose anew once their letter is small.
+        plain = not OTHER_SPACE.search(chunk) and (chunk.isascii() or "\u03a3" not in chunk and is_normalized("NFC", chunk) and is_normalized("NFC", small))
+        if plain:
+            ids = b"".join(map(self.pieces.__getitem__, self.split(small)))
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:  # longer ones hardly come again
             self[chunk] = ids
         return ids
@@ -83,6 +146,8 @@ class ChunkIds(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > self.room:
             self.clear()
+        if OTHER_SPACE.search(text):  # str.split would cut more than the tokenizer does
+            return b"".join(b"".join(map(self.__getitem__, filter(None, COMMON_SPACE.split(block)))) for block in blocks(text))
         return b"".join(b"".join(map(self.__getitem__, block.split())) for block in blocks(text))
 
 
