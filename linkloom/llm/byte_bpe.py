@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
-Leaf i of the tree holds the rank of the pair that starts at byte i and inner nodes hold the smaller of their children; the
-root thus has the least rank, and the descent that prefers left finds its leftmost place. A merge changes at most three
-leaves: its own, its live left neighbour's and that of the part it swallows.
+Leaf i of the tree holds the rank of the pair that starts at byte i, with i behind it, and inner nodes hold the smaller of
+their children; the root thus is the leftmost pair of the least rank. A merge changes at most three leaves: its own, its
+live left neighbour's and that of the part it swallows.
 
 Defined results: a null text counts as empty: no ids, and the hashes of the empty string. Repeated rows get equal results.
 """
@@ -26,65 +26,66 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of one match of the pattern."""
     if (whole := ranks.get(piece)) is not None:
-        return [whole]
-    n = len(piece)
+        return (whole,)
+    n, get = len(piece), ranks.get
     size = 1 << max(1, n - 1).bit_length()
     end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends
     before = list(range(-1, n - 1))  # before[i]: where the part to its left starts
+    # A node holds rank * 2^32 + place, so that the least is the leftmost of the least rank and tells its place.
     tree = [NONE] * (2 * size)
     for i in range(n - 1):
-        tree[size + i] = ranks.get(piece[i : i + 2], NONE)
+        if (rank := get(piece[i : i + 2])) is not None:
+            tree[size + i] = rank << 32 | i
     for i in range(size - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
-
-    def put(i: int, rank: int) -> None:
-        i += size
-        tree[i] = rank
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a <= b else b
-            if tree[i] == least:
-                break
-            tree[i] = least
-            i >>= 1
-
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
     while (least := tree[1]) < NONE:
-        i = 1
-        while i < size:
-            i = 2 * i if tree[2 * i] == least else 2 * i + 1
-        i -= size
+        i = least & 0xFFFFFFFF
         gone = end[i]
-        end[i] = end[gone]
-        put(gone, NONE)
-        if end[i] < n:
-            before[end[i]] = i
-            put(i, ranks.get(piece[i : end[end[i]]], NONE))
-        else:
-            put(i, NONE)
+        stop = end[i] = end[gone]
+        rank = None
+        if stop < n:
+            before[stop] = i
+            rank = get(piece[i : end[stop]])
+        changed = [(gone, NONE), (i, NONE if rank is None else rank << 32 | i)]
         if (left := before[i]) >= 0:
-            put(left, ranks.get(piece[left : end[i]], NONE))
+            rank = get(piece[left:stop])
+            changed.append((left, NONE if rank is None else rank << 32 | left))
+        for at, value in changed:
+            at += size
+            if tree[at] == value:
+                continue
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
         i = end[i]
-    return ids
+    return tuple(ids)
 
 
 class Coder:
     """Encoder with the ids of recent matches kept, and decoder."""
 
-    def __init__(self, path: str, pattern: str, room: int = 300_000):
+    def __init__(self, path: str, pattern: str, room: int = 800_000):
         import regex
 
         self.ranks, self.pattern, self.room = read_ranks(path), regex.compile(pattern), room
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.kept: dict[str, list[int]] = {}
+        self.decimal = {rank: str(rank) for rank in self.tokens}
+        self.kept: dict[str, tuple[int, ...]] = {}
 
-    def of_match(self, match: str) -> list[int]:
+    def of_match(self, match: str) -> tuple[int, ...]:
         ids = self.kept.get(match)
         if ids is None:
             ids = merge(match.encode(), self.ranks)
@@ -118,7 +119,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
             for text in batch["text"]:
                 ids = bpe.encode(text or "")
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 if with_ids:
                     out["ids"].append(ids)
