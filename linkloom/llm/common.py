@@ -74,3 +74,21 @@ def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int, cap: int = 100_000) -> DataFrame:
+    """The rows of a stored table whose count n is so high that no more than limit rows have it or more.
+
+    A histogram of the counts, of at most cap rows, gives the least count; rows that tie there stay or go together. Sorting
+    would send limit rows of every task to the driver.
+    """
+    histogram = counts.groupBy(F.least(F.col(n), F.lit(cap)).alias("c")).agg(F.count("*").alias("rows")).collect()
+    least, held = cap + 1, 0
+    for c, rows in sorted(((r["c"], r["rows"]) for r in histogram), reverse=True):
+        held += rows
+        if held > limit:
+            break
+        least = c
+    if least > cap:  # more than limit rows reach the cap
+        return counts.where(F.col(n) >= cap).orderBy(F.desc(n), *[c for c in counts.columns if c != n]).limit(limit)
+    return counts.where(F.col(n) >= least)

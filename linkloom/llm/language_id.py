@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import blocks, map_batches
+from linkloom.llm.common import blocks, map_batches, materialise, most_frequent
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")  # runs of letters
@@ -117,7 +117,7 @@ def train(docs: DataFrame, max_rows_per_language: int = 20_000, max_words: int =
     """Fits the model on rows (text, lang) with a language.
 
     The fit is bounded by two parameters: about max_rows_per_language whole texts of each language, chosen by a hash of the
-    text, are counted in Spark, and the max_words most frequent (language, word) pairs reach the driver.
+    text, are counted in Spark, and of the (language, word) pairs at most the max_words most frequent reach the driver.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
@@ -140,7 +140,7 @@ def train(docs: DataFrame, max_rows_per_language: int = 20_000, max_words: int =
         return call
 
     counts = map_batches(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()
+    top = most_frequent(materialise(counts, "word-counts"), "n", max_words).collect()
     return WordBackoff([(r["lang"], r["word"], r["n"]) for r in top])
 
 
