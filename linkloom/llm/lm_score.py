@@ -1,8 +1,8 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
 Both are bigram models with the same vocabulary, order and smoothing; the target model counts the documents of the target
-set, the background model all documents. All counts are exact sums over whole texts; the vocabulary keeps the max_words most
-frequent words, and of the bigrams over it the max_bigrams most frequent are kept as such; others back off to unigrams.
+set, the background model all documents. All counts are exact sums over whole texts; the vocabulary keeps at most the max_words
+most frequent words, and of the bigrams over it at most the max_bigrams most frequent are kept; others back off to unigrams.
 
 Defined results: a text without words has no tokens and null losses and score. With an empty target set the target model is
 uniform over the vocabulary. Repeated rows get equal results.
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import blocks, map_batches, materialise
+from linkloom.llm.common import blocks, map_batches, materialise, most_frequent
 
 
 class Bigrams:
@@ -44,11 +44,15 @@ def words_of(text: str | None):
         yield block.encode().lower().split()
 
 
-def _counted(docs: DataFrame, flags: str, make, key: str) -> DataFrame:
-    return map_batches(docs, make, f"k {key}, n long").groupBy("k").agg(F.sum("n").alias(flags))
+def _counted(docs: DataFrame, target: DataFrame, make, key: str) -> DataFrame:
+    """Counts (k, background, target) over all documents and over the target set, in one aggregate."""
+    both = [map_batches(df.select("text"), make, f"k {key}, n long") for df in (docs, target)]
+    zero = F.lit(0).cast("long")
+    rows = both[0].select("k", F.col("n").alias("background"), zero.alias("target")).union(both[1].select("k", zero, "n"))
+    return rows.groupBy("k").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def word_counts(docs: DataFrame, name: str) -> DataFrame:
+def word_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
     def make():
         def call(batch: dict) -> dict:
             found: Counter = Counter()
@@ -59,10 +63,10 @@ def word_counts(docs: DataFrame, name: str) -> DataFrame:
 
         return call
 
-    return _counted(docs.select("text"), name, make, "binary")
+    return _counted(docs, target, make, "binary")
 
 
-def bigram_counts(docs: DataFrame, name: str, vocabulary) -> DataFrame:
+def bigram_counts(docs: DataFrame, target: DataFrame, vocabulary) -> DataFrame:
     """Counts of pairs of vocabulary words; pairs with a word outside it aren't counted. vocabulary: a broadcast dict."""
 
     def make():
@@ -79,7 +83,7 @@ def bigram_counts(docs: DataFrame, name: str, vocabulary) -> DataFrame:
 
         return call
 
-    return _counted(docs.select("text"), name, make, "long")
+    return _counted(docs, target, make, "long")
 
 
 def ids_of(text: str | None, known: dict[bytes, int]) -> np.ndarray:
@@ -87,18 +91,17 @@ def ids_of(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def fit(docs: DataFrame, target: DataFrame, max_words: int = 50_000, max_bigrams: int = 400_000, weight: float = 0.6, smoothing: float = 0.5):
+def fit(docs: DataFrame, target: DataFrame, max_words: int = 20_000, max_bigrams: int = 400_000, weight: float = 0.6, smoothing: float = 0.5):
     """(vocabulary, target model, background model), fitted on the column text of the two frames."""
     spark = docs.sparkSession
     names = ("background", "target")
-    counts = word_counts(docs, "background").join(word_counts(target, "target"), "k", "left").fillna(0)
-    counts = materialise(counts, "word-counts")
+    counts = materialise(word_counts(docs, target), "word-counts")
     totals = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    top = counts.orderBy(F.desc("background"), "k").limit(max_words).collect()
+    top = sorted(most_frequent(counts, "background", max_words).collect(), key=lambda r: (-r["background"], r["k"]))
     known = {bytes(r["k"]): i + 1 for i, r in enumerate(top)}
-    shared = spark.sparkContext.broadcast(known)  # max_words entries
-    pairs = bigram_counts(docs, "background", shared).join(bigram_counts(target, "target", shared), "k", "left").fillna(0)
-    kept = pairs.orderBy(F.desc("background"), "k").limit(max_bigrams).toPandas().sort_values("k")
+    shared = spark.sparkContext.broadcast(known)  # at most max_words entries
+    pairs = materialise(bigram_counts(docs, target, shared), "bigram-counts")
+    kept = most_frequent(pairs, "background", max_bigrams).toPandas().sort_values("k")
     models = []
     for n in names:
         unigrams = np.array([0, *(r[n] for r in top)], np.float64)
@@ -139,5 +142,5 @@ def score(docs: DataFrame, vocabulary, target: Bigrams, background: Bigrams) ->
 def difference(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Scores all documents against the target set: documents with a label of quality 1."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    target = docs.join(good, "doc_id", "left_semi")
+    target = materialise(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), "target")
     return score(docs, *fit(docs, target, **options))
