@@ -22,11 +22,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import map_batches, materialise
+from linkloom.llm.common import bitmap_of, in_bitmap, map_batches, materialise
 from linkloom.llm.components import components
 
 
@@ -122,40 +121,6 @@ def agreeing(pairs: DataFrame, least_share: float) -> DataFrame:
     return map_batches(pairs.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
 
 
-def id_bits(doc_ids: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (doc_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-
-
-def bitmap_of(wanted: DataFrame, bits: int):
-    """A broadcast bitmap of the hashes of the doc_ids in column rep: 2^bits bits, however many there are."""
-
-    def make():
-        def call(batch: dict) -> dict:
-            h = id_bits(np.array(batch["rep"], np.int64), bits)
-            return {"w": (h >> np.uint64(6)).astype(np.int64), "b": (np.uint64(1) << (h & np.uint64(63))).astype(np.int64)}
-
-        return call
-
-    words = map_batches(wanted.select(F.coalesce("rep", F.lit(0)).alias("rep")), make, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint64)
-    return wanted.sparkSession.sparkContext.broadcast(out)
-
-
-def in_bitmap(df: DataFrame, bitmap, bits: int) -> DataFrame:
-    """The rows whose doc_id may be in the bitmap; a join takes the others out. It saves shuffling rows that nothing wants."""
-
-    def run(batches):
-        words = bitmap.value
-        for batch in batches:
-            h = id_bits(batch.column("doc_id").fill_null(0).to_numpy(), bits)
-            found = (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(found.astype(bool)))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, words_in: int) -> DataFrame:
     """(node, items) with the sorted shingle hashes of the wanted nodes. docs: rows among which theirs are."""
 
