@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import blocks, map_batches, materialise, most_frequent
+from linkloom.llm.common import bitmap_of, blocks, in_bitmap, map_batches, materialise, most_frequent
 
 
 class Bigrams:
@@ -142,5 +142,7 @@ def score(docs: DataFrame, vocabulary, target: Bigrams, background: Bigrams) ->
 def difference(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Scores all documents against the target set: documents with a label of quality 1."""
     good = labels.where("quality = 1").select("doc_id").distinct()
-    target = materialise(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), "target")
+    bits = 24
+    likely = in_bitmap(docs.select("doc_id", "text"), bitmap_of(good.withColumnRenamed("doc_id", "rep"), bits), bits)
+    target = materialise(likely.join(good, "doc_id", "left_semi"), "target")
     return score(docs, *fit(docs, target, **options))
