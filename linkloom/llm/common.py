@@ -116,14 +116,17 @@ def bitmap_of(wanted: DataFrame, bits: int):
     return wanted.sparkSession.sparkContext.broadcast(out)
 
 
+def hits(doc_ids: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    h = id_bits(doc_ids, bits)
+    return ((words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def in_bitmap(df: DataFrame, bitmap, bits: int) -> DataFrame:
     """The rows whose doc_id may be in the bitmap; a join takes the others out. It saves shuffling rows that nothing wants."""
 
     def run(batches):
         words = bitmap.value
         for batch in batches:
-            h = id_bits(batch.column("doc_id").fill_null(0).to_numpy(), bits)
-            found = (words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(found.astype(bool)))
+            yield batch.filter(pa.array(hits(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), words, bits)))
 
     return df.mapInArrow(run, df.schema)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bitmap_of, in_bitmap, map_batches, materialise
+from linkloom.llm.common import bitmap_of, hits, in_bitmap, map_batches, materialise
 from linkloom.llm.components import components
 
 
@@ -33,7 +33,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -121,14 +121,17 @@ def agreeing(pairs: DataFrame, least_share: float) -> DataFrame:
     return map_batches(pairs.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words_in: int) -> DataFrame:
-    """(node, items) with the sorted shingle hashes of the wanted nodes. docs: rows among which theirs are."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words_in: int, filter_bits: int) -> DataFrame:
+    """(node, items) with the sorted shingle hashes of the wanted nodes; wanted: node, rep. A bitmap of the reps spares the
+    other documents, and what it lets through in vain the join takes out."""
+    bitmap = bitmap_of(wanted, filter_bits)
 
     def make():
-        hashes = WordHashes()
+        hashes, words = WordHashes(), bitmap.value
 
         def call(batch: dict) -> dict:
-            found = [s for text in batch["text"] if len(s := shingle_set(text, words_in, hashes))]
+            held = hits(np.array([0 if d is None else d for d in batch["doc_id"]], np.int64), words, filter_bits)
+            found = [s for text, h in zip(batch["text"], held, strict=True) if h and len(s := shingle_set(text, words_in, hashes))]
             return {"node": [node_of(s) for s in found], "items": [s.tobytes() for s in found]}
 
         return call
@@ -222,9 +225,8 @@ def near_duplicates(
     members = materialise(exploded.join(shared_keys, "k").distinct(), "members")
     sizes = members.groupBy("k").agg(F.count("*").alias("c"))
     wanted = materialise(some.groupBy("node").agg(F.min("doc_id").alias("rep")).join(members.select("node").distinct(), "node"), "wanted")
-    bitmap = bitmap_of(wanted, filter_bits)
-    sets = materialise(full_sets(in_bitmap(docs.select("doc_id", "text"), bitmap, filter_bits), wanted, words_in), "sets")
-    sigs = in_bitmap(some.select("doc_id", "node", "keys", "sig"), bitmap, filter_bits)
+    sets = materialise(full_sets(docs, wanted, words_in, filter_bits), "sets")
+    sigs = in_bitmap(some.select("doc_id", "node", "keys", "sig"), bitmap_of(wanted, filter_bits), filter_bits)
     sigs = materialise(sigs.join(wanted.select("node"), "node", "left_semi").drop("doc_id").dropDuplicates(["node"]), "sigs")
 
     def agree(pairs: DataFrame) -> DataFrame:

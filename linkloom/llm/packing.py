@@ -70,33 +70,52 @@ COMMON_SPACE = re.compile(r"[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 
 
-class PieceIds(dict):
-    """Piece of the pre-tokeniser (normalised, without white space) to its ids as little-endian 32-bit bytes.
+def merge_engine(spec: dict):
+    """tiktoken's engine with the merges of the vocabulary.
 
-    The merges of the vocabulary run in tiktoken's engine, which knows single bytes only. A symbol, a byte inside or at the
+    It knows single bytes only. A symbol, a byte inside or at the
     end of a piece, is therefore written as two bytes: 0xFE or 0xFF, which UTF-8 never holds, and the byte itself; these
     pairs merge before all others.
     """
+    import tiktoken
+
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+    vocabulary = spec["model"]["vocab"]
+    end = spec["model"]["end_of_word_suffix"]
+    written = {shown[b]: bytes((0xFE, b)) for b in range(256)} | {shown[b] + end: bytes((0xFF, b)) for b in range(256)}
+    ranks = {data: vocabulary[symbol] for symbol, data in written.items()}
+    for pair in spec["model"]["merges"]:
+        left, right = pair if isinstance(pair, list) else pair.split(" ")
+        written[left + right] = written[left] + written[right]
+        ranks[written[left + right]] = vocabulary[left + right]
+    if list(ranks.values())[512:] != sorted(list(ranks.values())[512:]) or max(list(ranks.values())[:512]) > 511:
+        raise ValueError("the ids do not follow the merges")
+    free = max(vocabulary.values()) + 1  # single bytes must be known, but none ever stays
+    ranks |= {bytes((b,)): free + b for b in range(256)}
+    return tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(2)
+def loaded(path: str):
+    """(tokenizer, engine, pattern) of the vocabulary: of a fixed size, so a worker keeps them from task to task."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    with open(path) as f:
+        spec = json.load(f)
+    return tokenizer, merge_engine(spec), spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
 
-    def __init__(self, spec: dict, room: int):
-        import tiktoken
 
+class PieceIds(dict):
+    """Piece of the pre-tokeniser (normalised, without white space) to its ids as little-endian 32-bit bytes."""
+
+    def __init__(self, engine, room: int):
         super().__init__()
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
-        vocabulary = spec["model"]["vocab"]
-        end = spec["model"]["end_of_word_suffix"]
-        written = {shown[b]: bytes((0xFE, b)) for b in range(256)} | {shown[b] + end: bytes((0xFF, b)) for b in range(256)}
-        ranks = {data: vocabulary[symbol] for symbol, data in written.items()}
-        for pair in spec["model"]["merges"]:
-            left, right = pair if isinstance(pair, list) else pair.split(" ")
-            written[left + right] = written[left] + written[right]
-            ranks[written[left + right]] = vocabulary[left + right]
-        if list(ranks.values())[512:] != sorted(list(ranks.values())[512:]) or max(list(ranks.values())[:512]) > 511:
-            raise ValueError("the ids do not follow the merges")
-        free = max(vocabulary.values()) + 1  # single bytes must be known, but none ever stays
-        ranks |= {bytes((b,)): free + b for b in range(256)}
-        self.engine, self.room = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={}), room
+        self.engine, self.room = engine, room
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
@@ -117,19 +136,12 @@ class ChunkIds(dict):
     A chunk whose normal form Python can tell is cut into pieces here; any other goes through the tokenizer itself.
     """
 
-    def __init__(self, path: str, room: int = 800_000):
-        import json
-
+    def __init__(self, path: str, room: int = 120_000):
         import regex
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.room = Tokenizer.from_file(path), room
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path) as f:
-            spec = json.load(f)
-        self.pieces = PieceIds(spec, room)
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.tokenizer, engine, pattern = loaded(path)
+        self.pieces, self.room, self.split = PieceIds(engine, 2 * room), room, regex.compile(pattern).findall
 
     def __missing__(self, chunk: str) -> bytes:
         small = chunk.lower()
@@ -151,18 +163,13 @@ class ChunkIds(dict):
         return b"".join(b"".join(map(self.__getitem__, block.split())) for block in blocks(text))
 
 
-@lru_cache(2)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
-
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, and uid, a number of its own."""
 
     def make():
         from pyspark import TaskContext
 
-        coder, end = chunk_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        coder, end = ChunkIds(tokenizer_path), np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         uid = (context.partitionId() if context else 0) << 33
 

@@ -142,7 +142,7 @@ def test_packing_round_trip(spark, sf, table):
 @given(st.text("abĞİΣσςJ̌ é1!?'s \n東🙂<|>\x1c\x85", max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_chunks_have_the_tokenizers_ids(text):
-    coder = packing.chunk_ids(WORD)
+    coder = packing.ChunkIds(WORD)
     assert coder.encode(text) == np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
