@@ -13,7 +13,8 @@ equal sets are one node. The work then runs over nodes:
    large groups block against block. No candidate pair of different components is left out.
 
 Defined results: null, empty and white-space texts have an empty set, link with nothing and are components of their own.
-Rows that share a doc_id are one component if any of their texts links, and each keeps its own row.
+Rows that share a doc_id belong to one component, whatever their texts are, and each keeps its own row. A row without a
+doc_id links like any other but is never the one that others are dropped for, and is itself kept.
 """
 
 from __future__ import annotations
@@ -266,13 +267,19 @@ def near_duplicates(
     labels = joined(labels, materialise(found, "links"))
 
     placed = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return _finish(placed)
+    repeated = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("node").alias("m"), F.count("*").alias("n"))
+    return _finish(placed, materialise(repeated.where("lo <> hi or (m > 0 and m < n)").select("doc_id"), "repeated-ids"))
 
 
-def _finish(placed: DataFrame) -> DataFrame:
-    """Component labels to least doc_ids. A doc_id that stands in several components joins them."""
+def _finish(placed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Component labels to least doc_ids. A doc_id that stands in several components joins them; repeated: the doc_ids whose
+    rows have different sets."""
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if not repeated.isEmpty():
+        moved = components(out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")))
+        moved = moved.select(F.col("node").alias("component_id"), F.col("label").alias("to"))
+        out = out.join(moved, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("to", "component_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
