@@ -2,10 +2,10 @@
 
 One pass over the texts gives each document its rule statistics. An isolation forest, grown on a bounded sample of labelled
 rows of good quality, scores them: anomalous statistics are isolated by few random splits. The threshold is the score that
-only a small share of the good labelled rows exceeds.
+only a small share of all good labelled rows exceeds.
 
-Defined results: a null, empty or white-space text has no words and fails the base rule. Without a good labelled row the
-forest rejects nothing. Repeated rows get equal results; labels of a document that disagree count as not good.
+Defined results: a null, empty or white-space text has no words and fails the base rule. With fewer than 20 good labelled
+rows the forest rejects nothing. Repeated rows get equal results; labels of a document that disagree count as not good.
 """
 
 from __future__ import annotations
@@ -132,35 +132,53 @@ def fails_base() -> F.Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, reject: float = 0.005) -> tuple[IsolationForest | None, float]:
-    """Forest and threshold. Of the labelled good rows that pass the base rule at most max_labelled, the first by a hash of
-    the doc_id, are used; half grow the forest, the others set the threshold that the share reject of them exceeds."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    rows = stats.where(~fails_base()).join(good, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *SHARES).limit(max_labelled).select(*SHARES).collect()
-    if len(rows) < 20:
-        return None, 1.0
-    table = np.array([list(r) for r in rows])
-    forest = IsolationForest(table[::2])
-    scores = np.sort(forest.score(table[1::2]))
-    return forest, float(scores[min(len(scores) - 1, math.ceil((1 - reject) * len(scores)))])
-
-
-def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, the base counts, base_failed, anomaly and kept of every row."""
-    stats = materialise(rule_statistics(docs), "rule-statistics")
-    forest, most = calibrate(stats, labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees x 2 x sample nodes
+def anomalies(stats: DataFrame, forest: IsolationForest | None, keep: tuple[str, ...] = ("doc_id", *BASE)) -> DataFrame:
+    """Columns keep and anomaly of every row of statistics; 0 without a forest."""
+    shared = stats.sparkSession.sparkContext.broadcast(forest)  # trees x 2 x sample nodes
 
     def make():
         trees = shared.value
 
         def call(batch: dict) -> dict:
             table = np.array([batch[c] for c in SHARES], np.float64).T
-            return {c: batch[c] for c in ("doc_id", *BASE)} | {"anomaly": trees.score(table) if trees else np.zeros(len(table))}
+            return {c: batch[c] for c in keep} | {"anomaly": trees.score(table) if trees else np.zeros(len(table))}
 
         return call
 
-    scored = map_batches(stats, make, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", anomaly double")
+    return map_batches(stats.select(*keep, *SHARES), make, T.StructType([*[stats.schema[c] for c in keep], T.StructField("anomaly", T.DoubleType())]))
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, reject: float = 0.005, bins: int = 100_000) -> tuple[IsolationForest | None, float]:
+    """Forest and threshold, from the labelled good rows that pass the base rule.
+
+    The forest grows on at most max_labelled of them, chosen by a hash. The threshold is set by all of them: the least of
+    bins equal steps between 0 and 1 that no more than the share reject exceeds. Only the histogram reaches the driver.
+    Fewer than 20 such rows make no forest, and nothing is rejected by it.
+    """
+    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    rows = materialise(stats.where(~fails_base()).join(good, "doc_id", "left_semi").select("doc_id", *SHARES), "good-statistics")
+    n, scale = rows.count(), 1 << 20
+    if n < 20:
+        return None, 1.0
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", *SHARES), F.lit(scale)) < min(scale, math.ceil(max_labelled / n * scale)))
+    fit = chosen.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *SHARES).limit(max_labelled).select(*SHARES).collect()
+    forest = IsolationForest(np.array([list(r) for r in fit]))
+    step = F.ceil(F.col("anomaly") * bins)
+    histogram = anomalies(rows, forest, ("doc_id",)).groupBy(step.alias("step")).count().collect()
+    above, most = 0, bins
+    for at, held in sorted(((r["step"], r["count"]) for r in histogram), reverse=True):
+        most = at
+        if above + held > reject * n:
+            break
+        above += held
+    return forest, most / bins
+
+
+def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, the base counts, base_failed, anomaly and kept of every row."""
+    stats = materialise(rule_statistics(docs), "rule-statistics")
+    forest, most = calibrate(stats, labels, **options)
+    scored = anomalies(stats, forest)
     return scored.withColumn("base_failed", fails_base()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= most))
 
 

@@ -95,6 +95,16 @@ def test_near_duplicate_edge_cases(odd, none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.keep_one_each(odd).columns == odd.columns
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with different texts joins their components, and the least doc_id of all stays."""
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(3, text("x")), (5, text("x")), (5, text("y")), (7, text("y")), (5, None), (9, text("z")), (None, text("x")), (8, text("v")), (8, text("u"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 3, True), (3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (7, 3, False), (8, 8, True), (8, 8, True), (9, 9, True)]
+    assert sorted(r.doc_id or 0 for r in minhash.keep_one_each(docs).collect()) == [0, 3, 8, 8, 9]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 9), (9, 8), (20, 21), (5, 5)] + [(100, 100 + k) for k in range(1, 40)] + [(k, k + 1) for k in range(300, 330)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
@@ -237,6 +247,20 @@ def test_quality_statistics_by_brute_force(spark, sf, table, odd, none):
     assert quality_rules.keep_good(odd, labels).columns == odd.columns
 
 
+def test_quality_threshold_is_set_by_all_good_rows(spark):
+    """The forest's sample is bounded; the threshold still leaves all but the given share of the good rows."""
+    draw = np.random.default_rng(2)
+    rows = [(k, " ".join(f"{'abcdefghij'[i % 10]}{draw.integers(1000)}" for i in range(int(draw.integers(60, 200))))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    stats = quality_rules.rule_statistics(docs)
+    for bound in (50, 20_000):
+        forest, most = quality_rules.calibrate(stats, labels, max_labelled=bound, reject=0.05)
+        scores = np.array([r.anomaly for r in quality_rules.anomalies(stats, forest).collect()])
+        assert (scores > most).sum() <= 20 < (scores > most - 2e-5).sum() + 1 and forest.sample <= bound
+    assert quality_rules.keep_good(docs, labels).count() >= 398
+
+
 def test_isolation_forest_isolates():
     rows = np.random.default_rng(0).normal(size=(400, 3))
     forest = quality_rules.IsolationForest(rows)
