@@ -1,8 +1,9 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
 Both are bigram models with the same vocabulary, order and smoothing; the target model counts the documents of the target
-set, the background model all documents. All counts are exact sums over whole texts; the vocabulary keeps at most the max_words
-most frequent words, and of the bigrams over it at most the max_bigrams most frequent are kept; others back off to unigrams.
+set, the background model all documents. Every word and every bigram counts: the models are tables that grow with the input
+and meet the documents by joins. Words are known by 63-bit hashes. The max_words most frequent ones are broadcast with their
+counts, so that pairs of them need no join for these; that bound decides on the way of the work only, not on a result.
 
 Defined results: a text without words has no tokens and null losses and score. With an empty target set the target model is
 uniform over the vocabulary. Repeated rows get equal results.
@@ -10,33 +11,54 @@ uniform over the vocabulary. Repeated rows get equal results.
 
 from __future__ import annotations
 
-from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bitmap_of, blocks, in_bitmap, map_batches, materialise, most_frequent
+from linkloom.llm.common import bitmap_of, blocks, hits, map_batches, materialise, most_frequent
 
+PARTIAL = "t long, n long, x double, y double"
 
-class Bigrams:
-    """Interpolated bigram model over word numbers; 0 stands for words outside the vocabulary."""
 
-    def __init__(self, unigrams: np.ndarray, keys: np.ndarray, counts: np.ndarray, weight: float, smoothing: float):
-        """keys: sorted first * V + second."""
-        self.v, self.keys = len(unigrams), keys
-        total = unigrams.sum() + smoothing * self.v
-        self.p1 = (unigrams + smoothing) / total
-        first = keys // self.v
-        seen = np.maximum(unigrams[first], 1)
-        self.more = weight * counts / seen  # what a kept bigram adds to the share of the unigram
-        self.rest = 1 - weight
+class Hashes(dict):
+    """Word to its hash, a negative number; forgets all when there are too many."""
 
-    def loss(self, ids: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Nats of every token. at, hit: the place of (token before, token) among the keys, where there is one."""
-        p = self.p1[ids].copy()
-        p[1:] = self.rest * p[1:] + np.where(hit, self.more[at], 0.0)
-        return -np.log(p)
+    def __init__(self, room: int = 300_000):
+        super().__init__()
+        self.room = room
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.room:
+            self.clear()
+        self[word] = out = -1 - (int.from_bytes(blake2b(word, digest_size=8).digest()) >> 1)
+        return out
+
+
+class Words:
+    """Counts of the broadcast words by their numbers, from 1; 0 is the start of a text. Totals are over all words."""
+
+    def __init__(self, hashes: np.ndarray, background: np.ndarray, target: np.ndarray, totals: tuple[int, int], v: int, weight: float, smoothing: float):
+        """hashes: sorted. v: all distinct words, and a place for unknown ones."""
+        self.hashes, self.counts = hashes, tuple(np.concatenate([[0], n]).astype(np.float64) for n in (target, background))
+        self.totals, self.v, self.weight, self.smoothing = totals[::-1], v, weight, smoothing
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the broadcast words, and the negative hashes of others."""
+        if not len(self.hashes):
+            return h
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at + 1, h)
+
+    def losses(self, start: np.ndarray, pair: tuple, first: tuple, second: tuple) -> list[np.ndarray]:
+        """Nats of the second word of each pair under the target and the background, from counts of pair and words."""
+        out = []
+        for ab, a, b, total in zip(pair, first, second, self.totals, strict=True):
+            p = (b + self.smoothing) / (total + self.smoothing * self.v)
+            out.append(-np.log(np.where(start, p, (1 - self.weight) * p + self.weight * ab / np.maximum(a, 1))))
+        return out
 
 
 def words_of(text: str | None):
@@ -44,105 +66,174 @@ def words_of(text: str | None):
         yield block.encode().lower().split()
 
 
-def _counted(docs: DataFrame, target: DataFrame, make, key: str) -> DataFrame:
-    """Counts (k, background, target) over all documents and over the target set, in one aggregate."""
-    both = [map_batches(df.select("text"), make, f"k {key}, n long") for df in (docs, target)]
-    zero = F.lit(0).cast("long")
-    rows = both[0].select("k", F.col("n").alias("background"), zero.alias("target")).union(both[1].select("k", zero, "n"))
-    return rows.groupBy("k").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+def hashes_of(text: str | None, hashes: Hashes) -> np.ndarray:
+    parts = [np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)) for words in words_of(text)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Rows k (hash), background, target: counts over all rows and over those with good = 1."""
 
-def word_counts(docs: DataFrame, target: DataFrame) -> DataFrame:
     def make():
+        hashes = Hashes()
+
         def call(batch: dict) -> dict:
-            found: Counter = Counter()
-            for text in batch["text"]:
-                for words in words_of(text):
-                    found.update(words)
-            return {"k": list(found), "n": list(found.values())}
+            found = [hashes_of(text, hashes) for text in batch["text"]]
+            good = np.repeat(np.array(batch["good"], np.float64), [len(h) for h in found])
+            k, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            return {"k": k, "background": n, "target": np.bincount(at, good, len(k)).astype(np.int64)}
 
         return call
 
-    return _counted(docs, target, make, "binary")
+    rows = map_batches(docs.select("text", "good"), make, "k long, background long, target long")
+    return rows.groupBy("k").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
-def bigram_counts(docs: DataFrame, target: DataFrame, vocabulary) -> DataFrame:
-    """Counts of pairs of vocabulary words; pairs with a word outside it aren't counted. vocabulary: a broadcast dict."""
+def pairs_of(batch: dict, hashes: Hashes, model: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of a batch: number of the word before (0 at the start of a text), number of the token, row."""
+    found = [hashes_of(text, hashes) for text in batch["text"]]
+    n = np.array([len(h) for h in found], np.int64)
+    b = model.numbers(np.concatenate(found))
+    a = np.concatenate([[0], b[:-1]]).astype(np.int64)[: len(b)]
+    a[(np.cumsum(n) - n)[n > 0]] = 0
+    return a, b, np.repeat(np.arange(len(n)), n)
+
+
+def known_pairs(docs: DataFrame, shared, shards: int) -> DataFrame:
+    """Pairs of broadcast words in one row a batch and shard: 8 bytes a pair, and t, good and number of pairs of each text."""
 
     def make():
-        known, v = vocabulary.value, len(vocabulary.value) + 1
+        model, hashes = shared.value, Hashes()
 
         def call(batch: dict) -> dict:
-            parts = []
-            for text in batch["text"]:
-                ids = ids_of(text, known)
-                pair = ids[:-1] * v + ids[1:]
-                parts.append(pair[(ids[:-1] > 0) & (ids[1:] > 0)])
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            return {"k": keys, "n": n}
+            a, b, row = pairs_of(batch, hashes, model)
+            fine = (a >= 0) & (b >= 0)
+            pairs, row = (a[fine] << 32) | b[fine], row[fine]
+            with np.errstate(over="ignore"):
+                shard = (((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            pairs, row, shard = pairs[order], row[order], shard[order]
+            t, good = np.array(batch["t"], np.int64), np.array(batch["good"], np.int8)
+            out: dict = {"shard": [], "t": [], "good": [], "n": [], "pairs": []}
+            at, first = np.unique(shard, return_index=True)
+            for s, lo, hi in zip(at.tolist(), first, np.append(first, len(shard))[1:], strict=True):
+                texts, n = np.unique(row[lo:hi], return_counts=True)
+                for name, v in (("shard", s), ("t", t[texts].tobytes()), ("good", good[texts].tobytes()), ("n", n.astype(np.int32).tobytes()), ("pairs", pairs[lo:hi].tobytes())):
+                    out[name].append(v)
+            return out
 
         return call
 
-    return _counted(docs, target, make, "long")
+    return map_batches(docs.select("t", "good", "text"), make, "shard long, t binary, good binary, n binary, pairs binary")
 
 
-def ids_of(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    parts = [np.fromiter((known.get(w, 0) for w in words), np.int64, len(words)) for words in words_of(text)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+def score_known(pairs: DataFrame, shared) -> DataFrame:
+    """Partial sums a text and shard: a shard holds all places of its pairs, so it counts and scores them at once."""
 
+    def call(rows: pa.Table) -> pa.Table:
+        model = shared.value
+        t, good, n, keys = (np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("t", np.int64), ("good", np.int8), ("n", np.int32), ("pairs", np.int64)))
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        keys, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+        a, b = keys >> 32, keys & 0xFFFFFFFF
+        pair = np.bincount(at, good[row], len(keys)), count
+        both = model.losses(a == 0, pair, tuple(c[a] for c in model.counts), tuple(c[b] for c in model.counts))
+        x, y = (np.bincount(row, v[at], len(n)) for v in both)
+        return pa.table({"t": t, "n": n.astype(np.int64), "x": x, "y": y})
 
-def fit(docs: DataFrame, target: DataFrame, max_words: int = 20_000, max_bigrams: int = 400_000, weight: float = 0.6, smoothing: float = 0.5):
-    """(vocabulary, target model, background model), fitted on the column text of the two frames."""
-    spark = docs.sparkSession
-    names = ("background", "target")
-    counts = materialise(word_counts(docs, target), "word-counts")
-    totals = counts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    top = sorted(most_frequent(counts, "background", max_words).collect(), key=lambda r: (-r["background"], r["k"]))
-    known = {bytes(r["k"]): i + 1 for i, r in enumerate(top)}
-    shared = spark.sparkContext.broadcast(known)  # at most max_words entries
-    pairs = materialise(bigram_counts(docs, target, shared), "bigram-counts")
-    kept = most_frequent(pairs, "background", max_bigrams).toPandas().sort_values("k")
-    models = []
-    for n in names:
-        unigrams = np.array([0, *(r[n] for r in top)], np.float64)
-        unigrams[0] = totals[n] - unigrams.sum()
-        models.append(Bigrams(unigrams, kept["k"].to_numpy(np.int64), kept[n].to_numpy(np.float64), weight, smoothing))
-    return shared, models[1], models[0]
-
-
-def score(docs: DataFrame, vocabulary, target: Bigrams, background: Bigrams) -> DataFrame:
-    """doc_id, n_tokens, mean losses a token under both models and score, their difference (low: like the target)."""
-    models = docs.sparkSession.sparkContext.broadcast((target, background))  # bounded by fit's parameters
+    return pairs.groupBy("shard").applyInArrow(call, PARTIAL)
+
+
+def rare_pairs(docs: DataFrame, shared) -> DataFrame:
+    """The other pairs: a row (a, b, t, good) a token."""
 
     def make():
-        known, (t, b) = vocabulary.value, models.value
+        model, hashes = shared.value, Hashes()
 
         def call(batch: dict) -> dict:
-            out = {"doc_id": batch["doc_id"], "n_tokens": [], "loss_target": [], "loss_background": [], "score": []}
-            for text in batch["text"]:
-                ids = ids_of(text, known)
-                pair = ids[:-1] * t.v + ids[1:]
-                at = np.minimum(np.searchsorted(t.keys, pair), max(0, len(t.keys) - 1))
-                hit = (t.keys[at] == pair) if len(t.keys) else np.zeros(len(pair), bool)
-                if not len(t.keys):
-                    at = np.zeros(0, np.int64)
-                x, y = (m.loss(ids, at, hit) if len(ids) and len(t.keys) else -np.log(m.p1[ids]) for m in (t, b))
-                n = len(ids)
-                out["n_tokens"].append(n)
-                out["loss_target"].append(float(x.mean()) if n else None)
-                out["loss_background"].append(float(y.mean()) if n else None)
-                out["score"].append(float((x - y).mean()) if n else None)
-            return out
+            a, b, row = pairs_of(batch, hashes, model)
+            rare = (a < 0) | (b < 0)
+            row = row[rare]
+            return {"a": a[rare], "b": b[rare], "t": np.array(batch["t"], np.int64)[row], "good": np.array(batch["good"], np.int32)[row]}
 
         return call
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    return map_batches(docs.select("t", "good", "text"), make, "a long, b long, t long, good int")
 
 
-def difference(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Scores all documents against the target set: documents with a label of quality 1."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
+def score_rare(pairs: DataFrame, words: DataFrame, shared) -> DataFrame:
+    """Partial sums: pairs meet the counts of their words by joins. A broadcast word's key is spread, as it has no row there."""
+    found = pairs.groupBy("a", "b").agg(F.count("*").alias("background"), F.sum("good").alias("target"), F.collect_list("t").alias("ts"))
+    for side in "ab":
+        counts = words.select(F.col("k").alias("key"), F.col("target").alias(f"t{side}"), F.col("background").alias(f"b{side}"))
+        key = F.when(F.col(side) < 0, F.col(side)).otherwise(F.shiftrightunsigned(F.xxhash64("a", "b"), 1))
+        found = found.withColumn("key", key).join(counts, "key", "left").drop("key")
+
+    def make():
+        model = shared.value
+
+        def call(batch: dict) -> dict:
+            counts = []
+            for side in "ab":
+                known = np.maximum(np.array(batch[side], np.int64), 0)
+                counts.append(tuple(np.where(known > 0, c[known], np.array([v or 0 for v in batch[f"{kind}{side}"]], np.float64)) for kind, c in zip("tb", model.counts, strict=True)))
+            pair = np.array(batch["target"], np.float64), np.array(batch["background"], np.float64)
+            x, y = model.losses(np.array(batch["a"], np.int64) == 0, pair, *counts)
+            n = [len(ts) for ts in batch["ts"]]
+            return {"t": [t for ts in batch["ts"] for t in ts], "n": np.ones(sum(n), np.int64), "x": np.repeat(x, n), "y": np.repeat(y, n)}
+
+        return call
+
+    return map_batches(found, make, PARTIAL)
+
+
+def fit(docs: DataFrame, max_words: int = 400_000, weight: float = 0.6, smoothing: float = 0.5):
+    """(counts of all words, the broadcast words), from rows text, good. The second is bounded by max_words."""
+    counts = materialise(word_counts(docs), "word-counts")
+    names = ("background", "target")
+    sums = counts.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
+    top = most_frequent(counts, "background", max_words).toArrow().sort_by("k")
+    model = Words(top["k"].to_numpy(), *(top[n].to_numpy() for n in names), tuple(sums[n] for n in names), sums["v"] + 1, weight, smoothing)
+    return counts, docs.sparkSession.sparkContext.broadcast(model)
+
+
+def score(docs: DataFrame, counts: DataFrame, shared, shard_tokens: int = 1 << 21) -> DataFrame:
+    """t, n_tokens of all rows with this t, mean losses a token under both models. Rows: t, good, text."""
+    shards = 1 + shared.value.totals[1] // shard_tokens
+    known = score_known(known_pairs(docs, shared, shards), shared)
+    rare = score_rare(rare_pairs(docs, shared), counts, shared)
+    sums = known.union(rare).groupBy("t").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return sums.select("t", "n", (F.col("x") / F.col("n")).alias("loss_target"), (F.col("y") / F.col("n")).alias("loss_background"))
+
+
+def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """t (hash of the text), good and text of every row. Only texts that may be good are shuffled."""
     bits = 24
-    likely = in_bitmap(docs.select("doc_id", "text"), bitmap_of(good.withColumnRenamed("doc_id", "rep"), bits), bits)
-    target = materialise(likely.join(good, "doc_id", "left_semi"), "target")
-    return score(docs, *fit(docs, target, **options))
+    bitmap = bitmap_of(good.withColumnRenamed("doc_id", "rep"), bits)
+
+    def which(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                may = hits(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), bitmap.value, bits)
+                yield batch.filter(pa.array(may == wanted))
+
+        return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", "text").schema)
+
+    likely = materialise(which(True).join(good.withColumn("good", F.lit(1)), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), "text"), "likely")
+    rows = which(False).select(F.lit(0).alias("good"), "text").union(likely)
+    return rows.select(F.xxhash64("text").alias("t"), "good", "text")
+
+
+def difference(docs: DataFrame, labels: DataFrame, shard_tokens: int = 1 << 21, **options) -> DataFrame:
+    """Scores all documents against the target set: documents with a label of quality 1.
+
+    Rows: doc_id, n_tokens, mean losses a token under both models and score, their difference (low: like the target).
+    """
+    good = labels.where("quality = 1").select("doc_id").distinct()
+    rows = marked(docs, good)
+    means = score(rows, *fit(rows, **options), shard_tokens)
+    head = docs.select("doc_id", F.xxhash64("text").alias("t"))
+    means = means.join(head.groupBy("t").agg(F.count("*").alias("copies")), "t")
+    out = head.join(means, "t", "left")
+    n = F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
+    return out.select("doc_id", n.alias("n_tokens"), "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))

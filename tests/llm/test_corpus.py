@@ -209,6 +209,15 @@ def test_lm_scores_against_plain_counts(spark):
     assert got[4].n_tokens == 0 and got[4].score is None
 
 
+def test_lm_scores_do_not_depend_on_the_bound(spark, sf, table):
+    """Every word and bigram counts, whichever words are broadcast and however many shards there are."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    few = {r.doc_id: r for r in lm_score.difference(table, labels, max_words=40, shard_tokens=5000).collect()}
+    assert len(few) == table.count() and any(r.n_tokens > 100 for r in few.values())
+    for r in lm_score.difference(table, labels).collect():
+        assert r.n_tokens == few[r.doc_id].n_tokens and r.score == pytest.approx(few[r.doc_id].score) and r.loss_target == pytest.approx(few[r.doc_id].loss_target)
+
+
 def test_lm_edge_cases(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert lm_score.difference(odd, labels).count() == 9 and lm_score.difference(none, labels).count() == 0
