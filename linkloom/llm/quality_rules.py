@@ -1,8 +1,8 @@
 """Quality rules with an isolation forest over their statistics.
 
 One pass over the texts gives each document its rule statistics. An isolation forest, grown on a bounded sample of labelled
-rows of good quality, scores them: anomalous statistics are isolated by few random splits. The threshold is the score that
-only a small share of all good labelled rows exceeds.
+rows of good quality, scores them: anomalous statistics are isolated by few random splits. The threshold is the
+one that best parts all good from all bad labelled rows, while no more than a bounded share of the good ones exceeds it.
 
 Defined results: a null, empty or white-space text has no words and fails the base rule. With fewer than 20 good labelled
 rows the forest rejects nothing. Repeated rows get equal results; labels of a document that disagree count as not good.
@@ -148,15 +148,39 @@ def anomalies(stats: DataFrame, forest: IsolationForest | None, keep: tuple[str,
     return map_batches(stats.select(*keep, *SHARES), make, T.StructType([*[stats.schema[c] for c in keep], T.StructField("anomaly", T.DoubleType())]))
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, reject: float = 0.005, bins: int = 100_000) -> tuple[IsolationForest | None, float]:
-    """Forest and threshold, from the labelled good rows that pass the base rule.
+def labels_of(labels: DataFrame) -> DataFrame:
+    """doc_id and good (1 or 0) of every labelled document; labels that disagree count as not good."""
+    return labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).select("doc_id", F.when(F.col("q") == 1, 1).otherwise(0).alias("good"))
 
-    The forest grows on at most max_labelled of them, chosen by a hash. The threshold is set by all of them: the least of
-    bins equal steps between 0 and 1 that no more than the share reject exceeds. Only the histogram reaches the driver.
-    Fewer than 20 such rows make no forest, and nothing is rejected by it.
+
+def threshold(histogram: list[tuple[int, int, int]], reject: float, lose: float, bins: int) -> float:
+    """From (step, good rows, bad rows): of the thresholds that no more than the share lose of the good rows exceeds, the one
+    with the best balanced accuracy (the share of bad rows above less that of good rows above); the highest of equals.
+    Without bad rows it is the least that no more than the share reject of the good ones exceeds."""
+    n_good, n_bad = (sum(h[k] for h in histogram) for k in (1, 2))
+    good = bad = 0
+    best, most = 0.0, bins
+    for at, g, b in sorted(histogram, reverse=True):
+        if not n_bad:
+            most = at
+        good, bad = good + g, bad + b
+        if good > (lose if n_bad else reject) * n_good:
+            break
+        gain = bad / n_bad - good / n_good if n_bad else 0.0
+        if gain > best:
+            best, most = gain, at - 1
+    return most / bins
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, reject: float = 0.005, lose: float = 0.1, bins: int = 100_000) -> tuple[IsolationForest | None, float]:
+    """Forest and threshold, from the labelled rows that pass the base rule.
+
+    The forest grows on at most max_labelled good ones, chosen by a hash. The threshold is set by all good and all bad ones: a
+    step of bins equal ones between 0 and 1, as threshold() says. Only the histograms reach the driver. Fewer than 20 good
+    rows make no forest, and nothing is rejected by it.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    rows = materialise(stats.where(~fails_base()).join(good, "doc_id", "left_semi").select("doc_id", *SHARES), "good-statistics")
+    both = materialise(stats.where(~fails_base()).join(labels_of(labels), "doc_id").select("doc_id", "good", *SHARES), "labelled-statistics")
+    rows = both.where("good = 1")
     n, scale = rows.count(), 1 << 20
     if n < 20:
         return None, 1.0
@@ -164,14 +188,8 @@ def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, r
     fit = chosen.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *SHARES).limit(max_labelled).select(*SHARES).collect()
     forest = IsolationForest(np.array([list(r) for r in fit]))
     step = F.ceil(F.col("anomaly") * bins)
-    histogram = anomalies(rows, forest, ("doc_id",)).groupBy(step.alias("step")).count().collect()
-    above, most = 0, bins
-    for at, held in sorted(((r["step"], r["count"]) for r in histogram), reverse=True):
-        most = at
-        if above + held > reject * n:
-            break
-        above += held
-    return forest, most / bins
+    histogram = anomalies(both, forest, ("good",)).groupBy(step.alias("step")).agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b")).collect()
+    return forest, threshold([tuple(r) for r in histogram], reject, lose, bins)
 
 
 def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -185,8 +203,7 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The pipeline's filter: drops rows that the base rule or the forest rejects; columns stay. The forest is fitted in a
     pass of its own, and then each text is judged where it is read, so that texts are never shuffled."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    stats = materialise(rule_statistics(docs.join(good, "doc_id", "left_semi")), "rule-statistics")
+    stats = materialise(rule_statistics(docs.join(labels_of(labels), "doc_id", "left_semi")), "rule-statistics")
     forest, most = calibrate(stats, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees x 2 x sample nodes
 

@@ -270,6 +270,27 @@ def test_quality_threshold_is_set_by_all_good_rows(spark):
     assert quality_rules.keep_good(docs, labels).count() >= 398
 
 
+def test_quality_threshold_is_set_by_bad_rows_too():
+    steps = [(90, 0, 30), (80, 4, 40), (70, 5, 20), (60, 30, 5), (50, 61, 5)]
+    assert quality_rules.threshold(steps, 0.005, 0.1, 100) == 0.69  # 9 % of the good and 90 % of the bad rows are over it
+    assert quality_rules.threshold(steps, 0.005, 0.05, 100) == 0.79
+    assert quality_rules.threshold([(k, g, 0) for k, g, _ in steps], 0.05, 0.1, 100) == 0.7
+
+
+def test_quality_forest_catches_bad_rows(spark):
+    """Bad rows that pass the base rule go, and few good ones with them."""
+    draw = np.random.default_rng(4)
+
+    def text(bad):
+        return " ".join(f"{'abcdefghij'[i % 10]}{draw.integers(10**7 if bad else 1000)}" for i in range(int(draw.integers(60, 200))))
+
+    docs = spark.createDataFrame([(k, text(k % 10 == 0)) for k in range(600)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    for kept in (quality_rules.judge(docs, labels).where("kept"), quality_rules.keep_good(docs, labels)):
+        left = [r.doc_id % 10 == 0 for r in kept.collect()]
+        assert left.count(False) >= 0.9 * 540 and left.count(True) <= 30
+
+
 def test_isolation_forest_isolates():
     rows = np.random.default_rng(0).normal(size=(400, 3))
     forest = quality_rules.IsolationForest(rows)
