@@ -65,18 +65,17 @@ def _base(docs: DataFrame, owner: str) -> DataFrame:
     return found.select("doc_id", "text_hash", "owner", "base", F.transform(free, lambda x: F.struct(x["start"], x["end"], F.xxhash64(x["value"]).alias("hash"))).alias("candidates"))
 
 
-def live_looking(candidates: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
-    """Hashes held by at most max_owners owners in at most max_repositories different texts. Rows: hash, owner, text_hash."""
-    repositories = candidates.groupBy("hash", "owner", "text_hash").agg(F.lit(1).alias("one"))
-    owners = repositories.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")).where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).select("hash")
+def live_looking(candidates: DataFrame, max_owners: int) -> DataFrame:
+    """Hashes held by at most max_owners owners, in however many texts: copies and near copies of one owner count once."""
+    owners = candidates.select("hash", "owner").distinct()
+    return owners.groupBy("hash").agg(F.count("*").alias("n_owners")).where(F.col("n_owners") <= max_owners).select("hash")
 
 
-def scan(docs: DataFrame, owner: str = "source", max_owners: int = 2, max_repositories: int = 20) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", max_owners: int = 2) -> DataFrame:
     """doc_id, text_hash, base and spans (arrays of start, kind, end in order) of every row."""
     hits = materialise(_base(docs, owner), "secret-hits")
     candidates = hits.where(F.size("candidates") > 0).select("doc_id", "text_hash", "owner", F.explode("candidates").alias("c")).select("doc_id", "text_hash", "owner", "c.*")
-    live = live_looking(candidates, max_owners, max_repositories)
+    live = live_looking(candidates, max_owners)
     added = candidates.join(live, "hash").select("doc_id", "text_hash", F.struct("start", F.lit(KINDS.index("owned")).alias("kind"), "end").alias("x")).distinct()
     added = added.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list("x").alias("added"))
     holds = F.size("candidates") > 0

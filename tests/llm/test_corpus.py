@@ -381,6 +381,15 @@ def test_owned_and_copied_candidates(spark):
     assert masked[1] == "see <secret> there" and copied in masked[12]
 
 
+def test_one_owner_in_many_texts_is_live(spark):
+    """A credential of one owner in 30 different texts is found and masked; one that three owners hold is not."""
+    own, copied = "Zk3xQ9vB7nM2pL5sT8wY", "aB3dE5gH7jK9mN1pQ3sT"
+    rows = [(k, f"{k} see {own} there", "o1") for k in range(30)] + [(100 + k, f"{k} example {copied} end", f"o{k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(("owned" in r.spans) == (r.doc_id < 100) for r in secrets.report(docs).collect())
+    assert all((own in r.text or copied in r.text) == (r.doc_id >= 100) for r in secrets.mask(docs).collect())
+
+
 def test_secret_edge_cases(odd, none, spark):
     assert secrets.report(odd).count() == 9 and secrets.report(none).count() == 0
     rows = spark.createDataFrame([(1, "a token = " + "0" * 40 + " b", "en", "s", 1), (1, "a token = " + "0" * 40 + " b", "en", "s", 1)], none.schema)
