@@ -48,23 +48,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) hosts: links of the pages, and each host with its parent domain where both have pages.
+    """Distinct (src, dst) hosts: links of the pages, and each host with its parent domain, down to the last but one label.
 
-    Rows: host, html. Links are made distinct inside each page and again by the aggregate before the shuffle.
+    Rows: host, html. Parent domains are nodes also where they have no page, so that hosts of one domain are joined. Links are
+    made distinct inside each page and again by the aggregate before the shuffle.
     """
     to = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda u: host_of(F.concat(F.lit("x:"), F.regexp_replace(u, "(?i)^https?:", "")))))
     links = pages.where("html is not null").select(F.col("host").alias("src"), F.explode(to).alias("dst"))
-    hosts = pages.select("host").distinct()
-    parent = hosts.select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst")).join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst")
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("src"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("dst")))
+    named = pages.select("host").distinct().where((F.size(labels) > 2) & ~F.col("host").rlike(r"^[0-9.:]+$|^\["))  # no addresses
+    parent = named.select(F.explode(F.slice(above, F.lit(1), F.size(labels) - 2)).alias("e")).select("e.src", "e.dst").distinct()
     both = parent.union(parent.select("dst", "src"))
     return links.union(both).where("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst) and seeds (host, kind, weight) with kind trust or distrust.
 
     Both vectors move in one join and one aggregate a round: distrust over the reversed edges. Each round is written to the
-    shared folder.
+    shared folder. It goes on until the whole change of neither vector is over tolerance, or for a given number of rounds. A
+    round shrinks the change by damping at least, so the tolerance is reached.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src")))
     degree = both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
@@ -73,15 +77,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
     start = materialise(seeds.groupBy("kind", "host").agg(F.sum("weight").alias("w")).join(F.broadcast(total), "kind").select("kind", "host", (F.col("w") / F.col("total")).alias("p")), "host-seeds")  # total: two rows
     rank = start
     if not both.isEmpty():
-        for _ in range(rounds):
-            sent = rank.join(both, (rank["kind"] == both["kind"]) & (rank["host"] == both["src"])).select(both["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("p") / F.col("degree")).alias("p"))
-            kept = start.select("kind", "host", (F.lit(1 - damping) * F.col("p")).alias("p"))
-            rank = materialise(sent.union(kept).groupBy("kind", "host").agg(F.sum("p").alias("p")), "host-rank")
+        done = 0
+        while rounds is None or done < rounds:
+            sent = rank.join(both, (rank["kind"] == both["kind"]) & (rank["host"] == both["src"])).select(both["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("p") / F.col("degree")).alias("p"), F.lit(0.0).alias("old"))
+            kept = start.select("kind", "host", (F.lit(1 - damping) * F.col("p")).alias("p"), F.lit(0.0).alias("old"))
+            last = rank.select("kind", "host", F.lit(0.0).alias("p"), F.col("p").alias("old"))
+            rank = materialise(sent.union(kept).union(last).groupBy("kind", "host").agg(F.sum("p").alias("p"), F.sum("old").alias("old")), "host-rank")
+            done += 1
+            if rounds is None:
+                moved = [r["moved"] for r in rank.groupBy("kind").agg(F.sum(F.abs(F.col("p") - F.col("old"))).alias("moved")).collect()]
+                if max(moved, default=0.0) <= tolerance:
+                    break
+            rank = rank.drop("old")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("p"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, excess: float = 2.0, rounds: int = 8) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, excess: float = 2.0, rounds: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's trust and distrust, of every row.
 
     excess: a host is blocked if its distrust is over this multiple of its trust and of an even share, 1 / hosts.

@@ -353,6 +353,20 @@ def test_propagation_against_plain_iteration(spark):
             assert got.get(h, (0, 0))[k] == pytest.approx(rank.get(h, 0))
 
 
+def test_hosts_of_a_domain_without_pages_are_joined(spark):
+    pages = spark.createDataFrame([("a.x.org", None), ("b.c.x.org", None), ("10.0.0.1", None), ("solo", None), ("", None)], "host string, html string")
+    way = {("a.x.org", "x.org"), ("b.c.x.org", "c.x.org"), ("c.x.org", "x.org")}
+    assert {tuple(r) for r in url_filters.host_edges(pages).collect()} == way | {(b, a) for a, b in way}
+
+
+def test_propagation_goes_on_until_it_stands_still(spark):
+    """A chain of 12 links: the last host is reached, and no mass is left on the way."""
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}") for k in range(12)], "src string, dst string")
+    seeds = spark.createDataFrame([("h0", "trust", 1.0)], "host string, kind string, weight double")
+    got = {r.host: r.trust for r in url_filters.propagate(edges, seeds).collect()}
+    assert all(got[f"h{k}"] == pytest.approx(0.15 * 0.85**k, abs=1e-6) for k in range(13))
+
+
 def brute_secrets(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or "") if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 16]
