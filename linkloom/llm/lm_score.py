@@ -1,239 +1,225 @@
 """Cross-entropy difference between a target and a background n-gram model.
 
-Both are bigram models with the same vocabulary, order and smoothing; the target model counts the documents of the target
-set, the background model all documents. Every word and every bigram counts: the models are tables that grow with the input
-and meet the documents by joins. Words are known by 63-bit hashes. The max_words most frequent ones are broadcast with their
-counts, so that pairs of them need no join for these; that bound decides on the way of the work only, not on a result.
-
-Defined results: a text without words has no tokens and null losses and score. With an empty target set the target model is
-uniform over the vocabulary. Repeated rows get equal results.
+Both are interpolated bigram models over one vocabulary, that of a public byte-level tokenizer, with the same order and
+smoothing; the target model counts the documents of the target set, the background model all documents. Every token and every
+pair of neighbours counts: nothing is left out of the vocabulary, and each model's probabilities sum to one after any token.
+
+The texts are cut into tokens once, in blocks of about block_tokens. A block sends each of its distinct pairs with its counts
+to the pair's shard, the shard adds up the counts of all blocks and answers each of them, and the block scores its texts. What
+is shuffled are distinct pairs a block and the token ids themselves, never texts but those that may be in the target set. The
+counts of single tokens (as many as the vocabulary has, whatever the input) are the only thing that is broadcast.
+
+Defined results: a null or empty text has no tokens and null losses and score. An empty target set makes the target model
+uniform over the vocabulary; an empty table gives an empty result. A very long text is a block of its own; runs of over 2048
+characters without white space are cut there before they become tokens. Repeated rows get equal results. A doc_id of null is
+in no target set. Columns of docs but doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import bitmap_of, blocks, hits, map_batches, materialise, most_frequent
-
-PARTIAL = "t long, n long, x double, y double"
-
+from linkloom.llm.byte_bpe import read_ranks
+from linkloom.llm.common import bitmap_of, blocks, hits, materialise
 
-class Hashes(dict):
-    """Word to its hash, a negative number; forgets all when there are too many."""
+LONG_RUN = re.compile(r"\S{2049}")
+PARTS = re.compile(r"\S{1,2048}|\s+")
+BLOCK = "block long, doc_ids array<long>, lens array<int>, good binary, ids binary"
+RESULT = "doc_id long, n_tokens long, loss_target double, loss_background double"
 
-    def __init__(self, room: int = 300_000):
-        super().__init__()
-        self.room = room
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.room:
-            self.clear()
-        self[word] = out = -1 - (int.from_bytes(blake2b(word, digest_size=8).digest()) >> 1)
-        return out
 
+@lru_cache(2)
+def encoding(ranks_path: str, pattern: str):
+    import tiktoken
 
-class Words:
-    """Counts of the broadcast words by their numbers, from 1; 0 is the start of a text. Totals are over all words."""
-
-    def __init__(self, hashes: np.ndarray, background: np.ndarray, target: np.ndarray, totals: tuple[int, int], v: int, weight: float, smoothing: float):
-        """hashes: sorted. v: all distinct words, and a place for unknown ones."""
-        self.hashes, self.counts = hashes, tuple(np.concatenate([[0], n]).astype(np.float64) for n in (target, background))
-        self.totals, self.v, self.weight, self.smoothing = totals[::-1], v, weight, smoothing
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of the broadcast words, and the negative hashes of others."""
-        if not len(self.hashes):
-            return h
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, h)
-
-    def losses(self, start: np.ndarray, pair: tuple, first: tuple, second: tuple) -> list[np.ndarray]:
-        """Nats of the second word of each pair under the target and the background, from counts of pair and words."""
-        out = []
-        for ab, a, b, total in zip(pair, first, second, self.totals, strict=True):
-            p = (b + self.smoothing) / (total + self.smoothing * self.v)
-            out.append(-np.log(np.where(start, p, (1 - self.weight) * p + self.weight * ab / np.maximum(a, 1))))
-        return out
+    out = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+    if out.n_vocab >= 1 << 16:
+        raise ValueError("pairs of tokens must fit into 32 bits")
+    return out
 
 
-def words_of(text: str | None):
+def token_ids(text: str | None, coder) -> np.ndarray:
+    found = []
     for block in blocks(text or "", 1 << 18):
-        yield block.encode().lower().split()
-
-
-def hashes_of(text: str | None, hashes: Hashes) -> np.ndarray:
-    parts = [np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)) for words in words_of(text)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Rows k (hash), background, target: counts over all rows and over those with good = 1."""
-
-    def make():
-        hashes = Hashes()
-
-        def call(batch: dict) -> dict:
-            found = [hashes_of(text, hashes) for text in batch["text"]]
-            good = np.repeat(np.array(batch["good"], np.float64), [len(h) for h in found])
-            k, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            return {"k": k, "background": n, "target": np.bincount(at, good, len(k)).astype(np.int64)}
-
-        return call
-
-    rows = map_batches(docs.select("text", "good"), make, "k long, background long, target long")
-    return rows.groupBy("k").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+        for part in PARTS.findall(block) if LONG_RUN.search(block) else (block,):
+            found.append(coder.encode_to_numpy(part, disallowed_special=()).astype("<u2"))
+    return np.concatenate(found) if found else np.zeros(0, "<u2")
 
 
-def pairs_of(batch: dict, hashes: Hashes, model: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of a batch: number of the word before (0 at the start of a text), number of the token, row."""
-    found = [hashes_of(text, hashes) for text in batch["text"]]
-    n = np.array([len(h) for h in found], np.int64)
-    b = model.numbers(np.concatenate(found))
-    a = np.concatenate([[0], b[:-1]]).astype(np.int64)[: len(b)]
-    a[(np.cumsum(n) - n)[n > 0]] = 0
-    return a, b, np.repeat(np.arange(len(n)), n)
+def token_blocks(rows: DataFrame, ranks_path: str, pattern: str, block_tokens: int) -> DataFrame:
+    """Blocks of the rows (doc_id, good, text): ids of the rows, their lengths in tokens, flags, and the 16-bit token ids."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def known_pairs(docs: DataFrame, shared, shards: int) -> DataFrame:
-    """Pairs of broadcast words in one row a batch and shard: 8 bytes a pair, and t, good and number of pairs of each text."""
+        coder, n, held = encoding(ranks_path, pattern), TaskContext.get().partitionId() << 33, []
 
-    def make():
-        model, hashes = shared.value, Hashes()
+        def block() -> pa.RecordBatch:
+            ids, good, tokens = zip(*held, strict=True)
+            columns = [[n], [list(ids)], [[len(x) for x in tokens]], [bytes(good)], [np.concatenate(tokens).tobytes()]]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "doc_ids", "lens", "good", "ids"])
 
-        def call(batch: dict) -> dict:
-            a, b, row = pairs_of(batch, hashes, model)
-            fine = (a >= 0) & (b >= 0)
-            pairs, row = (a[fine] << 32) | b[fine], row[fine]
-            with np.errstate(over="ignore"):
-                shard = (((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            pairs, row, shard = pairs[order], row[order], shard[order]
-            t, good = np.array(batch["t"], np.int64), np.array(batch["good"], np.int8)
-            out: dict = {"shard": [], "t": [], "good": [], "n": [], "pairs": []}
-            at, first = np.unique(shard, return_index=True)
-            for s, lo, hi in zip(at.tolist(), first, np.append(first, len(shard))[1:], strict=True):
-                texts, n = np.unique(row[lo:hi], return_counts=True)
-                for name, v in (("shard", s), ("t", t[texts].tobytes()), ("good", good[texts].tobytes()), ("n", n.astype(np.int32).tobytes()), ("pairs", pairs[lo:hi].tobytes())):
-                    out[name].append(v)
-            return out
+        size = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512).to_pydict()
+                for doc_id, good, text in zip(part["doc_id"], part["good"], part["text"], strict=True):
+                    held.append((doc_id, good, token_ids(text, coder)))
+                    size += len(held[-1][2])
+                    if size >= block_tokens or len(held) >= 1 << 16:
+                        yield block()
+                        n, held, size = n + 1, [], 0
+        if held:
+            yield block()
 
-        return call
+    return rows.select("doc_id", "good", "text").mapInArrow(run, BLOCK)
 
-    return map_batches(docs.select("t", "good", "text"), make, "shard long, t binary, good binary, n binary, pairs binary")
 
+class Counts:
+    """How often each token stands anywhere, and before another one, in the target set and in all documents.
 
-def score_known(pairs: DataFrame, shared) -> DataFrame:
-    """Partial sums a text and shard: a shard holds all places of its pairs, so it counts and scores them at once."""
-
-    def call(rows: pa.Table) -> pa.Table:
-        model = shared.value
-        t, good, n, keys = (np.frombuffer(b"".join(rows[c].to_pylist()), kind) for c, kind in (("t", np.int64), ("good", np.int8), ("n", np.int32), ("pairs", np.int64)))
-        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        keys, at, count = np.unique(keys, return_inverse=True, return_counts=True)
-        a, b = keys >> 32, keys & 0xFFFFFFFF
-        pair = np.bincount(at, good[row], len(keys)), count
-        both = model.losses(a == 0, pair, tuple(c[a] for c in model.counts), tuple(c[b] for c in model.counts))
-        x, y = (np.bincount(row, v[at], len(n)) for v in both)
-        return pa.table({"t": t, "n": n.astype(np.int64), "x": x, "y": y})
-
-    return pairs.groupBy("shard").applyInArrow(call, PARTIAL)
-
-
-def rare_pairs(docs: DataFrame, shared) -> DataFrame:
-    """The other pairs: a row (a, b, t, good) a token."""
-
-    def make():
-        model, hashes = shared.value, Hashes()
-
-        def call(batch: dict) -> dict:
-            a, b, row = pairs_of(batch, hashes, model)
-            rare = (a < 0) | (b < 0)
-            row = row[rare]
-            return {"a": a[rare], "b": b[rare], "t": np.array(batch["t"], np.int64)[row], "good": np.array(batch["good"], np.int32)[row]}
-
-        return call
-
-    return map_batches(docs.select("t", "good", "text"), make, "a long, b long, t long, good int")
-
-
-def score_rare(pairs: DataFrame, words: DataFrame, shared) -> DataFrame:
-    """Partial sums: pairs meet the counts of their words by joins. A broadcast word's key is spread, as it has no row there."""
-    found = pairs.groupBy("a", "b").agg(F.count("*").alias("background"), F.sum("good").alias("target"), F.collect_list("t").alias("ts"))
-    for side in "ab":
-        counts = words.select(F.col("k").alias("key"), F.col("target").alias(f"t{side}"), F.col("background").alias(f"b{side}"))
-        key = F.when(F.col(side) < 0, F.col(side)).otherwise(F.shiftrightunsigned(F.xxhash64("a", "b"), 1))
-        found = found.withColumn("key", key).join(counts, "key", "left").drop("key")
-
-    def make():
-        model = shared.value
-
-        def call(batch: dict) -> dict:
-            counts = []
-            for side in "ab":
-                known = np.maximum(np.array(batch[side], np.int64), 0)
-                counts.append(tuple(np.where(known > 0, c[known], np.array([v or 0 for v in batch[f"{kind}{side}"]], np.float64)) for kind, c in zip("tb", model.counts, strict=True)))
-            pair = np.array(batch["target"], np.float64), np.array(batch["background"], np.float64)
-            x, y = model.losses(np.array(batch["a"], np.int64) == 0, pair, *counts)
-            n = [len(ts) for ts in batch["ts"]]
-            return {"t": [t for ts in batch["ts"] for t in ts], "n": np.ones(sum(n), np.int64), "x": np.repeat(x, n), "y": np.repeat(y, n)}
-
-        return call
-
-    return map_batches(found, make, PARTIAL)
-
+    The last place of the second counts is the start of a text.
+    """
 
-def fit(docs: DataFrame, max_words: int = 400_000, weight: float = 0.6, smoothing: float = 0.5):
-    """(counts of all words, the broadcast words), from rows text, good. The second is bounded by max_words."""
-    counts = materialise(word_counts(docs), "word-counts")
-    names = ("background", "target")
-    sums = counts.agg(F.count("*").alias("v"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    top = most_frequent(counts, "background", max_words).toArrow().sort_by("k")
-    model = Words(top["k"].to_numpy(), *(top[n].to_numpy() for n in names), tuple(sums[n] for n in names), sums["v"] + 1, weight, smoothing)
-    return counts, docs.sparkSession.sparkContext.broadcast(model)
+    def __init__(self, anywhere: np.ndarray, before: np.ndarray, weight: float, smoothing: float):
+        self.anywhere, self.before, self.weight, self.smoothing = anywhere, before, weight, smoothing
+        self.start = anywhere.shape[1]
+
+    def losses(self, pairs: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """Nats of the second token of each pair under the target and under the background model."""
+        out, a, b = [], pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
+        for n, anywhere, before in zip(counts, self.anywhere, self.before, strict=True):
+            p = (anywhere[b] + self.smoothing) / (anywhere.sum() + self.smoothing * self.start)
+            first = before[a]
+            out.append(-np.log(np.where(first > 0, (1 - self.weight) * p + self.weight * n / np.maximum(first, 1), p)))
+        return out
 
 
-def score(docs: DataFrame, counts: DataFrame, shared, shard_tokens: int = 1 << 21) -> DataFrame:
-    """t, n_tokens of all rows with this t, mean losses a token under both models. Rows: t, good, text."""
-    shards = 1 + shared.value.totals[1] // shard_tokens
-    known = score_known(known_pairs(docs, shared, shards), shared)
-    rare = score_rare(rare_pairs(docs, shared), counts, shared)
-    sums = known.union(rare).groupBy("t").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    return sums.select("t", "n", (F.col("x") / F.col("n")).alias("loss_target"), (F.col("y") / F.col("n")).alias("loss_background"))
+def pairs_of(lens: np.ndarray, ids: np.ndarray, start: int) -> np.ndarray:
+    """Token before (start at the beginning of a text) and token, in one number each."""
+    before = np.empty(len(ids), np.uint32)
+    before[1:] = ids[:-1]
+    before[(np.cumsum(lens) - lens)[lens > 0]] = start
+    return before << np.uint32(16) | ids
+
+
+def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def token_counts(tokens: DataFrame, vocabulary: int, weight: float, smoothing: float) -> Counts:
+    """Sums in each task, then over the tasks: twice the vocabulary's size of rows reach the driver, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((4, vocabulary + 1), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                lens, ids = np.array(row["lens"], np.int64), np.frombuffer(row["ids"], "<u2")
+                good = np.repeat(np.frombuffer(row["good"], np.uint8), lens).astype(bool)
+                first = pairs_of(lens, ids, vocabulary) >> np.uint32(16)
+                for k, x in enumerate((ids[good], ids, first[good], first)):
+                    n[k] += np.bincount(x, minlength=vocabulary + 1)
+        at = np.flatnonzero(n.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c[at]) for c in n]], ["token", "t", "b", "tf", "bf"])
+
+    rows = tokens.select("lens", "good", "ids").mapInArrow(run, "token long, t long, b long, tf long, bf long")
+    sums = rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("t", "b", "tf", "bf")]).toArrow()
+    n = np.zeros((4, vocabulary + 1), np.float64)
+    for k, c in enumerate(("t", "b", "tf", "bf")):
+        n[k, sums["token"].to_numpy()] = sums[c].to_numpy()
+    return Counts(n[:2, :vocabulary], n[2:], weight, smoothing)
+
+
+def pair_counts(tokens: DataFrame, vocabulary: int, shards: int) -> DataFrame:
+    """Answers of the shards to the blocks: block, shard, and the counts of the block's pairs there over all blocks."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lens = np.array(row["lens"], np.int64)
+                pairs, at, n = np.unique(pairs_of(lens, np.frombuffer(row["ids"], "<u2"), vocabulary), return_inverse=True, return_counts=True)
+                good = np.bincount(at, np.repeat(np.frombuffer(row["good"], np.uint8), lens), len(pairs)).astype(np.uint32)
+                shard = shard_of(pairs, shards)
+                order = np.argsort(shard, kind="stable")
+                found, first = np.unique(shard[order], return_index=True)
+                columns = [found, np.full(len(found), row["block"])]
+                for values in (pairs, n.astype(np.uint32), good):
+                    columns.append([part.tobytes() for part in np.split(values[order], first[1:])] if len(found) else [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "block", "pairs", "n", "good"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        pairs, n, good = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32) for c in ("pairs", "n", "good"))
+        ends = np.cumsum([len(x) // 4 for x in rows["pairs"].to_pylist()])[:-1]
+        pairs, at = np.unique(pairs, return_inverse=True)
+        sums = [np.bincount(at, x, len(pairs)).astype(np.int64)[at] for x in (good, n)]
+        target, background = ([part.tobytes() for part in np.split(x, ends)] for x in sums)
+        return pa.table({"block": rows["block"], "shard": rows["shard"], "target": pa.array(target, pa.binary()), "background": pa.array(background, pa.binary())})
+
+    sent = tokens.select("block", "lens", "good", "ids").mapInArrow(send, "shard long, block long, pairs binary, n binary, good binary")
+    return sent.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, background binary")
+
+
+def score(tokens: DataFrame, answers: DataFrame, shared, shards: int) -> DataFrame:
+    """Mean losses a token of every row of the blocks."""
+
+    def one(block: pa.Table, counted: pa.Table) -> pa.Table:
+        model, row = shared.value, block.to_pylist()[0]
+        lens = np.array(row["lens"], np.int64)
+        pairs, at = np.unique(pairs_of(lens, np.frombuffer(row["ids"], "<u2"), model.start), return_inverse=True)
+        counted = counted.sort_by("shard")
+        order, counts = np.argsort(shard_of(pairs, shards), kind="stable"), []
+        for c in ("target", "background"):
+            n = np.empty(len(pairs), np.float64)
+            n[order] = np.frombuffer(b"".join(counted[c].to_pylist()), np.int64)
+            counts.append(n)
+        text = np.repeat(np.arange(len(lens)), lens)
+        with np.errstate(invalid="ignore"):
+            x, y = (np.bincount(text, loss[at], len(lens)) / lens for loss in model.losses(pairs, tuple(counts)))
+        none = lens == 0
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": lens, "loss_target": pa.array(x, mask=none), "loss_background": pa.array(y, mask=none)})
+
+    return tokens.select("block", "doc_ids", "lens", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, RESULT)
 
 
 def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """t (hash of the text), good and text of every row. Only texts that may be good are shuffled."""
+    """doc_id, good (1 or 0) and text of every row. Only texts that may be good are shuffled: a bitmap of a fixed size tells."""
     bits = 24
     bitmap = bitmap_of(good.withColumnRenamed("doc_id", "rep"), bits)
+    rows = docs.select("doc_id", "text")
 
-    def which(wanted: bool):
+    def which(wanted: bool) -> DataFrame:
         def run(batches):
             for batch in batches:
                 may = hits(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), bitmap.value, bits)
                 yield batch.filter(pa.array(may == wanted))
 
-        return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", "text").schema)
+        return rows.mapInArrow(run, rows.schema)
 
-    likely = materialise(which(True).join(good.withColumn("good", F.lit(1)), "doc_id", "left").select(F.coalesce("good", F.lit(0)).alias("good"), "text"), "likely")
-    rows = which(False).select(F.lit(0).alias("good"), "text").union(likely)
-    return rows.select(F.xxhash64("text").alias("t"), "good", "text")
+    likely = which(True).join(good.withColumn("good", F.lit(1)), "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(0)).alias("good"), "text")
+    return which(False).select("doc_id", F.lit(0).alias("good"), "text").union(likely)
 
 
-def difference(docs: DataFrame, labels: DataFrame, shard_tokens: int = 1 << 21, **options) -> DataFrame:
+def difference(
+    docs: DataFrame, labels: DataFrame, ranks_path: str, pattern: str, block_tokens: int = 1 << 21, shard_tokens: int = 1 << 22, weight: float = 0.6, smoothing: float = 0.5
+) -> DataFrame:
     """Scores all documents against the target set: documents with a label of quality 1.
 
     Rows: doc_id, n_tokens, mean losses a token under both models and score, their difference (low: like the target).
     """
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    rows = marked(docs, good)
-    means = score(rows, *fit(rows, **options), shard_tokens)
-    head = docs.select("doc_id", F.xxhash64("text").alias("t"))
-    means = means.join(head.groupBy("t").agg(F.count("*").alias("copies")), "t")
-    out = head.join(means, "t", "left")
-    n = F.coalesce((F.col("n") / F.col("copies")).cast("long"), F.lit(0).cast("long"))
-    return out.select("doc_id", n.alias("n_tokens"), "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    tokens = materialise(token_blocks(marked(docs, good), ranks_path, pattern, block_tokens), "tokens")
+    vocabulary = encoding(ranks_path, pattern).n_vocab
+    counts = token_counts(tokens, vocabulary, weight, smoothing)
+    shards = 1 + int(counts.anywhere[1].sum()) // shard_tokens
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    out = score(tokens, pair_counts(tokens, vocabulary, shards), shared, shards)
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))

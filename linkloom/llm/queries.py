@@ -24,7 +24,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.difference(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return lm_score.difference(docs, labels, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

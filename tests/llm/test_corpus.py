@@ -1,9 +1,10 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -186,41 +187,61 @@ def test_byte_bpe_query(spark, sf, table, tik, odd, none):
     assert byte_bpe.encode_decode(odd, BYTE, public_tokenizers.PATTERN, True).count() == 9 and byte_bpe.encode_decode(none, BYTE, public_tokenizers.PATTERN).count() == 0
 
 
-def test_lm_scores_against_plain_counts(spark):
-    docs = spark.createDataFrame([(1, "a b a b c"), (2, "a b d"), (3, "c d c d"), (4, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in lm_score.difference(docs, labels).collect()}
-    texts = {1: "a b a b c".split(), 2: "a b d".split(), 3: "c d c d".split()}
+def brute_lm_losses(coder, texts: dict, sample: list, weight=0.6, smoothing=0.5):
+    """Mean nats a token of every text under a bigram model of the sample's texts, from plain counters; and the model."""
+    ids = {k: coder.encode_ordinary(t or "") for k, t in texts.items()}
+    v, anywhere, pairs, before = coder.n_vocab, Counter(), Counter(), Counter()
+    for k in sample:
+        anywhere.update(ids[k])
+        pairs.update(zip([None, *ids[k]], ids[k], strict=False))
+        before.update([None, *ids[k]][: len(ids[k])])
+    total = sum(anywhere.values())
 
-    def loss(sample, words):
-        from collections import Counter
+    def p(a, b):
+        single = (anywhere[b] + smoothing) / (total + smoothing * v)
+        return (1 - weight) * single + weight * pairs[a, b] / before[a] if before[a] else single
 
-        uni, bi = Counter(w for t in sample for w in t), Counter(p for t in sample for p in zip(t, t[1:], strict=False))
-        v = 5  # four words and the place of unknown ones
-        p1 = lambda w: (uni[w] + 0.5) / (sum(uni.values()) + 0.5 * v)
-        out = -np.log(p1(words[0]))
-        for a, b in zip(words, words[1:], strict=False):
-            out -= np.log(0.4 * p1(b) + 0.6 * bi[a, b] / max(uni[a], 1))
-        return out / len(words)
+    return {k: -sum(math.log(p(a, b)) for a, b in zip([None, *x], x, strict=False)) / len(x) if x else None for k, x in ids.items()}, p
 
-    for k, words in texts.items():
-        assert got[k].loss_background == pytest.approx(loss(texts.values(), words)) and got[k].loss_target == pytest.approx(loss([texts[1]], words))
-        assert got[k].score == pytest.approx(got[k].loss_target - got[k].loss_background)
-    assert got[4].n_tokens == 0 and got[4].score is None
 
+def test_lm_query_by_brute_force(spark, sf, table, tik):
+    """op4 over the whole of the smallest tables."""
+    texts = {r.doc_id: r.text for r in table.collect()}
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality == 1}
+    background, _ = brute_lm_losses(tik, texts, list(texts))
+    target, _ = brute_lm_losses(tik, texts, [k for k in texts if k in good])
+    rows = q.op4_lm_scoring(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        assert r.n_tokens == len(tik.encode_ordinary(texts[r.doc_id] or ""))
+        assert r.loss_background == pytest.approx(background[r.doc_id]) and r.loss_target == pytest.approx(target[r.doc_id])
+        assert r.score == pytest.approx(target[r.doc_id] - background[r.doc_id], abs=1e-9)
 
-def test_lm_scores_do_not_depend_on_the_bound(spark, sf, table):
-    """Every word and bigram counts, whichever words are broadcast and however many shards there are."""
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    few = {r.doc_id: r for r in lm_score.difference(table, labels, max_words=40, shard_tokens=5000).collect()}
-    assert len(few) == table.count() and any(r.n_tokens > 100 for r in few.values())
-    for r in lm_score.difference(table, labels).collect():
-        assert r.n_tokens == few[r.doc_id].n_tokens and r.score == pytest.approx(few[r.doc_id].score) and r.loss_target == pytest.approx(few[r.doc_id].loss_target)
 
+def test_lm_probabilities_sum_to_one(tik):
+    texts = {1: "a b a b c", 2: "a b d"}
+    _, p = brute_lm_losses(tik, texts, [1, 2])
+    for a in (None, tik.encode_ordinary("a")[0], 50000):
+        assert sum(p(a, b) for b in range(tik.n_vocab)) == pytest.approx(1)
 
-def test_lm_edge_cases(spark, odd, none):
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert lm_score.difference(odd, labels).count() == 9 and lm_score.difference(none, labels).count() == 0
+
+def test_lm_scores_do_not_depend_on_blocks_and_shards(spark, sf, table):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    few = {r.doc_id: r for r in lm_score.difference(table, labels, BYTE, public_tokenizers.PATTERN, block_tokens=3000, shard_tokens=5000).collect()}
+    for r in q.op4_lm_scoring(spark, sf).collect():
+        assert r == few[r.doc_id]
+
+
+def test_lm_edge_cases(spark, odd, none, tik):
+    labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (None, 1, 0), (99, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = lm_score.difference(odd, labels, BYTE, public_tokenizers.PATTERN).collect()
+    assert len(rows) == 9 and all((r.n_tokens, r.score) == (0, None) for r in rows if r.doc_id in (1, 2))
+    both = [r for r in rows if r.doc_id == 5]
+    assert both[0] == both[1] and both[0].score < min(r.score for r in rows if r.doc_id in (4, 7, 8))
+    assert next(r for r in rows if r.doc_id == 4).n_tokens == len(tik.encode_ordinary("the cat " * 3000))
+    nothing = lm_score.difference(odd, labels.limit(0), BYTE, public_tokenizers.PATTERN).collect()
+    assert all(r.loss_target == pytest.approx(math.log(tik.n_vocab)) for r in nothing if r.n_tokens)
+    assert lm_score.difference(none, labels, BYTE, public_tokenizers.PATTERN).count() == 0
 
 
 def test_warc_round_trip(spark):
