@@ -4,13 +4,20 @@ A segment tree over remaining capacities finds the tightest open bin for each pi
 into shards of a bounded number of tokens, each packed by itself, so that no task holds more than one shard; a shard ends
 with at most a few bins that are not full.
 
-Defined results: a null or empty text is one piece of length 1 (its end id). Repeated rows are packed each for itself.
+The ids are those of the tokenizer's own call, ``encode(text, add_special_tokens=False)``: a special string of the vocabulary
+that stands in a text becomes its special id, as there.
+
+Defined results: a null or empty text is one piece of length 1 (its end id); an empty table gives no piece. A very long text
+is cut into pieces of capacity tokens, of which only the last may be shorter. Pieces of equal length are placed in the order of
+doc_id (null first), piece and row. Repeated rows are packed each for itself. Columns but doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -68,14 +75,15 @@ class BestFit:
 
 COMMON_SPACE = re.compile(r"[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+#: What the merges below are right for. A vocabulary that says something else is refused.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
 def merge_engine(spec: dict):
     """tiktoken's engine with the merges of the vocabulary.
 
-    It knows single bytes only. A symbol, a byte inside or at the
-    end of a piece, is therefore written as two bytes: 0xFE or 0xFF, which UTF-8 never holds, and the byte itself; these
-    pairs merge before all others.
+    It knows single bytes only. The last byte of a piece, which the vocabulary holds as a symbol of its own, is therefore
+    followed by 0xFF, which UTF-8 never holds; a byte and 0xFF merge before all others.
     """
     import tiktoken
 
@@ -83,81 +91,105 @@ def merge_engine(spec: dict):
     shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
     vocabulary = spec["model"]["vocab"]
     end = spec["model"]["end_of_word_suffix"]
-    written = {shown[b]: bytes((0xFE, b)) for b in range(256)} | {shown[b] + end: bytes((0xFF, b)) for b in range(256)}
+    written = {shown[b]: bytes((b,)) for b in range(256)} | {shown[b] + end: bytes((b, 0xFF)) for b in range(256)}
     ranks = {data: vocabulary[symbol] for symbol, data in written.items()}
     for pair in spec["model"]["merges"]:
         left, right = pair if isinstance(pair, list) else pair.split(" ")
         written[left + right] = written[left] + written[right]
         ranks[written[left + right]] = vocabulary[left + right]
-    if list(ranks.values())[512:] != sorted(list(ranks.values())[512:]) or max(list(ranks.values())[:512]) > 511:
+    singles, merged = list(ranks.values())[:512], list(ranks.values())[512:]
+    if merged != sorted(merged) or max(singles) > 511 or max(ranks[bytes((b,))] for b in range(256)) > min(ranks[bytes((b, 0xFF))] for b in range(256)):
         raise ValueError("the ids do not follow the merges")
-    free = max(vocabulary.values()) + 1  # single bytes must be known, but none ever stays
-    ranks |= {bytes((b,)): free + b for b in range(256)}
-    return tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
 
 @lru_cache(2)
 def loaded(path: str):
-    """(tokenizer, engine, pattern) of the vocabulary: of a fixed size, so a worker keeps them from task to task."""
+    """(tokenizer, engine, pattern, special strings) of the vocabulary: of a fixed size, so a worker keeps them."""
     import json
 
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     with open(path) as f:
         spec = json.load(f)
-    return tokenizer, merge_engine(spec), spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    steps = spec["normalizer"].get("normalizers", [spec["normalizer"]])
+    split = spec["pre_tokenizer"]["pretokenizers"]
+    if steps != NORMALIZERS or [x["type"] for x in split] != ["Split", "ByteLevel"] or spec["model"]["type"] != "BPE" or any(x["normalized"] for x in spec["added_tokens"]):
+        raise ValueError(f"{path}: neither the normaliser nor the pre-tokenizer that this operator knows")
+    return Tokenizer.from_file(path), merge_engine(spec), split[0]["pattern"]["Regex"], tuple(x["content"] for x in spec["added_tokens"])
+
 
+class Recent(dict):
+    """A dictionary of two generations: when it has over room entries they become the old ones, and are found once more."""
 
-class PieceIds(dict):
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.old = room, {}
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class PieceIds(Recent):
     """Piece of the pre-tokeniser (normalised, without white space) to its ids as little-endian 32-bit bytes."""
 
     def __init__(self, engine, room: int):
-        super().__init__()
-        self.engine, self.room = engine, room
+        super().__init__(room)
+        self.engine = engine
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        pairs = bytearray(b"\xfe\x00") * len(data)
-        pairs[1::2] = data
-        pairs[-2] = 0xFF
-        ids = np.array(self.engine._encode_single_piece(bytes(pairs)), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", self.engine(piece.encode() + b"\xff")).tobytes()
         if len(piece) <= 64:
-            if len(self) > self.room:
-                self.clear()
-            self[piece] = ids
+            self.keep(piece, ids)
         return ids
 
 
-class ChunkIds(dict):
+class ChunkIds(Recent):
     """White-space separated chunk to its ids as little-endian 32-bit bytes. The vocabulary never merges over white space.
 
-    A chunk whose normal form Python can tell is cut into pieces here; any other goes through the tokenizer itself.
+    A chunk whose normal form Python can tell is cut into pieces here; any other goes through the tokenizer itself. So does a
+    whole text that holds one of the vocabulary's special strings: as in the tokenizer's own call, they become special ids.
     """
 
-    def __init__(self, path: str, room: int = 120_000):
+    def __init__(self, path: str, room: int = 150_000):
         import regex
 
-        super().__init__()
-        self.tokenizer, engine, pattern = loaded(path)
-        self.pieces, self.room, self.split = PieceIds(engine, 2 * room), room, regex.compile(pattern).findall
+        super().__init__(room)
+        self.tokenizer, engine, pattern, self.special = loaded(path)
+        self.pieces, self.split = PieceIds(engine, room), regex.compile(pattern).findall
 
     def __missing__(self, chunk: str) -> bytes:
-        small = chunk.lower()
-        # Python lowers a sigma at the end of a word in its own way; marks may compose anew once their letter is small.
-        plain = not OTHER_SPACE.search(chunk) and (chunk.isascii() or "\u03a3" not in chunk and is_normalized("NFC", chunk) and is_normalized("NFC", small))
-        if plain:
-            ids = b"".join(map(self.pieces.__getitem__, self.split(small)))
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.of_chunk(chunk)
         if len(chunk) <= 64:  # longer ones hardly come again
-            self[chunk] = ids
+            self.keep(chunk, ids)
         return ids
 
+    def of_chunk(self, chunk: str) -> bytes:
+        small = chunk.lower()
+        if chunk.isascii():
+            if small.isalpha():
+                return self.pieces[small]
+            plain = not OTHER_SPACE.search(chunk)
+        else:
+            # Python lowers a sigma at the end of a word in its own way; marks may compose anew once their letter is small.
+            plain = "\u03a3" not in chunk and is_normalized("NFC", chunk) and is_normalized("NFC", small) and not OTHER_SPACE.search(chunk)
+        if plain:
+            return b"".join(map(self.pieces.__getitem__, self.split(small)))
+        return self.by_tokenizer(chunk)
+
+    def by_tokenizer(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
-        if len(self) > self.room:
-            self.clear()
+        if any(s in text for s in self.special):
+            return self.by_tokenizer(text)
         if OTHER_SPACE.search(text):  # str.split would cut more than the tokenizer does
             return b"".join(b"".join(map(self.__getitem__, filter(None, COMMON_SPACE.split(block)))) for block in blocks(text))
         return b"".join(b"".join(map(self.__getitem__, block.split())) for block in blocks(text))
@@ -169,7 +201,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id:
     def make():
         from pyspark import TaskContext
 
-        coder, end = ChunkIds(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are hashed as little-endian 32-bit numbers")
+        coder, end = ChunkIds(tokenizer_path), array("I", [end_id]).tobytes()
         context = TaskContext.get()
         uid = (context.partitionId() if context else 0) << 33
 

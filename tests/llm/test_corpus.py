@@ -131,7 +131,6 @@ def test_packing_round_trip(spark, sf, table):
     from tokenizers import Tokenizer
 
     coder, want = Tokenizer.from_file(WORD), {}
-    coder.encode_special_tokens = True
     for r in table.collect():
         ids = np.array([*coder.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
         for k, at in enumerate(range(0, len(ids), 4096)):
@@ -157,6 +156,22 @@ def test_chunks_have_the_tokenizers_ids(text):
     assert coder.encode(text) == np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_special_strings_get_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    coder, text = Tokenizer.from_file(WORD), "a <|endoftext|> b<|STARTOFTEXT|> <|startoftext|>c"
+    want = np.array([*coder.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    assert 49407 in want
+    row = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), WORD).first()
+    assert (row.length, row.ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
+
+
+def test_recent_ids_come_back():
+    small, large = packing.ChunkIds(WORD, 3), packing.ChunkIds(WORD)
+    text = "one two, three Four five! one two, six one seven eight one " * 3
+    assert small.encode(text) == large.encode(text) and len(small) <= 3
+
+
 def test_packing_edge_cases(odd, none):
     rows = packing.pack_documents(odd, WORD).collect()
     assert sorted(r.length for r in rows if r.doc_id in (1, 2, 3)) == [1, 1, 1] and sum(r.doc_id == 5 for r in rows) == 2
