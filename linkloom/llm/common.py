@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,9 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session without the setting (tests, one machine) gets its own."""
+    """The folder that all executors share. A session of one machine (tests) gets its own where none is set; a cluster has to
+    name one, as a folder of one machine would lose what the others wrote."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -58,6 +62,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
     return df.mapInArrow(run, struct)
 
 
+def filter_by_text(df: DataFrame, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows for whose texts the function that make() returns says true: a list of texts in, a list of flags out. Rows and
+    columns pass as they are, whatever the names of the others than ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield part.filter(pa.array(call(part.column("text").to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
     """Cuts a very long text behind ASCII white space, so that no word is split unless it is itself longer than size."""
     at = 0
@@ -77,24 +95,6 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def most_frequent(counts: DataFrame, n: str, limit: int, cap: int = 100_000) -> DataFrame:
-    """The rows of a stored table whose count n is so high that no more than limit rows have it or more.
-
-    A histogram of the counts, of at most cap rows, gives the least count; rows that tie there stay or go together. Sorting
-    would send limit rows of every task to the driver.
-    """
-    histogram = counts.groupBy(F.least(F.col(n), F.lit(cap)).alias("c")).agg(F.count("*").alias("rows")).collect()
-    least, held = cap + 1, 0
-    for c, rows in sorted(((r["c"], r["rows"]) for r in histogram), reverse=True):
-        held += rows
-        if held > limit:
-            break
-        least = c
-    if least > cap:  # more than limit rows reach the cap
-        return counts.where(F.col(n) >= cap).orderBy(F.desc(n), *[c for c in counts.columns if c != n]).limit(limit)
-    return counts.where(F.col(n) >= least)
-
-
 def id_bits(doc_ids: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (doc_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)

@@ -3,21 +3,25 @@
 Known words score by their log frequency in each language. An unseen word falls back to its character 5-grams, then 4-grams
 and so on down to single characters: the longest order with a known n-gram decides.
 
+The model holds every word and n-gram of the rows it is fitted on; only the number of these rows is bounded, by a parameter.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0. Languages that tie go to the first in
-alphabetical order. With no labelled row at all, every row is ``und``. Repeated rows get equal results.
+alphabetical order. With no labelled row at all, every row is ``und``; an empty table gives an empty result. Very long texts
+are scored whole, block by block. Repeated rows get equal results. Columns of docs but those named are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from linkloom.llm.common import blocks, map_batches, materialise, most_frequent
+from linkloom.llm.common import blocks, filter_by_text, map_batches, materialise
 
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")  # runs of letters
@@ -27,27 +31,25 @@ class WordBackoff:
     """The model: rows of log probabilities by language for words and for character n-grams."""
 
     def __init__(self, counts: list[tuple[str, str, int]], orders: int = 5, min_gram_count: int = 3, smoothing: float = 0.5):
-        """counts: (language, word, occurrences)."""
+        """counts: (language, word, occurrences). N-grams of two and more characters count from min_gram_count occurrences on."""
         self.languages = sorted({lang for lang, _, _ in counts})
         self.orders = orders
         column = {lang: k for k, lang in enumerate(self.languages)}
-        words: dict[str, list[int]] = defaultdict(lambda: [0] * len(column))
-        grams: list[dict[str, list[int]]] = [defaultdict(lambda: [0] * len(column)) for _ in range(orders)]
-        for lang, word, n in counts:
-            words[word][column[lang]] += n
-        for word, by_lang in words.items():
-            for k in range(orders):
-                for gram in self.grams_of(word, k + 1):
-                    mine = grams[k][gram]
-                    for c, n in enumerate(by_lang):
-                        mine[c] += n
+        row = {word: k for k, word in enumerate(dict.fromkeys(word for _, word, _ in counts))}
+        words, by_lang = list(row), np.zeros((len(row), len(column)))
+        np.add.at(by_lang, ([row[w] for _, w, _ in counts], [column[x] for x, _, _ in counts]), [n for _, _, n in counts])
         self.words, tables = {}, []
-        self._add(words, self.words, tables, smoothing)
+        self._add(words, by_lang, self.words, tables, smoothing)
         self.grams: list[dict[str, int]] = []
-        for k in range(orders):
-            keep = {g: n for g, n in grams[k].items() if sum(n) >= min_gram_count}
+        for k in range(1, orders + 1):
+            lists = [self.grams_of(w, k) for w in words]
+            owner = np.repeat(np.arange(len(words)), [len(x) for x in lists])
+            number: dict[str, int] = {}
+            at = np.fromiter((number.setdefault(g, len(number)) for x in lists for g in x), np.int64, len(owner))
+            found = np.stack([np.bincount(at, c[owner], len(number)) for c in by_lang.T], 1) if len(at) else np.zeros((0, len(column)))
+            keep = found.sum(1) >= (min_gram_count if k > 1 else 0)
             self.grams.append({})
-            self._add(keep, self.grams[k], tables, smoothing)
+            self._add([g for g, x in zip(number, keep, strict=True) if x], found[keep], self.grams[-1], tables, smoothing)
         self.log_p = np.concatenate(tables) if tables else np.zeros((0, 0), np.float32)
 
     @staticmethod
@@ -56,14 +58,13 @@ class WordBackoff:
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
     @staticmethod
-    def _add(counts: dict[str, list[int]], into: dict[str, int], tables: list[np.ndarray], smoothing: float) -> None:
-        if not counts:
+    def _add(keys: list[str], counts: np.ndarray, into: dict[str, int], tables: list[np.ndarray], smoothing: float) -> None:
+        if not keys:
             return
         first = sum(len(x) for x in tables)
-        into.update((key, first + i) for i, key in enumerate(counts))
-        table = np.array(list(counts.values()), np.float64)
-        total = table.sum(0) + smoothing * (len(counts) + 1)
-        tables.append(np.log((table + smoothing) / total).astype(np.float32))
+        into.update((key, first + i) for i, key in enumerate(keys))
+        total = counts.sum(0) + smoothing * (len(counts) + 1)
+        tables.append(np.log((counts + smoothing) / total).astype(np.float32))
 
     def unseen(self, word: str) -> np.ndarray:
         """The row of a word that is not in the model: the mean over its known n-grams of the longest order that has any."""
@@ -113,20 +114,17 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, max_rows_per_language: int = 20_000, max_words: int = 60_000, seed: int = 7) -> WordBackoff:
-    """Fits the model on rows (text, lang) with a language.
+def train(docs: DataFrame, max_rows_per_language: int = 2000, seed: int = 7) -> WordBackoff:
+    """Fits the model on rows (doc_id, text, lang) with a language.
 
-    The fit is bounded by two parameters: about max_rows_per_language whole texts of each language, chosen by a hash of the
-    text, are counted in Spark, and of the (language, word) pairs at most the max_words most frequent reach the driver.
+    The fit is bounded by one parameter: about max_rows_per_language whole texts of each language, chosen by a hash of the row,
+    are counted in Spark. All words of theirs, and so all languages, reach the driver.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not rows:
-        return WordBackoff([])
-    scale = 1 << 20
-    share = {lang: min(scale, math.ceil(max_rows_per_language / n * scale)) for lang, n in rows.items()}
-    limit = F.coalesce(F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")], F.lit(0))
-    sample = labelled.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(scale)) < limit)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
+    scale = 1 << 30
+    shares = labelled.groupBy("lang").agg(F.least(F.lit(scale), F.ceil(F.lit(float(max_rows_per_language) * scale) / F.count("*"))).alias("share"))
+    place = F.pmod(F.xxhash64("text", "doc_id", F.lit(seed)), F.lit(scale))
+    sample = labelled.join(materialise(shares, "language-shares"), "lang").where(place < F.col("share")).select("lang", "text")
 
     def count():
         def call(batch: dict) -> dict:
@@ -139,45 +137,47 @@ def train(docs: DataFrame, max_rows_per_language: int = 20_000, max_words: int =
 
         return call
 
-    counts = map_batches(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = most_frequent(materialise(counts, "word-counts"), "n", max_words).collect()
-    return WordBackoff([(r["lang"], r["word"], r["n"]) for r in top])
+    counts = map_batches(sample, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    rows = zip(*(counts[c].to_pylist() for c in ("lang", "word", "n")), strict=True)
+    return WordBackoff(sorted(rows))
 
 
-def predict(docs: DataFrame, model: WordBackoff) -> DataFrame:
-    """Adds lang_pred and score to the columns of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train's parameters
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    names = [f.name for f in kept]
+def predict(docs: DataFrame, model: WordBackoff, keep: tuple[str, ...]) -> DataFrame:
+    """Columns keep of docs, lang_pred and score of every row."""
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("lang_pred and score are names of the result")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train's parameter
 
     def make():
         scorer = Scorer(shared.value)
 
         def call(batch: dict) -> dict:
             both = [scorer.score(t) for t in batch["text"]]
-            return {n: batch[n] for n in names} | {"lang_pred": [x[0] for x in both], "score": [x[1] for x in both]}
+            return {n: batch[n] for n in keep} | {"lang_pred": [x[0] for x in both], "score": [x[1] for x in both]}
 
         return call
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return map_batches(docs.select(*names), make, schema)
+    schema = T.StructType([*(docs.schema[n] for n in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return map_batches(docs.select(*dict.fromkeys((*keep, "text"))), make, schema)
 
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row. Learns from rows with a language that aren't held out."""
     marked = docs.select("doc_id", "text", "lang", is_held_out(F.col("doc_id")).alias("held_out"))
     model = train(marked.where(~F.col("held_out")), **bounds)
-    out = predict(marked.select("doc_id", "held_out", "text"), model)
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    return predict(marked.select("doc_id", "held_out", "text"), model, ("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The pipeline's filter: drops rows without a letter or whose best language has less than min_score; columns stay."""
-    marked = docs.select(*docs.columns, is_held_out(F.col("doc_id")).alias("held_out"))
-    model = train(marked.where(~F.col("held_out")))
+def keep_identified(docs: DataFrame, min_score: float = 0.5, **bounds) -> DataFrame:
+    """The pipeline's filter: drops rows without a letter or whose best language has less than min_score; columns stay, also
+    such as are named like this module's own. Without any labelled row it drops only rows without a letter."""
+    model = train(docs.select("doc_id", "text", "lang").where(~is_held_out(F.col("doc_id"))), **bounds)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = predict(docs, model)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train's parameter
+
+    def make():
+        scorer = Scorer(shared.value)
+        return lambda texts: [lang != UNDETERMINED and score >= min_score for lang, score in map(scorer.score, texts)]
+
+    return filter_by_text(docs, make)

@@ -1,11 +1,15 @@
 """Quality rules with an isolation forest over their statistics.
 
-One pass over the texts gives each document its rule statistics. An isolation forest, grown on a bounded sample of labelled
-rows of good quality, scores them: anomalous statistics are isolated by few random splits. The threshold is the
-one that best parts all good from all bad labelled rows, while no more than a bounded share of the good ones exceeds it.
+One pass over the texts gives each document its rule statistics. An isolation forest scores them: anomalous statistics are
+isolated by few random splits. Its trees hold a bounded sample of labelled rows of good quality, and draw their splits over the
+box that all labelled rows span, good and bad; a statistic that no good row varies in thus still parts the others off. The
+threshold is the one that best parts all good from all bad labelled rows, while no more than a bounded share of the good ones
+exceeds it.
 
 Defined results: a null, empty or white-space text has no words and fails the base rule. With fewer than 20 good labelled
-rows the forest rejects nothing. Repeated rows get equal results; labels of a document that disagree count as not good.
+rows, as in an empty table, the forest rejects nothing. Very long texts are read whole. Statistics that tie with the threshold
+are kept. Repeated rows get equal results; labels of a document that disagree count as not good. Columns of docs but doc_id
+and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import map_batches, materialise
+from linkloom.llm.common import bitmap_of, filter_by_text, in_bitmap, map_batches, materialise
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -58,31 +62,36 @@ def statistics_of(text: str | None) -> tuple[list[int], list[float]]:
     repeats = repeated_words(ids)
     w, c = max(1, n), max(1, chars)
     without = lambda x: (len(data) - len(data.translate(None, x))) / c
-    shares = [chars / w, symbols / w, dup / max(1, lines), repeats / w, without(UPPER), without(DIGITS), without(MARKS), len(numbers) / w**0.8, math.log1p(n / max(1, lines))]
+    shares = [chars / w, math.log1p(symbols / w), math.sqrt(dup / max(1, lines)), math.sqrt(repeats / w), without(UPPER), math.sqrt(without(DIGITS)), without(MARKS)]
+    shares += [len(numbers) / w**0.8, math.log1p(n / max(1, lines))]
     return [n, chars, symbols, dup, repeats], shares
 
 
 class IsolationForest:
-    """Trees of random splits in arrays; leaves add the expected depth of the rows they hold."""
+    """Trees of random splits in arrays; leaves add the expected depth of the rows they hold.
 
-    def __init__(self, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 5):
+    A split is drawn evenly over a side of the node's part of the box (the rows' own one by default), and one side of it may
+    hold no row.
+    """
+
+    def __init__(self, rows: np.ndarray, box: tuple[np.ndarray, np.ndarray] | None = None, trees: int = 100, sample: int = 512, seed: int = 5):
         draw = np.random.default_rng(seed)
         self.sample = max(2, min(sample, len(rows)))
-        self.trees = [self._grow(rows[draw.choice(len(rows), self.sample, replace=len(rows) < self.sample)], draw) for _ in range(trees)]
+        low, high = box if box is not None else (rows.min(0), rows.max(0))
+        self.trees = [self._grow(rows[draw.choice(len(rows), self.sample, replace=len(rows) < self.sample)], low, high, draw) for _ in range(trees)]
 
     @staticmethod
     def expected(n: int) -> float:
         return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def _grow(self, rows: np.ndarray, draw) -> tuple[np.ndarray, ...]:
+    def _grow(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, draw) -> tuple[np.ndarray, ...]:
         limit, feature, cut, child, depth = math.ceil(math.log2(self.sample)), [], [], [], []
-        todo = [(rows, 0, -1)]
+        todo = [(rows, low, high, 0, -1)]
         while todo:
-            part, level, parent = todo.pop()
+            part, low, high, level, parent = todo.pop()
             at = len(feature)
             if parent >= 0:
                 child[parent].append(at)
-            low, high = part.min(0), part.max(0)
             open_ = np.flatnonzero(high > low)
             if level >= limit or len(part) < 2 or not len(open_):
                 feature.append(-1), cut.append(0.0), child.append([0, 0]), depth.append(level + self.expected(len(part)))
@@ -90,7 +99,9 @@ class IsolationForest:
             f = int(draw.choice(open_))
             c = float(draw.uniform(low[f], high[f]))
             feature.append(f), cut.append(c), child.append([]), depth.append(0.0)
-            todo += [(part[part[:, f] >= c], level + 1, at), (part[part[:, f] < c], level + 1, at)]  # the left one is taken first
+            below, above = high.copy(), low.copy()
+            below[f] = above[f] = c
+            todo += [(part[part[:, f] >= c], above, high, level + 1, at), (part[part[:, f] < c], low, below, level + 1, at)]  # the left one is taken first
         return np.array(feature), np.array(cut), np.array(child), np.array(depth)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -172,11 +183,11 @@ def threshold(histogram: list[tuple[int, int, int]], reject: float, lose: float,
     return most / bins
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, reject: float = 0.005, lose: float = 0.1, bins: int = 100_000) -> tuple[IsolationForest | None, float]:
+def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, reject: float = 0.005, lose: float = 0.02, bins: int = 100_000) -> tuple[IsolationForest | None, float]:
     """Forest and threshold, from the labelled rows that pass the base rule.
 
-    The forest grows on at most max_labelled good ones, chosen by a hash. The threshold is set by all good and all bad ones: a
-    step of bins equal ones between 0 and 1, as threshold() says. Only the histograms reach the driver. Fewer than 20 good
+    The forest grows on at most max_labelled good ones, chosen by a hash, in the box of all good and bad ones. The threshold is
+    set by all of them: a step of bins equal ones between 0 and 1, as threshold() says. Only histograms reach the driver. Fewer than 20 good
     rows make no forest, and nothing is rejected by it.
     """
     both = materialise(stats.where(~fails_base()).join(labels_of(labels), "doc_id").select("doc_id", "good", *SHARES), "labelled-statistics")
@@ -186,7 +197,8 @@ def calibrate(stats: DataFrame, labels: DataFrame, max_labelled: int = 20_000, r
         return None, 1.0
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", *SHARES), F.lit(scale)) < min(scale, math.ceil(max_labelled / n * scale)))
     fit = chosen.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *SHARES).limit(max_labelled).select(*SHARES).collect()
-    forest = IsolationForest(np.array([list(r) for r in fit]))
+    ends = both.agg(*[f(c) for f in (F.min, F.max) for c in SHARES]).first()
+    forest = IsolationForest(np.array([list(r) for r in fit]), (np.array(ends[: len(SHARES)]), np.array(ends[len(SHARES) :])))
     step = F.ceil(F.col("anomaly") * bins)
     histogram = anomalies(both, forest, ("good",)).groupBy(step.alias("step")).agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b")).collect()
     return forest, threshold([tuple(r) for r in histogram], reject, lose, bins)
@@ -200,23 +212,27 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.withColumn("base_failed", fails_base()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= most))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The pipeline's filter: drops rows that the base rule or the forest rejects; columns stay. The forest is fitted in a
-    pass of its own, and then each text is judged where it is read, so that texts are never shuffled."""
-    stats = materialise(rule_statistics(docs.join(labels_of(labels), "doc_id", "left_semi")), "rule-statistics")
-    forest, most = calibrate(stats, labels, **options)
+def keep_good(docs: DataFrame, labels: DataFrame, filter_bits: int = 24, **options) -> DataFrame:
+    """The pipeline's filter: drops rows that the base rule or the forest rejects; columns stay.
+
+    The forest is fitted in a pass of its own over the texts that may be labelled (a bitmap of a fixed size tells), and then
+    each text is judged where it is read: only statistics are joined with labels, texts are never shuffled.
+    """
+    some = docs.select("doc_id", "text")
+    some = in_bitmap(some, bitmap_of(labels_of(labels).select(F.col("doc_id").alias("rep")), filter_bits), filter_bits)
+    forest, most = calibrate(materialise(rule_statistics(some), "rule-statistics"), labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees x 2 x sample nodes
 
     def make():
         trees = shared.value
 
-        def call(batch: dict) -> dict:
-            found = [statistics_of(t) for t in batch["text"]]
+        def call(texts: list) -> list:
+            found = [statistics_of(t) for t in texts]
             fine = np.array([b[0] >= 50 and 100 * b[4] <= 50 * b[0] for b, _ in found], bool)
             if trees:
                 fine &= trees.score(np.array([s for _, s in found], np.float64)) <= most
-            return {c: [v for v, k in zip(batch[c], fine, strict=True) if k] for c in batch}
+            return fine.tolist()
 
         return call
 
-    return map_batches(docs, make, docs.schema)
+    return filter_by_text(docs, make)

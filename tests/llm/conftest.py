@@ -1,6 +1,11 @@
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use for columns of their own.
+CLASHING = (
+    "node", "held_out", "score", "lang_pred", "share", "good", "t", "n", "label", "rep", "kept", "n_words", "anomaly", "component_id", "keys", "sig", "spans", "_spans", "base", "owner", "hash",
+    "text_hash", "_d", "_t", "_h", "d", "uid", "piece", "shard", "sequence_id", "block", "media", "declared_type", "html", "url", "host", "page_id", "digest", "refers_to",
+)
 
 
 @pytest.fixture(scope="session")
@@ -11,7 +16,7 @@ def odd(spark):
         (5, "le chat est sur la table", "fr", "b", 24), (5, "le chat est sur la table", "fr", "b", 24), (None, "the dog is here", "en", "b", 15),
         (7, "x" * 50000, None, "c", 50000), (8, "12345 !!", "en", "c", 8),
     ]
-    return spark.createDataFrame([(*r, "mine") for r in rows], SCHEMA + ", node string")
+    return spark.createDataFrame([(*r, *["mine"] * len(CLASHING)) for r in rows], SCHEMA + "".join(f", {c} string" for c in CLASHING))
 
 
 @pytest.fixture(scope="session")

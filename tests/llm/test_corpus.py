@@ -39,13 +39,68 @@ def test_language_of_held_out_documents(spark, sf, table):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(got.doc_id, got.held_out, strict=True))
 
 
+def brute_language(counts: dict, orders=5, smoothing=0.5):
+    """Plain word-first backoff over {(language, word): occurrences}: a function from a text to (language, score)."""
+    languages = sorted({k[0] for k in counts})
+    tables = [defaultdict(Counter) for _ in range(orders + 1)]
+    for (lang, word), n in counts.items():
+        tables[0][word][lang] += n
+        for k in range(1, orders + 1):
+            padded = f"^{word}$" if k > 1 else word
+            for i in range(len(padded) - k + 1):
+                tables[k][padded[i : i + k]][lang] += n
+    tables[2:] = [{g: c for g, c in t.items() if sum(c.values()) >= 3} for t in tables[2:]]
+    totals = [{x: sum(c[x] for c in t.values()) + smoothing * (len(t) + 1) for x in languages} for t in tables]
+
+    def row(word):
+        for k in (0, *range(orders, 0, -1)):
+            padded = f"^{word}$" if k > 1 else word
+            known = [g for g in ([word] if not k else [padded[i : i + k] for i in range(len(padded) - k + 1)]) if g in tables[k]]
+            if known:
+                return [sum(math.log((tables[k][g][x] + smoothing) / totals[k][x]) for g in known) / len(known) for x in languages]
+        return [0.0] * len(languages)
+
+    def predict(text):
+        rows = [row(w) for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        if not rows or not languages:
+            return "und", 0.0
+        total = [sum(r[k] for r in rows) * min(1, 20 / len(rows)) for k in range(len(languages))]
+        best = max(total)
+        return languages[total.index(best)], 1 / sum(math.exp(x - best) for x in total)
+
+    return predict
+
+
+def test_language_by_brute_force(spark, sf, table):
+    """op1 over the whole of the smallest table, all of whose labelled rows are in its model."""
+    counts, rows = Counter(), table.collect()
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+                counts[r.lang, w] += 1
+    predict, texts = brute_language(counts), {r.doc_id: r.text for r in rows}
+    for r in q.op1_language_id(spark, sf).collect():
+        lang, score = predict(texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=2e-3)
+
+
+def test_language_of_words_that_occur_once(spark):
+    """Ties in the counts leave nothing out: every row of distinct words is identified, and 1200 languages can be learned."""
+    rows = [(k, f"{'the' if k % 2 else 'les'}{k} {'ing' if k % 2 else 'eau'}{chr(97 + k % 26)}", "en" if k % 2 else "fr") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert sum(got[k] == ("en" if k % 2 else "fr") for k in got) >= 55
+    many = spark.createDataFrame([(k, f"w{chr(97 + k % 26) * (1 + k // 26)}x", f"l{k}") for k in range(1200)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many).languages) == 1200
+
+
 def test_language_edge_cases(odd, none):
     rows = language_id.identify(odd).collect()
-    assert len(rows) == 9
-    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in rows if r.doc_id in (1, 2, 3, 8))
-    assert language_id.identify(none).count() == 0
+    assert len(rows) == 9 and {r.doc_id: r.lang_pred for r in rows} == {k: "und" if k in (1, 2, 3, 8) else "en" for k in (1, 2, 3, 4, 5, 7, 8, None)}  # row 5 is held out: only en is learned
+    assert all((r.lang_pred, r.score) == ("und", 0.0) for r in rows if r.doc_id in (1, 2, 3, 8)) and len({(r.lang_pred, r.score) for r in rows if r.doc_id == 5}) == 1
+    assert language_id.identify(none).count() == 0 and language_id.keep_identified(none).count() == 0
     kept = language_id.keep_identified(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {4, 5, 7, None}
+    assert kept.columns == odd.columns and {4, 5} <= {r.doc_id for r in kept.collect()} <= {4, 5, 7, None} and {r.score for r in kept.collect()} == {"mine"}
 
 
 def brute_components(texts: dict) -> dict:
