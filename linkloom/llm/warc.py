@@ -6,8 +6,13 @@ write archives: gzip members of one record each, with fresh headers. Archives ar
 
 Writers finish a file under a name of their own and then rename it, so a repeated task leaves the same archive.
 
+A response's block is an HTTP response, whose payload follows its head. A revisit names its response by target, page and, where
+that page stands in one row only, by record id.
+
 Defined results: a null html has an empty payload. Payloads under min_bytes are always responses. Rows that repeat the
-page_id of a response with the same payload are responses too; a null page_id is a response.
+page_id of a response with the same payload tie with it and are responses too. A row without a page_id revisits the page with
+the largest one; where no row of a payload has a page_id, all are responses. Very long pages are written and read whole. An
+empty table gives no archive and no record. Columns but page_id, url and html are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,16 +39,39 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def record(page_id, url, kind: str, refers_to, payload: bytes, digest: str) -> bytes:
-    """One record. A revisit has no block of its own: its headers name the response and the payload's digest and size."""
-    block = payload if kind == "response" else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+DATE = "1970-01-01T00:00:00Z"
+
+
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, parts)))}>"
+
+
+def header_value(url: str) -> str:
+    return "".join(c if c.isprintable() else "%0A" for c in url)
+
+
+def record(page_id, url, payload: bytes, digest: str, note: dict | None = None, place: str = "") -> bytes:
+    """One record. A revisit has no block of its own: its headers name the response and the payload's digest and size.
+
+    note: what resolve() says about the row, if anything. place: file and number, which part the records of a repeated row.
+    """
+    note = note or {}
+    refers_to = note.get("refers_to")
+    kind = "response" if refers_to is None else "revisit"
+    block = HTTP.format(len(payload)).encode() + payload if kind == "response" else b""
+    own = record_id(page_id, digest, place) if note.get("copies", 1) > 1 else record_id(page_id, digest)
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}"]
     if url:
-        head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "%0A" for c in url))
+        head.append("WARC-Target-URI: " + header_value(url))
     head += [f"X-Page-Id: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}", f"WARC-Refers-To-Date: {DATE}"]
+        if note["refers_url"]:
+            head.append("WARC-Refers-To-Target-URI: " + header_value(note["refers_url"]))
+        if note["refers_copies"] == 1:
+            head.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
@@ -62,11 +90,15 @@ def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], by
         yield head, block
 
 
-def resolve(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Distinct (page_id, digest, refers_to) of the revisits. Rows: page_id, digest, bytes."""
-    heads = pages.where(F.col("bytes") >= min_bytes).select("page_id", "digest")
-    first = heads.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    return heads.join(first, "digest").where("page_id <> refers_to").distinct()
+def resolve(heads: DataFrame, min_bytes: int = 1000) -> DataFrame:
+    """Notes on rows (page_id, url, digest, bytes), for revisits and for repeated rows only: page_id, digest, copies (rows that
+    tie), refers_to (null for a response), and url and copies of that page. A digest's headers are counted by page first."""
+    pages = heads.groupBy("digest", "page_id").agg(F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.max("url").alias("url"))
+    last = F.max(F.struct("page_id", "url", "copies"))
+    first = pages.where((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(last.alias("last"))
+    found = pages.join(first, "digest", "left").withColumn("revisit", F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last.page_id")))
+    of = lambda c: F.when(F.col("revisit"), F.col(f"last.{c}"))
+    return found.where("revisit or copies > 1").select("page_id", "digest", "copies", of("page_id").alias("refers_to"), of("url").alias("refers_url"), of("copies").alias("refers_copies"))
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
@@ -74,10 +106,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    heads = pages.select("page_id", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes"))
-    revisits = materialise(resolve(heads, min_bytes), "revisits").withColumnsRenamed({"page_id": "_page", "digest": "_digest"})
+    heads = pages.select("page_id", "url", F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes"))
+    notes = materialise(resolve(heads, min_bytes), "revisits").select(F.col("page_id").alias("page"), F.col("digest").alias("d"), F.struct("copies", "refers_to", "refers_url", "refers_copies").alias("note"))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
-    rows = rows.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    rows = rows.join(notes, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "payload", "digest", "note")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -90,9 +122,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
                     part = batch.slice(at, 64).to_pydict()
-                    for page_id, url, data, digest, refers_to in zip(*(part[k] for k in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
-                        kind = "response" if refers_to is None else "revisit"
-                        out.write(gzip.compress(record(page_id, url, kind, refers_to, data, digest), 6, mtime=0))
+                    for row in zip(*(part[k] for k in ("page_id", "url", "payload", "digest", "note")), strict=True):
+                        out.write(gzip.compress(record(*row, place=f"{name}:{n}"), 6, mtime=0))
                         n += 1
         if n:
             files.move(own, name)
@@ -122,7 +153,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     for head, block in read_records(io.BufferedReader(stream, 1 << 16)):
                         digest, refers = head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("X-Refers-To-Page")
                         size = int(head["X-Payload-Length"])
-                        if refers is None and (len(block) != size or hashlib.sha1(block).hexdigest() != digest):
+                        payload = block[block.find(b"\r\n\r\n") + 4 :] if refers is None else b""
+                        if refers is None and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
                             raise ValueError(f"{path}: a payload differs from its digest")
                         rows.append((int(head["X-Page-Id"]) if head["X-Page-Id"] else None, size, digest, head["WARC-Type"], None if refers is None else int(refers)))
                         if len(rows) == 4096:

@@ -314,14 +314,46 @@ def test_lm_edge_cases(spark, odd, none, tik):
     assert lm_score.difference(none, labels, BYTE, public_tokenizers.PATTERN).count() == 0
 
 
+def brute_warc(rows: list) -> list:
+    """(page_id, payload bytes, digest, type, refers to) of rows (page_id, html), sorted."""
+    payloads = [(k, (html or "").encode()) for k, html in rows]
+    largest = {}
+    for k, data in payloads:
+        if k is not None:
+            largest[data] = max(k, largest.get(data, k))
+    out = []
+    for k, data in payloads:
+        revisit = len(data) >= 1000 and data in largest and k != largest[data]
+        out.append((-1 if k is None else k, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", largest[data] if revisit else -1))
+    return sorted(out)
+
+
+def warc_rows(df) -> list:
+    return sorted((-1 if r.page_id is None else r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in df.collect())
+
+
+def test_warc_query_by_brute_force(spark, sf):
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    assert warc_rows(q.op5_warc_revisits(spark, sf)) == brute_warc(rows)
+
+
 def test_warc_round_trip(spark):
-    long = "é" * 600
-    pages = spark.createDataFrame([(1, "http://a/", long), (2, "http://b/\r\nX: y", long), (3, None, "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", long), (None, "u", long), (7, "u", "WARC/1.1\r\n\r\n" * 100), (6, "u", long)], "page_id long, url string, html string")
+    import gzip
+
+    long, other = "é" * 600, "z" * 1000
+    rows = [(1, "http://a/", long), (2, "http://b/\r\nX: y", long), (3, None, "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", long), (None, "u", long), (7, "u", "WARC/1.1\r\n\r\n" * 100), (6, "u", long), (None, "n", "q" * 2000), (None, "n", "q" * 2000), (8, "v", other), (9, "w", other)]
+    pages = spark.createDataFrame([(*r, "mine", "mine") for r in rows], "page_id long, url string, html string, digest string, page string")
     archives = warc.write_archives(pages)
-    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to, r.payload_digest) for r in warc.read_archives(archives).collect())
-    digest = hashlib.sha1(long.encode()).hexdigest()
-    assert [g[:4] for g in got] == [(-1, 1200, "response", None), (1, 1200, "revisit", 6), (2, 1200, "revisit", 6), (3, 4, "response", None), (4, 4, "response", None), (5, 0, "response", None), (6, 1200, "response", None), (6, 1200, "response", None), (7, 1200, "response", None)]
-    assert all(g[4] == digest for g in got if g[0] in (1, 2, 6))
+    assert warc_rows(warc.read_archives(archives)) == brute_warc([(k, html) for k, _, html in rows])
+    heads = []
+    for r in archives.collect():
+        files, at = warc.file_system(r.path)
+        with files.open_input_stream(at, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
+            heads += [h for h, _ in warc.read_records(stream)]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) == len(rows)
+    by_page = {h["X-Page-Id"]: h for h in heads}
+    assert by_page["8"]["WARC-Refers-To"] == by_page["9"]["WARC-Record-ID"] and by_page["8"]["WARC-Refers-To-Target-URI"] == "w"
+    assert "WARC-Refers-To" not in by_page["1"] and by_page["1"]["X-Refers-To-Page"] == "6"
     assert warc.round_trip(pages.where("page_id > 99")).count() == 0
 
 
@@ -444,6 +476,93 @@ def test_propagation_against_plain_iteration(spark):
             assert got.get(h, (0, 0))[k] == pytest.approx(rank.get(h, 0))
 
 
+def brute_link_hosts(html: str | None, host: str) -> set:
+    """Hosts that the anchors of a page lead to, by the standard library's parser and resolver."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin, urlsplit
+
+    found, base = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            for name, value in attrs:
+                if name == "href" and value:
+                    (found if tag in ("a", "area") else base if tag == "base" else []).append(value.strip())
+
+    Reader().feed(html or "")
+    start = urljoin(f"http://{host}/x", base[0]) if base else f"http://{host}/x"
+    urls = [urljoin(start, u) for u in found]
+    return {urlsplit(u).netloc.lower() for u in urls if u.lower().startswith("http")} - {host, ""}
+
+
+def test_links_are_resolved(spark, sf):
+    html = [
+        '<a href="//Other.org/x">1</a> <A class=b HREF=http://third.net?q>2</A> <a href="/own">3</a> <a href="mailto:a@mail.org">4</a> <a href=\'HTTPS://fourth.com:8080/#f\'>5</a>',
+        '<base href="http://cdn.example.org/a/"><a href="x.html">1</a> <area href="?q=1"> <link href="http://style.org/s.css">', '<a href="javascript:go()">x</a> <a name="n">y</a>', None, "",
+    ]
+    pages = [(f"h{k}.example.com", h) for k, h in enumerate(html)]
+    edges = url_filters.host_edges(spark.createDataFrame([(*p, "mine") for p in pages], "host string, html string, src string"), parents=False)
+    want = {(host, x) for host, h in pages for x in brute_link_hosts(h, host)}
+    assert {tuple(r) for r in edges.collect()} == want and ("h1.example.com", "cdn.example.org") in want and len(want) == 4
+    given = spark.read.parquet(f"{sf}/pages.parquet").select(url_filters.host_of(F.col("url")).alias("host"), "html")
+    assert {tuple(r) for r in url_filters.host_edges(given, parents=False).collect()} == {(r.host, x) for r in given.collect() for x in brute_link_hosts(r.html, r.host)}
+
+
+def brute_verdicts(rows: list, parents: bool, excess=2.0, damping=0.85) -> dict:
+    """page_id to (rule, verdict) of rows (page_id, url, html)."""
+    def host_path(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        return ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+
+    at, ruled, count, edges = {}, {}, defaultdict(Counter), set()
+    for k, url, html in rows:
+        host, path = at[k] = host_path(url)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filters.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        ruled[k] = max(fits)[1:] if fits else (None, None)
+        count[host][ruled[k][1]] += bool(host)
+        edges |= {(host, x) for x in brute_link_hosts(html, host)}
+        parts = host.split(".")
+        for i in range(len(parts) - 2 if parents else 0):
+            pair = ".".join(parts[i:]), ".".join(parts[i + 1 :])
+            edges |= {pair, pair[::-1]}
+    hosts = [h for h in count if h]
+    vectors = {}
+    for kind, way in (("allow", edges), ("block", {e[::-1] for e in edges})):
+        seed = {h: count[h][kind] / sum(count[h].values()) for h in hosts if count[h][kind]}
+        total, out = sum(seed.values()), defaultdict(int)
+        seed = {h: w / total for h, w in seed.items()}
+        for a, _ in way:
+            out[a] += 1
+        rank = dict(seed)
+        for _ in range(200 if edges else 0):
+            new = defaultdict(float, {h: (1 - damping) * w for h, w in seed.items()})
+            for a, b in way:
+                new[b] += damping * rank.get(a, 0) / out[a]
+            rank = new
+        vectors[kind] = {h: p / (sum(rank.values()) or 1) for h, p in rank.items()}
+    bad = {h for h in hosts if vectors["block"].get(h, 0) > max(excess * vectors["allow"].get(h, 0), 1 / len(hosts))}
+    return {k: (ruled[k][0], ruled[k][1] or ("block" if at[k][0] in bad else "allow")) for k in at}
+
+
+def test_url_query_by_brute_force(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    assert {r.page_id: (r.rule, r.verdict) for r in q.op9_url_filters(spark, sf).collect()} == brute_verdicts(rows, True)
+
+
+@pytest.mark.parametrize("parents", [True, False])
+def test_url_verdicts_over_cross_host_links(spark, parents):
+    """Hosts that link to blocked ones are blocked, hosts that trusted ones link to are not; rows repeat, and columns clash."""
+    link = lambda *hosts: "".join(f'<a href="//{h}/p">x</a>' for h in hosts)
+    rows = [(k, f"http://bad{k}.com/en/1", link(f"bad{(k + 1) % 6}.com")) for k in range(6)]
+    rows += [(10 + k, f"http://good{k}.net/de/1", link("friend.org", f"good{(k + 1) % 4}.net")) for k in range(4)]
+    rows += [(20, "http://farm.org/x", link("bad0.com", "bad1.com", "bad2.com")), (21, "http://friend.org/y", link("good0.net")), (22, "http://lone.org/" + "z" * 40000, None), (23, None, link("bad0.com")), (24, "http://sub.farm.org/", "")]
+    want = brute_verdicts(rows, parents)
+    assert want[20] == (None, "block") and want[21] == want[22] == want[23] == (None, "allow")
+    pages = spark.createDataFrame([(*r, "mine") for r in [*rows, rows[0]]], "page_id long, url string, html string, host string")
+    got = url_filters.judge(pages, parents=parents).collect()
+    assert len(got) == len(rows) + 1 and {r.page_id: (r.rule, r.verdict) for r in got} == want
+
+
 def test_hosts_of_a_domain_without_pages_are_joined(spark):
     pages = spark.createDataFrame([("a.x.org", None), ("b.c.x.org", None), ("10.0.0.1", None), ("solo", None), ("", None)], "host string, html string")
     way = {("a.x.org", "x.org"), ("b.c.x.org", "c.x.org"), ("c.x.org", "x.org")}
