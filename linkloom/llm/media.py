@@ -3,26 +3,70 @@
 One automaton finds all magic bytes in a byte string. A validator for each format walks its structure from there and tells
 where it ends; only valid finds count. The find at the start corrects the declared type, others are embedded media.
 
+The automaton finds end marks as well, so a validator looks them up instead of searching: the first of a kind behind a place by
+bisection, and for ZIP the one whose directory leads back to that place.
+
 Defined results: null bytes are empty; bytes without a valid find have the type application/octet-stream. A find inside the
-bytes of a longer valid find is embedded media of it. Equal bytes give equal results.
+bytes of a longer valid find is embedded media of it; finds that start at the same place are ordered by length, then type. A PDF
+ends at the last end mark with a valid trailer before the next PDF. A null or empty text is one multiple of spaces; very long
+texts are stored and read whole. Equal bytes give equal results, an empty table an empty one. Columns but those named are not
+looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from linkloom.llm.common import map_batches
 
 UNKNOWN = "application/octet-stream"
 
 
-def _png(b: memoryview, at: int) -> int:
+class Bytes:
+    """Bytes with the places of the end marks in them."""
+
+    def __init__(self, data: bytes, marks: dict[bytes, list[int]]):
+        self.data, self.view, self.marks = data, memoryview(data), marks
+        self.zips: dict[int, int] | None = None
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of the mark from at on, or -1."""
+        places = self.marks[mark]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def zip_ends(self) -> dict[int, int]:
+        """Where the archives end that end-of-directory records speak of, by where they start."""
+        if self.zips is None:
+            self.zips = {}
+            for end in self.marks[ZIP_END]:
+                if end + 22 > len(self.data):
+                    continue
+                size, offset, comment = struct.unpack_from("<IIH", self.data, end + 12)
+                start, directory = end - size - offset, end - size
+                if start >= 0 and self.data[directory : directory + 4] in (b"PK\x01\x02", ZIP_END) and end + 22 + comment <= len(self.data):
+                    self.zips.setdefault(start, end + 22 + comment)
+        return self.zips
+
+
+# Marks of the formats.
+JPEG_END, ZIP_END, PDF_END, PDF_START = b"\xff\xd9", b"PK\x05\x06", b"%%EOF", b"%PDF-"
+END_MARKS = (JPEG_END, ZIP_END, PDF_END, PDF_START)
+TRAILER = re.compile(rb"startxref\s+(\d+)\s+\Z")
+
+
+def _png(data: Bytes, at: int) -> int:
+    b = data.view
     i = at + 8
     first = True
     while i + 12 <= len(b):
@@ -35,7 +79,8 @@ def _png(b: memoryview, at: int) -> int:
     return -1
 
 
-def _gif(b: memoryview, at: int) -> int:
+def _gif(data: Bytes, at: int) -> int:
+    b = data.view
     if at + 13 > len(b):
         return -1
     flags = b[at + 10]
@@ -57,8 +102,8 @@ def _gif(b: memoryview, at: int) -> int:
     return -1
 
 
-def _jpeg(b: memoryview, at: int) -> int:
-    i = at + 2
+def _jpeg(data: Bytes, at: int) -> int:
+    b, i = data.view, at + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind = b[i + 1]
         if not (0xC0 <= kind <= 0xFE) or kind == 0xD8:
@@ -68,12 +113,13 @@ def _jpeg(b: memoryview, at: int) -> int:
             return -1
         i += 2 + n
         if kind == 0xDA:  # entropy-coded data up to the end marker
-            end = bytes(b[i:]).find(b"\xff\xd9")
-            return -1 if end < 0 else i + end + 2
+            end = data.next(JPEG_END, i)
+            return -1 if end < 0 else end + 2
     return -1
 
 
-def _bmp(b: memoryview, at: int) -> int:
+def _bmp(data: Bytes, at: int) -> int:
+    b = data.view
     if at + 26 > len(b):
         return -1
     size, reserved, offset, header = struct.unpack_from("<IIII", b, at + 2)
@@ -93,7 +139,8 @@ def riff_chunks(b: memoryview, at: int):
         i += 8 + n + (n & 1)
 
 
-def _riff(b: memoryview, at: int) -> tuple[int, str]:
+def _riff(data: Bytes, at: int) -> tuple[int, str]:
+    b = data.view
     if at + 12 > len(b):
         return -1, ""
     size = struct.unpack_from("<I", b, at + 4)[0]
@@ -109,36 +156,40 @@ def _riff(b: memoryview, at: int) -> tuple[int, str]:
     return at + 8 + size, kind
 
 
-def _gzip(b: memoryview, at: int) -> int:
+def _gzip(data: Bytes, at: int) -> int:
+    b = data.view
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return -1
     unpack, i = zlib.decompressobj(31), at
     try:
         while i < len(b) and not unpack.eof:
-            data = b[i : i + 65536]
-            unpack.decompress(data, 1 << 20)
+            part = b[i : i + 65536]
+            unpack.decompress(part, 1 << 20)
             while unpack.unconsumed_tail:
                 unpack.decompress(unpack.unconsumed_tail, 1 << 20)
-            i += len(data)
+            i += len(part)
     except zlib.error:
         return -1
     return i - len(unpack.unused_data) if unpack.eof else -1
 
 
-def _zip(b: memoryview, at: int) -> int:
-    data = bytes(b[at:])
-    end = data.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(data):
-        return -1
-    size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
-    fine = size + offset == end and data[offset : offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + comment <= len(data)
-    return at + end + 22 + comment if fine else -1
+def _zip(data: Bytes, at: int) -> int:
+    return data.zip_ends().get(at, -1)
 
 
-def _pdf(b: memoryview, at: int) -> int:
-    data = bytes(b[at:])
-    end = data.rfind(b"%%EOF")
-    return at + end + 5 if end > 0 and b"startxref" in data[:end] else -1
+def _pdf(data: Bytes, at: int) -> int:
+    after = data.next(PDF_START, at + 1)
+    places = data.marks[PDF_END]
+    k = bisect_left(places, after if after >= 0 else len(data.data))
+    while k and places[k - 1] > at:  # from the last end mark back to the first with a trailer: each is looked at once
+        k -= 1
+        end = places[k]
+        trailer = TRAILER.search(data.data[max(at, end - 64) : end])
+        if trailer and len(trailer[1]) < 16 and at + int(trailer[1]) < end:
+            table = data.data[at + int(trailer[1]) : at + int(trailer[1]) + 4]
+            if table == b"xref" or table[:1].isdigit():
+                return end + 5
+    return -1
 
 
 #: Magic bytes, the type, and the validator: the place behind the end, or -1. RIFF tells the type itself.
@@ -159,20 +210,30 @@ FORMATS: tuple[tuple[bytes, str, Callable], ...] = (
 def automaton():
     import ahocorasick
 
+    words: dict[bytes, list[int]] = {}
+    for k, mark in enumerate((*(magic for magic, _, _ in FORMATS), *END_MARKS)):
+        words.setdefault(mark, []).append(k)
     out = ahocorasick.Automaton()
-    for k, (magic, _, _) in enumerate(FORMATS):
-        out.add_word(magic.decode("latin-1"), (k, len(magic)))
+    for mark, numbers in words.items():
+        out.add_word(mark.decode("latin-1"), (numbers, len(mark)))
     out.make_automaton()
     return out
 
 
 def sniff(data: bytes | None) -> list[tuple[int, int, str]]:
     """Valid finds (start, length, type) by start."""
-    view, out = memoryview(data or b""), []
-    for last, (k, n) in automaton().iter((data or b"").decode("latin-1")):
-        at = last - n + 1
+    data = data or b""
+    starts, marks, out = [], {m: [] for m in END_MARKS}, []
+    for last, (numbers, n) in automaton().iter(data.decode("latin-1")):
+        for k in numbers:
+            if k < len(FORMATS):
+                starts.append((last - n + 1, k))
+            else:
+                marks[END_MARKS[k - len(FORMATS)]].append(last - n + 1)
+    held = Bytes(data, marks)
+    for at, k in starts:
         _, kind, walk = FORMATS[k]
-        end = walk(view, at)
+        end = walk(held, at)
         if not kind:
             end, kind = end
         if end > 0:
@@ -202,12 +263,17 @@ def wav_samples(data: bytes) -> tuple[bytes, int]:
     return out, rate
 
 
-def sniff_column(df: DataFrame, column: str = "media", declared: str = "declared_type", key: str = "doc_id") -> DataFrame:
-    """key, declared type, true_type, mismatch and embedded (start, length, type, bytes) of every row's bytes."""
+EMBEDDED = "array<struct<start:long,length:long,type:string,data:binary>>"
+
+
+def sniff_column(df: DataFrame, column: str = "media", declared: str = "declared_type", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns keep, the declared type, true_type, mismatch and embedded (start, length, type, bytes) of every row's bytes."""
+    fields = [df.schema[c] for c in dict.fromkeys((*keep, declared))]
+    more = T.StructType.fromDDL(f"true_type string, mismatch boolean, embedded {EMBEDDED}").fields
 
     def make():
         def call(batch: dict) -> dict:
-            out = {key: batch[key], declared: batch[declared], "true_type": [], "mismatch": [], "embedded": []}
+            out = {f.name: batch[f.name] for f in fields} | {"true_type": [], "mismatch": [], "embedded": []}
             for data, said in zip(batch[column], batch[declared], strict=True):
                 finds = sniff(data)
                 kind = true_type(finds)
@@ -218,44 +284,47 @@ def sniff_column(df: DataFrame, column: str = "media", declared: str = "declared
 
         return call
 
-    return map_batches(df.select(key, column, declared), make, f"{key} long, {declared} string, true_type string, mismatch boolean, embedded array<struct<start:long,length:long,type:string,data:binary>>")
+    return map_batches(df.select(*dict.fromkeys((*keep, column, declared))), make, T.StructType([*fields, *more]))
 
 
 def store_texts(docs: DataFrame, multiple: int = 192, rate: int = 8000) -> DataFrame:
-    """doc_id, n_bytes and media: the text's bytes, padded with spaces to a positive multiple, as a WAV file without its type."""
+    """doc_id, n_bytes, media and declared_type: the text's bytes, padded with spaces to a positive multiple, as a WAV file. It is
+    declared as what it was made from, text/plain."""
 
     def make():
         def call(batch: dict) -> dict:
             raw = [(t or "").encode() for t in batch["text"]]
             padded = [b.ljust(max(multiple, -(-len(b) // multiple) * multiple), b" ") for b in raw]
-            return {"doc_id": batch["doc_id"], "n_bytes": [len(b) for b in raw], "media": [wav(b, rate) for b in padded], "declared_type": [UNKNOWN] * len(raw)}
+            return {"doc_id": batch["doc_id"], "n_bytes": [len(b) for b in raw], "media": [wav(b, rate) for b in padded], "declared_type": ["text/plain"] * len(raw)}
 
         return call
 
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_bytes long, media binary, declared_type string")
 
 
+def features_of(payload: bytes, rate: int) -> str:
+    """Rate, samples, their mean, and how often neighbours lie on two sides of sample value 96."""
+    x = np.frombuffer(payload, np.uint8)
+    high = x > 96
+    return f"rate={rate};samples={len(x)};mean={int(x.sum(dtype=np.int64)) / max(1, len(x)):.4f};crossings={int((high[1:] != high[:-1]).sum())}"
+
+
 def digest(stored: DataFrame) -> DataFrame:
-    """Sniffs the stored bytes, carves the samples out and returns sizes, hashes and a feature string.
+    """Sniffs the stored bytes, corrects their declared type, reads the samples and returns sizes, hashes and a feature string.
 
-    feature: true type; rate; samples; mean, and crossings of the middle by neighbours; embedded media as type@start+length.
+    feature: true type, features_of(), and embedded media as type@start+length:hash. Bytes that are no WAV file raise.
     """
-    import numpy as np
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "embedded")
 
     def make():
         def call(batch: dict) -> dict:
-            names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            out = {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"]} | {c: [] for c in names}
-            for data in batch["media"]:
-                finds = sniff(data)
-                if (kind := true_type(finds)) != "audio/wav":
+            out = {c: batch[c] for c in ("doc_id", "n_bytes", "declared_type", "true_type", "mismatch")} | {c: [] for c in names}
+            for data, kind, embedded in zip(batch["media"], batch["true_type"], batch["embedded"], strict=True):
+                if kind != "audio/wav":
                     raise ValueError(f"stored as WAV, found {kind}")
                 payload, rate = wav_samples(data)
-                x = np.frombuffer(payload, np.uint8)
-                high = x > 96
-                inside = ",".join(f"{t}@{s}+{n}" for s, n, t in finds if s)
-                feature = f"{kind};rate={rate};samples={len(x)};mean={int(x.sum(dtype=np.int64)) / len(x):.4f};crossings={int((high[1:] != high[:-1]).sum())};embedded={inside}"
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature)
+                inside = ",".join(f"{e['type']}@{e['start']}+{e['length']}:{hashlib.sha256(e['data']).hexdigest()[:16]}" for e in embedded)
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), f"{kind};{features_of(payload, rate)};embedded={inside}", len(embedded))
                 for c, v in zip(names, row, strict=True):
                     out[c].append(v)
             return out
@@ -263,4 +332,5 @@ def digest(stored: DataFrame) -> DataFrame:
         return call
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_batches(stored.select("doc_id", "n_bytes", "media"), make, schema)
+    schema += ", declared_type string, true_type string, mismatch boolean, embedded int"
+    return map_batches(sniff_column(stored, keep=("doc_id", "n_bytes", "media")), make, schema)

@@ -439,6 +439,43 @@ def test_sniffing_and_carving(spark):
     assert got[1].true_type == "audio/wav" and got[1].mismatch and [bytes(e.data) for e in got[1].embedded] == [picture] and got[2].true_type == media.UNKNOWN
 
 
+def pdf(body=b"x" * 30):
+    head = b"%PDF-1.4\n" + body
+    return head + b"xref\n0 1\ntrailer\nstartxref\n" + str(len(head)).encode() + b"\n%%EOF"
+
+
+def archive(stored: dict):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in stored.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def test_ends_of_formats():
+    one, two = pdf(b"a" * 9), pdf(b"b" * 40)
+    assert media.sniff(one + b"  " + two) == [(0, len(one), "application/pdf"), (len(one) + 2, len(two), "application/pdf")]
+    assert media.sniff(b"%PDF-1.4 no trailer %%EOF") == [] and media.sniff(b"%PDF-1.4\nstartxref\n999\n%%EOF") == []
+    inner = archive({"a": b"1"})
+    outer = archive({"a": b"0", "inner.zip": inner, "b": b"2"})
+    finds = media.sniff(b"--" + outer + b"--")
+    assert finds[0] == (2, len(outer), "application/zip") and (2 + outer.index(inner), len(inner), "application/zip") in finds and len(finds) == 2
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x02data\xff\xd9"
+    assert media.sniff(b"x" + jpeg + jpeg) == [(1, len(jpeg), "image/jpeg"), (1 + len(jpeg), len(jpeg), "image/jpeg")]
+
+
+def test_many_false_starts_are_fast():
+    import time
+
+    for mark in (b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\0\2"):
+        began = time.time()
+        assert media.sniff(mark * 200_000) == []
+        assert time.time() - began < 5
+
+
 def test_media_query(spark, sf, table, odd, none):
     got = {r.doc_id: r for r in q.op8_media_sniffing(spark, sf).collect()}
     for r in table.collect():
@@ -446,7 +483,20 @@ def test_media_query(spark, sf, table, odd, none):
         padded = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         g = got[r.doc_id]
         assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-    assert media.digest(media.store_texts(odd)).count() == 9 and media.digest(media.store_texts(none)).count() == 0
+        stored = media.wav(padded)
+        high = [b > 96 for b in padded]
+        crossings = sum(a != b for a, b in zip(high, high[1:], strict=False))
+        assert (g.media_bytes, g.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and (g.declared_type, g.true_type, g.mismatch) == ("text/plain", "audio/wav", True)
+        assert g.feature == f"audio/wav;rate=8000;samples={len(padded)};mean={sum(padded) / len(padded):.4f};crossings={crossings};embedded="
+    rows = media.digest(media.store_texts(odd)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes) for r in rows) == [(0, 15, 192), (1, 0, 192), (2, 0, 192), (3, 3, 192), (4, 24000, 24000), (5, 24, 192), (5, 24, 192), (7, 50000, 50112), (8, 8, 192)]
+    assert media.digest(media.store_texts(none)).count() == 0
+
+
+def test_media_in_a_text_is_carved(spark):
+    text = "see " + pdf().decode() + " and " + pdf(b"y" * 50).decode()
+    r = media.digest(media.store_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert r.embedded == 2 and f"application/pdf@48+{len(pdf())}:{hashlib.sha256(pdf()).hexdigest()[:16]}" in r.feature
 
 
 def test_url_rules(spark):
