@@ -43,4 +43,5 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return materialise(out, "components")  # a stored table: an aggregate in the stage of a join would keep a hot label whole

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import read_ranks
-from linkloom.llm.common import bitmap_of, blocks, hits, materialise
+from linkloom.llm.common import bitmap_of, blocks, in_bitmap, materialise
 
 LONG_RUN = re.compile(r"\S{2049}")
 PARTS = re.compile(r"\S{1,2048}|\s+")
@@ -193,19 +193,9 @@ def score(tokens: DataFrame, answers: DataFrame, shared, shards: int) -> DataFra
 def marked(docs: DataFrame, good: DataFrame) -> DataFrame:
     """doc_id, good (1 or 0) and text of every row. Only texts that may be good are shuffled: a bitmap of a fixed size tells."""
     bits = 24
-    bitmap = bitmap_of(good.withColumnRenamed("doc_id", "rep"), bits)
-    rows = docs.select("doc_id", "text")
-
-    def which(wanted: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                may = hits(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), bitmap.value, bits)
-                yield batch.filter(pa.array(may == wanted))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    likely = which(True).join(good.withColumn("good", F.lit(1)), "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(0)).alias("good"), "text")
-    return which(False).select("doc_id", F.lit(0).alias("good"), "text").union(likely)
+    bitmap, rows = bitmap_of(good.withColumnRenamed("doc_id", "rep"), bits), docs.select("doc_id", "text")
+    likely = in_bitmap(rows, bitmap, bits).join(good.withColumn("good", F.lit(1)), "doc_id", "left").select("doc_id", F.coalesce("good", F.lit(0)).alias("good"), "text")
+    return in_bitmap(rows, bitmap, bits, False).select("doc_id", F.lit(0).alias("good"), "text").union(likely)
 
 
 def difference(

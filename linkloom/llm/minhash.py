@@ -12,7 +12,9 @@ equal sets are one node. The work then runs over nodes:
 3. What is left are pairs of one group in different components. All of them are tested: in small groups by a join, in
    large groups block against block. No candidate pair of different components is left out.
 
-Defined results: null, empty and white-space texts have an empty set, link with nothing and are components of their own.
+Defined results: null, empty and white-space texts have an empty set, link with nothing and are components of their own. Very
+long texts are hashed whole; an empty table gives an empty result. Which row of a component has the least doc_id decides, so
+ties can't arise but between rows of one doc_id. Columns of docs but doc_id and text are not looked at, whatever their names.
 Rows that share a doc_id belong to one component, whatever their texts are, and each keeps its own row. A row without a
 doc_id links like any other but is never the one that others are dropped for, and is itself kept.
 """
@@ -161,17 +163,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "items_a", "items_b"), make, "u long, v long")
 
 
-def links_in_blocks(members: DataFrame, percent: int, min_agreement: float, block: int = 512) -> DataFrame:
+def links_in_blocks(members: DataFrame, percent: int, min_agreement: float, block: int = 512, block_shingles: int = 1 << 21) -> DataFrame:
     """Links (u, v) between members of a large key group that have different labels; of each two labels in a task only one.
 
-    members: k, node, n, label, main (has the most frequent label of the group), n_main, n_rest, keys, sig, items. A group is
-    dealt into blocks of main and of other rows, and each two blocks that aren't both main are a task's group of about
-    2 x block rows at most. A pair of nodes is tested in the first band that they share only.
+    members: k, node, n, label, main (has the most frequent label of the group), n_main, n_rest, w_main, w_rest (their shingles),
+    keys, sig, items. A group is dealt into blocks of main and of other rows, and each two blocks that aren't both main are a
+    task's group of about 2 x block rows and 2 x block_shingles at most; a longer text fills a block by itself. A pair of nodes
+    is tested in the first band that they share only.
     """
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    blocks = lambda part: F.greatest(F.lit(1), F.ceil(F.col(f"n_{part}") / block), F.ceil(F.col(f"w_{part}") / block_shingles)).cast("int")
     h = F.xxhash64("node", "k")
-    own = F.when(F.col("main"), blocks("n_rest") + F.pmod(h, blocks("n_main"))).otherwise(F.pmod(h, blocks("n_rest"))).cast("int")
-    last = F.when(F.col("main"), blocks("n_rest") - 1).otherwise(blocks("n_rest") + blocks("n_main") - 1)
+    own = F.when(F.col("main"), blocks("rest") + F.pmod(h, blocks("main"))).otherwise(F.pmod(h, blocks("rest"))).cast("int")
+    last = F.when(F.col("main"), blocks("rest") - 1).otherwise(blocks("rest") + blocks("main") - 1)
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "keys", "sig", "items")
 
@@ -248,13 +251,15 @@ def near_duplicates(
         for turn in range(star_rounds):
             here = crowded.join(labels, "node")
             centres = here.groupBy("k").agg(F.min(F.struct(F.xxhash64("node", "k", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("c")).select("k", "c.a", "c.na", "c.la")
+            centres = materialise(centres, "centres")  # without its aggregate, the join below can split a hot key
             stars = here.join(centres, "k").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "na", F.col("n").alias("nb"))
             labels = joined(labels, confirmed(agree(stars.where(fits).select("a", "b").distinct()), sets, percent))
 
     here = members.join(labels, "node")
-    by_label = here.groupBy("k", "label").agg(F.count("*").alias("m"))
-    mixed = by_label.groupBy("k").agg(F.sum("m").alias("c"), F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    here = here.join(mixed.select("k", "c", F.col("most.m").alias("n_main"), (F.col("c") - F.col("most.m")).alias("n_rest"), F.col("most.label").alias("main_label")), "k")
+    by_label = here.groupBy("k", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    mixed = by_label.groupBy("k").agg(F.sum("m").alias("c"), F.sum("w").alias("w"), F.max(F.struct("m", "label", "w")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    parts = [x for n, of, all_ in (("n", "m", "c"), ("w", "w", "w")) for x in (F.col(f"most.{of}").alias(f"{n}_main"), (F.col(all_) - F.col(f"most.{of}")).alias(f"{n}_rest"))]
+    here = here.join(materialise(mixed.select("k", "c", *parts, F.col("most.label").alias("main_label")), "mixed-keys"), "k")
     here = materialise(here.withColumn("main", F.col("label") == F.col("main_label")).drop("main_label"), "mixed")
     few = here.where(F.col("c") <= large)
     x = few.select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
@@ -274,7 +279,7 @@ def near_duplicates(
 def _finish(placed: DataFrame, repeated: DataFrame) -> DataFrame:
     """Component labels to least doc_ids. A doc_id that stands in several components joins them; repeated: the doc_ids whose
     rows have different sets."""
-    least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = materialise(placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "component-ids")
     out = placed.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     if not repeated.isEmpty():
         moved = components(out.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")))
@@ -283,8 +288,11 @@ def _finish(placed: DataFrame, repeated: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one_each(docs: DataFrame, **options) -> DataFrame:
-    """The pipeline's filter: the row of each component that has the least doc_id stays (rows that repeat this doc_id stay with it)."""
-    verdict = near_duplicates(docs, **options)
-    gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_one_each(docs: DataFrame, filter_bits: int = 24, **options) -> DataFrame:
+    """The pipeline's filter: the row of each component that has the least doc_id stays (rows that repeat this doc_id stay with
+    it). Rows that a bitmap clears stay where they are; the others meet the table of those that go."""
+    verdict = near_duplicates(docs, filter_bits=filter_bits, **options)
+    gone = materialise(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    bitmap = bitmap_of(gone.select(F.col("doc_id").alias("rep")), filter_bits)
+    doubtful = in_bitmap(docs, bitmap, filter_bits).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return in_bitmap(docs, bitmap, filter_bits, False).union(doubtful)

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy."""
 
+import functools
 import hashlib
 import math
 import re
@@ -131,7 +132,7 @@ def test_near_duplicates_against_brute_force(spark, sf, table):
     assert got == want
 
 
-def test_near_duplicates_in_large_groups(spark):
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
     """A group of many near copies goes through the rounds and the blocks."""
     draw, rows = np.random.default_rng(1), []
     base = [f"w{k}" for k in range(120)]
@@ -141,13 +142,18 @@ def test_near_duplicates_in_large_groups(spark):
             words[at] = f"n{k}_{at}"
         rows.append((k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, large=8).collect()}
-    assert got == brute_components(dict(rows))
+    want = brute_components(dict(rows))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, large=8).collect()} == want
+    small = functools.partial(minhash.links_in_blocks, block=7, block_shingles=900)
+    monkeypatch.setattr(minhash, "links_in_blocks", small)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, large=8, star_rounds=0).collect()} == want
 
 
 def test_near_duplicate_edge_cases(odd, none):
     rows = minhash.near_duplicates(odd).collect()
-    assert len(rows) == 9 and all(r.n_shingles == 0 and r.component_id == r.doc_id for r in rows if r.doc_id in (1, 2, 3))
+    want = {1: 0, 2: 0, 3: 0, 4: 2, 5: 2, 7: 1, 8: 1, None: 1}
+    assert len(rows) == 9 and all((r.n_shingles, r.component_id, r.kept) == (want[r.doc_id], r.doc_id, True) for r in rows)
+    assert minhash.keep_one_each(odd).count() == 9 and {r.kept for r in minhash.keep_one_each(odd).collect()} == {"mine"}
     assert minhash.near_duplicates(none).count() == 0 and minhash.keep_one_each(odd).columns == odd.columns
 
 
