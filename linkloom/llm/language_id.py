@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -35,18 +36,21 @@ class WordBackoff:
         self.languages = sorted({lang for lang, _, _ in counts})
         self.orders = orders
         column = {lang: k for k, lang in enumerate(self.languages)}
-        row = {word: k for k, word in enumerate(dict.fromkeys(word for _, word, _ in counts))}
-        words, by_lang = list(row), np.zeros((len(row), len(column)))
-        np.add.at(by_lang, ([row[w] for _, w, _ in counts], [column[x] for x, _, _ in counts]), [n for _, _, n in counts])
+        row: dict[str, int] = {}
+        at = np.fromiter((row.setdefault(word, len(row)) for _, word, _ in counts), np.int64, len(counts))
+        by_lang = np.zeros((len(row), len(column)))
+        np.add.at(by_lang, (at, np.fromiter((column[lang] for lang, _, _ in counts), np.int64, len(counts))), np.fromiter((n for _, _, n in counts), np.float64, len(counts)))
         self.words, tables = {}, []
-        self._add(words, by_lang, self.words, tables, smoothing)
+        self._add(list(row), by_lang, self.words, tables, smoothing)
         self.grams: list[dict[str, int]] = []
         for k in range(1, orders + 1):
-            lists = [self.grams_of(w, k) for w in words]
-            owner = np.repeat(np.arange(len(words)), [len(x) for x in lists])
             number: dict[str, int] = {}
-            at = np.fromiter((number.setdefault(g, len(number)) for x in lists for g in x), np.int64, len(owner))
-            found = np.stack([np.bincount(at, c[owner], len(number)) for c in by_lang.T], 1) if len(at) else np.zeros((0, len(column)))
+            owner, at = array("q"), array("q")
+            for word, i in row.items():
+                for gram in self.grams_of(word, k):
+                    at.append(number.setdefault(gram, len(number)))
+                    owner.append(i)
+            found = np.stack([np.bincount(at, c[np.array(owner)], len(number)) for c in by_lang.T], 1) if len(at) else np.zeros((0, len(column)))
             keep = found.sum(1) >= (min_gram_count if k > 1 else 0)
             self.grams.append({})
             self._add([g for g, x in zip(number, keep, strict=True) if x], found[keep], self.grams[-1], tables, smoothing)
@@ -78,7 +82,7 @@ class WordBackoff:
 class Scorer(dict):
     """Word to row of a growing table; rows of unseen words are kept until there are too many."""
 
-    def __init__(self, model: WordBackoff, room: int = 200_000):
+    def __init__(self, model: WordBackoff, room: int = 100_000):
         super().__init__(model.words)
         self.model, self.fixed = model, len(model.log_p)
         self.table = np.concatenate([model.log_p, np.zeros((room, len(model.languages)), np.float32)])
@@ -114,7 +118,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, max_rows_per_language: int = 2000, seed: int = 7) -> WordBackoff:
+def train(docs: DataFrame, max_rows_per_language: int = 300, seed: int = 7) -> WordBackoff:
     """Fits the model on rows (doc_id, text, lang) with a language.
 
     The fit is bounded by one parameter: about max_rows_per_language whole texts of each language, chosen by a hash of the row,
