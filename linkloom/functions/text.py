@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Word lists of the record-matching rules.
-LEGAL = ("ltd", "limited", "llc", "inc", "corp", "co", "company", "pvt", "private", "plc", "gmbh", "sa", "sarl", "sas")
-UNITS = ("unit", "suite", "ste", "apt", "flat", "floor", "room", "no", "shop", "block")
+from linkloom.functions.address import LEGAL
+
+# The words before a number that is no house number.
+UNITS = (
+    "unit", "apt", "apartment", "suite", "ste", "fl", "floor", "room", "rm", "bldg",
+    "building", "no", "shop", "flat", "plot", "office", "door", "h", "hno", "sy", "sector",
+    "block", "blk", "gala", "wing", "lot", "box", "po", "pmb", "dept", "level", "lvl",
+)
 
 
 def strip_to_words(text: Column, keep_marks: bool = False) -> Column:
@@ -21,8 +28,8 @@ def strip_to_words(text: Column, keep_marks: bool = False) -> Column:
 
 
 def normalise(text: Column, keep_marks: bool = False) -> Column:
-    """strip_to_words without the token ``null``; a null text is empty."""
-    parts = F.split(strip_to_words(F.coalesce(text, F.lit("")), keep_marks), " ")
+    """strip_to_words of the composed text (NFC) without the token ``null``; a null text is empty."""
+    parts = F.split(strip_to_words(nfc(F.coalesce(text, F.lit(""))), keep_marks), " ")
     return F.array_join(F.filter(parts, lambda t: (t != "null") & (t != "")), " ")
 
 
@@ -112,42 +119,93 @@ def has_indic(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[ऀ-෿]"), F.lit(False))
 
 
-def _letter(ch: str) -> tuple[str, str]:
-    """(class, Latin) of an Indic character, from its Unicode name."""
-    name = unicodedata.name(ch, "")
-    last = name.rpartition(" ")[2].lower()
-    if " VOWEL SIGN " in name:
-        return "sign", last
-    if "VIRAMA" in name:
+# The Latin of vowels and of consonants that don't follow from their Unicode names.
+VOWELS = {
+    "A": "a", "AA": "aa", "I": "i", "II": "ii", "U": "u", "UU": "uu", "VOCALIC R": "ri",
+    "VOCALIC RR": "ri", "VOCALIC L": "li", "VOCALIC LL": "li", "E": "e", "EE": "e", "AI": "ai",
+    "O": "o", "OO": "o", "AU": "au", "SHORT E": "e", "SHORT O": "o", "CANDRA E": "e",
+    "CANDRA O": "o", "OE": "o", "OOE": "o", "AW": "au", "UE": "u", "UUE": "u",
+}
+CONSONANTS = {
+    "NNA": "na", "NNNA": "na", "TTA": "ta", "TTHA": "tha", "DDA": "da", "DDDHA": "dha",
+    "DDHA": "dha", "LLA": "la", "LLLA": "la", "RRA": "ra", "SSA": "sha", "SHA": "sha",
+    "NGA": "na", "NYA": "nya", "JNYA": "gya", "VA": "va", "YYA": "ya", "FA": "pha", "ZA": "ja",
+    "QA": "ka", "KHHA": "kha", "GHHA": "gha", "DDDA": "da", "RHA": "dha", "NA": "na",
+}
+SCRIPTS = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")
+
+
+@lru_cache(4096)
+def letter_class(ch: str) -> tuple[str, str]:
+    """(class, Latin) of a character by its Unicode name: vowel, consonant, sign, virama, nasal, literal, skip or other."""
+    script, _, rest = unicodedata.name(ch, "").partition(" ")
+    kind, _, key = rest.partition(" ")
+    if script not in SCRIPTS:
+        return "other", ch
+    if kind == "LETTER":
+        return ("vowel", VOWELS[key]) if key in VOWELS else ("consonant", CONSONANTS.get(key, key.lower()))
+    if rest.startswith("VOWEL SIGN "):
+        sign = rest.removeprefix("VOWEL SIGN ")
+        return "sign", VOWELS.get(sign, sign.lower())
+    if rest == "SIGN PULLI" or rest.endswith("VIRAMA"):
         return "virama", ""
-    if "ANUSVARA" in name or "CANDRABINDU" in name:
+    if rest in ("SIGN ANUSVARA", "SIGN CANDRABINDU", "SIGN TIPPI"):
         return "nasal", "n"
-    if " DIGIT " in name:
-        return "digit", str(unicodedata.digit(ch, ""))
-    if " LETTER " in name:
-        vowel = last[0] in "aeiou"
-        return ("vowel", last) if vowel else ("consonant", last.removesuffix("a"))
-    return "skip", ""
-
-
-def transliterate_text(text: str | None) -> str | None:
-    """Indic to Latin: consonants carry an inherent a, a sign replaces it, a virama or a word's end drops it."""
-    if text is None:
-        return None
+    if rest == "SIGN VISARGA":
+        return "literal", "h"
+    return ("literal", str(unicodedata.digit(ch))) if kind == "DIGIT" else ("skip", "")
+
+
+def simplified(word: str) -> str:
+    """Phonetic form of a Latin word: short vowels, no aspirates, sh as s, v as w, single letters for repeated ones."""
+    for vowel in "aiueo":
+        word = word.replace(2 * vowel, vowel)
+    word = re.sub("([kgcjtdpb])h", r"\1", word).replace("sh", "s").replace("w", "v")
+    return re.sub(r"(.)\1+", r"\1", word)
+
+
+def skeleton(words: str) -> str:
+    """Consonants of each word behind its first letter, voiced ones as unvoiced."""
+    out = []
+    for word in words.split():
+        for letter, by in (("x", "ks"), ("q", "k"), ("z", "j"), ("f", "p"), ("c", "k"), ("b", "p"), ("d", "t"), ("g", "k")):
+            word = word.replace(letter, by)
+        out.append(word[:1] + re.sub("[aeiouy]", "", word[1:]))
+    return " ".join(out)
+
+
+def transliterate_text(text: str | None, simplify: bool = False) -> str | None:
+    """Indic to Latin: consonants carry an inherent a; a sign replaces it, a virama or a word's end drops it, and a nukta or
+    another mark leaves it open. simplify: with the phonetic form of each word that is ASCII by then."""
+    if not has_indic_text(text):
+        return text
     out, open_ = [], False
     for ch in text:
-        if not 0x0900 <= ord(ch) <= 0x0DFF:
-            open_ = False  # the inherent a at a word's end goes
-            out.append(ch)
+        kind, latin = letter_class(ch)
+        if kind == "skip":
             continue
-        kind, latin = _letter(ch)
-        if open_ and kind not in ("sign", "virama"):
+        if open_ and kind not in ("sign", "virama") and (kind != "other" or ch.isalnum()):
             out.append("a")
-        open_ = kind == "consonant"
-        out.append(latin)
-    return "".join(out)
+        open_ = kind == "consonant" and latin.endswith("a")
+        out.append(latin[:-1] if open_ else latin)
+    latin = "".join(out)
+    return " ".join(simplified(w) if w.isascii() else w for w in latin.split(" ")) if simplify else latin
+
+
+def has_indic_text(text: str | None) -> bool:
+    return bool(text) and any(0x0900 <= ord(ch) <= 0x0DFF for ch in text)
 
 
 @F.pandas_udf(T.StringType())
 def transliterate(text: pd.Series) -> pd.Series:
     return text.map(transliterate_text)
+
+
+@F.pandas_udf(T.StringType())
+def phonetic(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else " ".join(map(simplified, s.split())))
+
+
+@F.pandas_udf(T.StringType())
+def consonants(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else skeleton(s))

@@ -14,6 +14,23 @@ def offset_census(pairs: DataFrame, klass: str, delta: str, reach: int, shifts:
     return out.withColumn("ratio", F.round(F.col("n_shift") / F.greatest(F.col("n_mirror"), F.lit(1)), 6))
 
 
+def offset_census_of_groups(records: DataFrame, group: str, row_id: str, number: str, klass: str, reach: int, shifts: list[int]) -> DataFrame:
+    """offset_census() over all pairs of a group, the smaller id first, without making the pairs.
+
+    Each record counts, by a window over (group, number), the later records at every offset within reach: a record meets at
+    most 2 x reach + 1 counted numbers, however many records share one.
+    """
+    rows = records.select(group, F.col(row_id).alias("id"), F.col(number).alias("x"), F.col(klass).alias("k"))
+    # A record of number x is asked for by records of numbers x - delta: both go to the place (group, x).
+    asks = rows.withColumn("delta", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).select(group, (F.col("x") + F.col("delta")).alias("at"), "id", "k", "delta", F.lit(0).alias("own"))
+    both = asks.unionByName(rows.select(group, F.col("x").alias("at"), "id", "k", F.lit(0).alias("delta"), F.lit(1).alias("own")))
+    later = F.sum("own").over(Window.partitionBy(group, "at").orderBy(F.col("id").desc()).rangeBetween(Window.unboundedPreceding, -1))
+    counts = both.withColumn("pairs", later).where("own = 0 and pairs > 0")
+    at = lambda s: F.coalesce(F.sum(F.when(F.col("delta").isin(*s), F.col("pairs"))), F.lit(0))
+    out = counts.groupBy(F.col("k").alias(klass)).agg(F.sum("pairs").alias("n"), at(shifts).alias("n_shift"), at([-s for s in shifts]).alias("n_mirror"))
+    return out.withColumn("ratio", F.round(F.col("n_shift") / F.greatest(F.col("n_mirror"), F.lit(1)), 6))
+
+
 def contests(links: DataFrame) -> DataFrame:
     """Records that exactly two owners claim: both owners and the lead."""
     two = links.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.struct("p", (-F.col("q_id")).alias("m"))).alias("hi"), F.min(F.struct("p", (-F.col("q_id")).alias("m"))).alias("lo")).where("n = 2")

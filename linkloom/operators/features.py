@@ -69,7 +69,13 @@ def token_block(ta: Column, tb: Column) -> list[Column]:
     return [a.alias("only_left"), b.alias("only_right"), share(a, ta).alias("share_left"), share(b, tb).alias("share_right")]
 
 
+def _surplus(ta: Column, tb: Column) -> Column:
+    """Tokens that stand more often in ta than in tb, each as often as it does so."""
+    count = lambda ts, t: F.size(F.filter(ts, lambda x: x == t))
+    return F.flatten(F.transform(F.array_distinct(ta), lambda t: F.array_repeat(t, F.greatest(F.lit(0), count(ta, t) - count(tb, t)))))
+
+
 def edit_kind(ta: Column, tb: Column) -> Column:
-    """How two token arrays differ by one token: equal, sub, add, drop or other."""
-    a, b, n = F.size(F.array_except(ta, tb)), F.size(F.array_except(tb, ta)), F.size(tb) - F.size(ta)
-    return F.when(F.array_sort(ta) == F.array_sort(tb), "equal").when((n == 0) & (a == 1) & (b == 1), "sub").when((n == 1) & (a == 0) & (b == 1), "add").when((n == -1) & (a == 1) & (b == 0), "drop").otherwise("other")
+    """How two token arrays differ, as multisets, by one token: equal, sub, add, drop or other."""
+    a, b = F.size(_surplus(ta, tb)), F.size(_surplus(tb, ta))
+    return F.when((a == 0) & (b == 0), "equal").when((a == 1) & (b == 1), "sub").when((a == 0) & (b == 1), "add").when((a == 1) & (b == 0), "drop").otherwise("other")

@@ -33,11 +33,16 @@ def recall_at(pool: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
     return held.groupBy("k").agg(F.count("*").alias("links"), F.round(F.avg(F.when(F.col("rank") <= F.col("k"), 1.0).otherwise(0.0)), 6).alias("recall"))
 
 
-def rank_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve from average ranks. Counts by score come first, so the one window holds distinct scores only."""
-    by = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = by.withColumn("avg_rank", below + (F.col("n") + 1) / 2)
+def rank_auc(df: DataFrame, score: str, label: str, buckets: int = 4096) -> DataFrame:
+    """Area under the curve from average ranks, of scores between 0 and 1.
+
+    Counts by score come first. A table of at most buckets rows then tells how many rows lie in lower buckets, and windows run
+    inside a bucket each, so that no task sorts all scores.
+    """
+    by = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos")).withColumn("b", F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)))
+    lower = by.groupBy("b").agg(F.sum("n").alias("rows")).withColumn("lower", F.coalesce(F.sum("rows").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = by.withColumn("inside", inside).join(F.broadcast(lower.select("b", "lower")), "b").withColumn("avg_rank", F.col("lower") + F.col("inside") + (F.col("n") + 1) / 2)  # at most buckets rows
     total = ranks.agg(F.sum(F.col("pos") * F.col("avg_rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return total.select(F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"))
 

@@ -61,12 +61,22 @@ def capped_union(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 
 def containment(queries: DataFrame, q_tokens: Column, docs: DataFrame, d_tokens: Column, share: float = 1.0) -> DataFrame:
-    """(q_id, doc_id, shared) where the document holds at least that share of the query's distinct tokens."""
-    asked = queries.select("q_id", F.array_distinct(q_tokens).alias("ts")).where(F.size("ts") > 0)
-    left = asked.select("q_id", F.size("ts").alias("size"), F.explode("ts").alias("token"))
-    right = docs.select("doc_id", F.explode(F.array_distinct(d_tokens)).alias("token"))
-    hits = left.join(right, "token").groupBy("q_id", "doc_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    return hits.where(F.col("shared") >= share * F.col("size")).select("q_id", "doc_id", "shared")
+    """(q_id, doc_id, shared) where the document holds at least that share of the query's distinct tokens.
+
+    A document that holds so many of them holds one of the query's size - least + 1 rarest tokens. Candidates meet by these
+    alone, so frequent words join nothing; then token arrays are compared. Documents meet the few tokens that queries ask by.
+    """
+    rows = docs.select("doc_id", F.array_distinct(d_tokens).alias("ts"))
+    asked = queries.select("q_id", F.array_distinct(q_tokens).alias("qs")).where(F.size("qs") > 0)
+    long = asked.select("q_id", F.size("qs").alias("size"), F.explode("qs").alias("token"))
+    held = rows.select("doc_id", F.explode("ts").alias("token")).join(long.select("token").distinct(), "token", "left_semi")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("q_id").orderBy(F.coalesce("df", F.lit(0)), "token")
+    least = F.ceil(F.round(F.lit(share) * F.col("size"), 9))
+    keys = long.join(df, "token", "left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("size") - least + 1).select("q_id", "token")
+    pairs = keys.join(held, "token").select("q_id", "doc_id").distinct()
+    both = pairs.join(asked, "q_id").join(rows, "doc_id").select("q_id", "doc_id", F.size("qs").alias("size"), F.size(F.array_intersect("qs", "ts")).cast("long").alias("shared"))
+    return both.where(F.col("shared") >= share * F.col("size")).select("q_id", "doc_id", "shared")
 
 
 def deletion_siblings(names: DataFrame, keys: Column) -> DataFrame:
@@ -75,15 +85,17 @@ def deletion_siblings(names: DataFrame, keys: Column) -> DataFrame:
     return exploded.select(F.col("id").alias("a"), "key").join(exploded.select(F.col("id").alias("b"), "key"), "key").where("a < b").groupBy("a", "b").agg(F.min("key").alias("key"))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 200_000) -> DataFrame:
     """Exact inner-product top k of queries (q_id, vec) among vectors (doc_id, vec).
 
-    The queries are a stated set: they go to every task in blocks that numpy multiplies, and each batch of vectors yields k
-    rows a query before anything is shuffled.
+    The queries are a stated set of at most max_queries (more raise: split them): they go to every task in blocks that numpy
+    multiplies, and each batch of vectors yields k rows a query before anything is shuffled.
     """
     import numpy as np
     import pandas as pd
 
+    if queries.limit(max_queries + 1).count() > max_queries:
+        raise ValueError(f"more than {max_queries} queries: ask in parts")
     rows = queries.select("q_id", "vec").collect()
     shared = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
 
@@ -98,3 +110,48 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                     yield pd.DataFrame({"q_id": q, "doc_id": docs[top], "score": s[top]})
 
     return ranked(vectors.select("doc_id", "vec").mapInPandas(best, "q_id long, doc_id long, score double"), ("q_id",), "score", "doc_id", k)
+
+
+def gold_ranks(queries: DataFrame, vectors: DataFrame, gold: DataFrame) -> DataFrame:
+    """(q_id, doc_id, score, rank) of given pairs gold: one more than the vectors with a strictly greater inner product.
+
+    The gold scores are a table of the queries' size; every batch of vectors counts what exceeds them, and counts are summed.
+    """
+    import numpy as np
+    import pandas as pd
+
+    dot = lambda x, y: F.round(F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda a, p: a + p), 6)
+    known = gold.join(queries, "q_id").join(vectors.withColumnRenamed("vec", "other"), "doc_id").select("q_id", "doc_id", "vec", dot("vec", "other").alias("score"))
+    rows = known.collect()
+    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["vec"] for r in rows], np.float64), np.array([r["score"] for r in rows])))
+
+    def above(batches):
+        asked, scores = shared.value
+        n = np.zeros(len(scores), np.int64)
+        for pdf in batches:
+            table = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            for at in range(0, len(scores), 256):
+                n[at : at + 256] += (np.round(asked[at : at + 256] @ table.T, 6) > scores[at : at + 256, None]).sum(1)
+        yield pd.DataFrame({"at": np.arange(len(n)), "n": n})
+
+    counts = vectors.select("vec").mapInPandas(above, "at long, n long").groupBy("at").agg((F.sum("n") + 1).alias("rank"))
+    numbered = queries.sparkSession.createDataFrame([(k, r["q_id"], r["doc_id"], float(r["score"])) for k, r in enumerate(rows)], "at long, q_id long, doc_id long, score double")
+    return numbered.join(counts, "at").drop("at")
+
+
+def pair_scores(pairs: DataFrame, queries: DataFrame, tokens: Column, index: DataFrame) -> DataFrame:
+    """Exact BM25 score of given pairs (part, q_id, doc_id); 0 where no token is shared."""
+    asked = queries.select("q_id", F.explode(F.array_distinct(tokens)).alias("token"))
+    hits = pairs.join(asked, "q_id").join(index, ["part", "doc_id", "token"]).groupBy("part", "q_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    return pairs.join(hits, ["part", "q_id", "doc_id"], "left").fillna(0.0, ["score"])
+
+
+def keyed_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b) of rows (id and keys) that agree in all keys, none of them null; the ids differ."""
+    left, right = a.select(F.col("id").alias("a"), *keys).dropna(subset=keys), b.select(F.col("id").alias("b"), *keys).dropna(subset=keys)
+    return left.join(right, keys).where("a <> b").select("a", "b").distinct()
+
+
+def unique_at(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id) of the keys, none of them null, that exactly one record has."""
+    return records.dropna(subset=keys).groupBy(*keys).agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")

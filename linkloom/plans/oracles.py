@@ -21,9 +21,11 @@ def _bm25(prefix: str, docs: str, asked: str, k: int, prune: str) -> str:
 {prefix}rk AS (SELECT * FROM {prefix}all WHERE rank <= {k})"""
 
 
-_T, _HEAD = f"list_distinct({tokens('text')})", f"list_distinct({tokens('split_part(text, chr(10), 1)')})"
+EVENTS = ("click", "error", "purchase", "signup", "view")
+_T = f"list_distinct({tokens('text')})"
+_STEMS = "list_distinct(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}'), lambda t: t[1:5]))"
 MAIN = _bm25("m", f"SELECT lang AS part, doc_id, {_T} AS ts FROM documents", f"SELECT item_id AS q_id, {_T} AS ts FROM benchmark", 5, "df <= 0.1 * n")
-NAME = _bm25("n", f"SELECT lang AS part, doc_id, {_HEAD} AS ts FROM documents", f"SELECT item_id AS q_id, {_HEAD} AS ts FROM benchmark", 3, "df <= 0.1 * n")
+NAME = _bm25("n", f"SELECT lang AS part, doc_id, {_STEMS} AS ts FROM documents", f"SELECT item_id AS q_id, {_STEMS} AS ts FROM benchmark", 3, "df <= 0.1 * n")
 POOL = MAIN + ",\npool AS (SELECT q_id, doc_id, part, score, rank, round(score / (score + 20), 6) AS p FROM mrk)"
 TRUTH = f"""
 tq AS (SELECT item_id AS q_id, len({_T}) AS size, unnest({_T}) AS token FROM benchmark),
@@ -56,7 +58,7 @@ UNION = POOL + "," + NAME + """, un AS (SELECT coalesce(a.q_id, b.q_id) AS q_id,
 
 
 def _norm(kept: str) -> str:
-    return rf"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}{kept}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: t <> 'null' AND t <> ''), ' ')"
+    return rf"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '[^\p{{L}}\p{{N}}{kept}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda t: t <> 'null' AND t <> ''), ' ')"
 
 
 def _only(x: str, y: str) -> str:
@@ -72,19 +74,19 @@ _SHIFT = "1, 2, 3, 4, 5, 7, 9, 11, 13, 21"
 _NUM = "list_transform(regexp_extract_all({}, '[0-9]+'), lambda r: CASE WHEN ltrim(r, '0') = '' THEN '0' ELSE ltrim(r, '0') END)"
 _INT = "substring({}, 1, 15)::BIGINT"
 _GRAMS = "list_distinct(CASE WHEN length(p_name) >= 4 THEN list_transform(range(1, length(p_name) - 2), lambda i: substring(lower(p_name), i, 4)) ELSE [] END)"
-_LEGAL = "'ltd', 'limited', 'llc', 'inc', 'corp', 'co', 'company', 'pvt', 'private', 'plc', 'gmbh', 'sa', 'sarl', 'sas'"
+_LEGAL = "'sarl', 'sas', 'sa', 'sasu', 'eurl', 'sci', 'snc', 'scop', 'scs', 'sca', 'gie', 'selarl', 'earl', 'ei', 'eirl', 'llc', 'inc', 'co', 'corp', 'corporation', 'company', 'ltd', 'limited', 'private', 'pvt', 'pc', 'plc', 'lp', 'llp', 'pllc'"
 
 ORACLES: dict[str, str] = {
     "normalized_text": f"SELECT conv_id, turn, {_norm('')} AS norm, {_norm(chr(92) + 'p{M}')} AS norm_marks FROM conversations",
-    "token_df": f"SELECT part, token, count(*) AS df FROM (SELECT lang AS part, unnest({_T}) AS token FROM documents) GROUP BY part, token HAVING count(*) >= 3",
-    "idf_table": f"SELECT token, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT token, count(*) AS df FROM (SELECT unnest({_T}) AS token FROM documents) GROUP BY token), (SELECT count(*) AS n FROM documents) WHERE df >= 5",
+    "token_df": f"SELECT part, token, count(*) AS df FROM (SELECT lang AS part, unnest({_T}) AS token FROM documents) GROUP BY part, token",
+    "idf_table": f"SELECT token, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT token, count(*) AS df FROM (SELECT unnest({_T}) AS token FROM documents) GROUP BY token), (SELECT count(*) AS n FROM documents)",
     "name_freq_profile": "WITH c AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) SELECT count(*) AS n_distinct, sum(n)::BIGINT AS n_rows, round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / count(*), 6) AS share_unique, max(n) AS max_n, (SELECT p_name FROM c ORDER BY n DESC, p_name DESC LIMIT 1) AS top_key, coalesce(sum(n) FILTER (n >= 2), 0)::BIGINT AS rows_ge2, coalesce(sum(n) FILTER (n >= 10), 0)::BIGINT AS rows_ge10, coalesce(sum(n) FILTER (n >= 100), 0)::BIGINT AS rows_ge100 FROM c",
     "freq_buckets": f"SELECT {_BUCKET} AS bucket, count(*) AS n_keys, sum(n)::BIGINT AS n_rows FROM (SELECT p_name, count(*) AS n FROM part GROUP BY p_name) GROUP BY 1",
     "grouping_profile": "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())",
     "exact_dup_groups": "SELECT md5(text) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "address_sharing_counts": "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY o_custkey",
     "crosstab_margins": "SELECT p_brand AS brand, p_type AS type, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_type)",
-    "pivot_counts": "SELECT user_id, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error FROM events GROUP BY user_id",
+    "pivot_counts": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{e}') AS n_{e}" for e in EVENTS) + " FROM events GROUP BY user_id",
     "rollup_match_coverage": f"WITH {TRUTH} SELECT lang AS part, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM truth)) AS n_hit FROM documents GROUP BY ROLLUP (lang)",
     "mutual_information": "WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem), g AS (SELECT least(floor((l_quantity - a) / (b - a) * 20), 19) AS x, least(floor((l_extendedprice - c) / (d - c) * 20), 19) AS y, count(*) AS n FROM lineitem, e GROUP BY 1, 2), h AS (SELECT n, sum(n) OVER (PARTITION BY x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY y)::DOUBLE AS ny, sum(n) OVER ()::DOUBLE AS t FROM g) SELECT round(sum(n / t * log2(n * t / (nx * ny))), 6) AS bits FROM h",
     "link_count_distribution": "SELECT n, count(*) AS owners FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) GROUP BY n",
@@ -105,7 +107,7 @@ ORACLES: dict[str, str] = {
     "name_similarity_block": f"WITH {NAMES} SELECT a, b, round(1 - levenshtein(name_a, name_b) / greatest(length(name_a), length(name_b)), 6) AS name_lev, round({_jac('ta', 'tb')}, 6) AS name_jaccard, round(len(list_intersect(list_distinct(ta), list_distinct(tb))) / least(len(list_distinct(ta)), len(list_distinct(tb))), 6) AS name_overlap, abs(length(name_a) - length(name_b)) AS len_diff, round(least(length(name_a), length(name_b)) / greatest(length(name_a), length(name_b)), 6) AS len_ratio FROM np",
     "number_block_basic": f"WITH o AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderpriority AS p, {_NUM.format('concat_ws(chr(32), o_orderkey, o_custkey, o_orderpriority)')} AS ns FROM orders), x AS (SELECT l.id AS a, r.id AS b, l.ns AS na, r.ns AS nb, list_reduce(l.ns, lambda acc, y: CASE WHEN length(y) > length(acc) THEN y ELSE acc END) AS own FROM o l JOIN o r ON l.c = r.c AND l.p = r.p AND l.id < r.id) SELECT a, b, len(na) AS n_left, len(nb) AS n_right, own AS longest, CASE WHEN list_contains(nb, own) THEN 3 WHEN len(list_filter(nb, lambda y: contains(y, own) OR contains(own, y))) > 0 THEN 4 ELSE 5 END AS status, round(ln(1 + list_min(list_transform(nb, lambda y: abs({_INT.format('y')} - {_INT.format('own')})))), 6) AS gap, list_min(list_transform(nb, lambda y: levenshtein(y, own))) AS edit, CASE WHEN len(list_filter(nb, lambda y: y <> own AND list_sort(string_split(y, '')) = list_sort(string_split(own, '')))) > 0 THEN 1 ELSE 0 END AS swapped, CASE WHEN len(list_filter(nb, lambda y: length(y) = length(own) AND abs({_INT.format('y')} - {_INT.format('own')}) BETWEEN 1 AND 50)) > 0 THEN 1 ELSE 0 END AS near, round({_jac('na', 'nb')}, 6) AS number_jaccard FROM x",
     "token_asymmetry_block": f"WITH {POOL}, x AS (SELECT pool.q_id, pool.doc_id, list_distinct({tokens('b.text')}) AS ta, list_distinct({tokens('d.text')}) AS tb FROM pool JOIN benchmark b ON item_id = pool.q_id JOIN documents d ON d.doc_id = pool.doc_id), y AS (SELECT *, {_only('ta', 'tb')} AS l, {_only('tb', 'ta')} AS r FROM x) SELECT q_id, doc_id, l AS only_left, r AS only_right, round(l / len(ta), 6) AS share_left, round(r / len(tb), 6) AS share_right FROM y",
-    "one_token_edit_kind": f"WITH {NAMES}, x AS (SELECT *, {_only('ta', 'tb')} AS l, {_only('tb', 'ta')} AS r, len(tb) - len(ta) AS n FROM np) SELECT a, b, CASE WHEN list_sort(ta) = list_sort(tb) THEN 'equal' WHEN n = 0 AND l = 1 AND r = 1 THEN 'sub' WHEN n = 1 AND l = 0 AND r = 1 THEN 'add' WHEN n = -1 AND l = 1 AND r = 0 THEN 'drop' ELSE 'other' END AS kind FROM x",
+    "one_token_edit_kind": f"WITH {NAMES}, u AS (SELECT a, b, token, sum(n) AS n FROM (SELECT a, b, unnest(ta) AS token, 1 AS n FROM np UNION ALL SELECT a, b, unnest(tb), -1 FROM np) GROUP BY a, b, token), s AS (SELECT a, b, sum(greatest(n, 0)) AS l, sum(greatest(-n, 0)) AS r FROM u GROUP BY a, b) SELECT a, b, CASE WHEN l = 0 AND r = 0 THEN 'equal' WHEN l = 1 AND r = 1 THEN 'sub' WHEN l = 0 AND r = 1 THEN 'add' WHEN l = 1 AND r = 0 THEN 'drop' ELSE 'other' END AS kind FROM s",
     "diff_token_block": f"WITH {NAMES}, f AS (SELECT token, round(ln(count(*)), 6) AS ldf FROM (SELECT unnest(list_distinct({tokens('p_name')})) AS token FROM part) GROUP BY token), x AS (SELECT a, b, list_min(list_filter(ta, lambda t: NOT list_contains(tb, t))) AS da, list_min(list_filter(tb, lambda t: NOT list_contains(ta, t))) AS db FROM np) SELECT a, b, da, db, u.ldf AS ldf_a, v.ldf AS ldf_b FROM x LEFT JOIN f u ON u.token = da LEFT JOIN f v ON v.token = db",
     "name_keys": f"SELECT p_partkey AS id, array_to_string(list_sort(list_filter({tokens('p_name')}, lambda t: t NOT IN ({_LEGAL}))), ' ') AS core, array_to_string(list_sort({tokens('p_name')}), ' ') AS multiset, array_to_string(list_transform({tokens('p_name')}, lambda t: t[1]), '') AS acronym, greatest(length(p_name) - 3, 0) AS n_grams FROM part",
     "competition_block": f"WITH {POOL}, b AS (SELECT q_id, doc_id, max(p) AS p FROM pool GROUP BY q_id, doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY p DESC, doc_id) AS pos, count(*) OVER (PARTITION BY q_id) AS k FROM b), s AS (SELECT *, max(p) OVER (PARTITION BY q_id) AS top, coalesce(max(CASE WHEN pos = 2 THEN p END) OVER (PARTITION BY q_id), 0) AS second FROM r) SELECT q_id, doc_id, p, pos, round(top, 6) AS top, round(second, 6) AS second, round(CASE WHEN k = 1 THEN 1 ELSE (k - pos) / (k - 1) END, 6) AS pct, round(p - second, 6) AS to_second, round(p - top, 6) AS to_top, " + ", ".join(f"count(*) FILTER (p > 0.{n}) OVER (PARTITION BY q_id) AS n{n}0" for n in "879") + ", round(stddev_pop(p) OVER (PARTITION BY q_id), 6) AS std, round(avg(p) OVER (PARTITION BY q_id), 6) AS mean FROM s",
@@ -120,7 +122,7 @@ ORACLES: dict[str, str] = {
     "no_match_gate": f"WITH {POOL} SELECT q_id, doc_id, p FROM (SELECT q_id, doc_id, p, max(p) OVER (PARTITION BY q_id) AS best FROM pool) WHERE best >= 0.6",
     "veto_keeps_last": f"WITH {LINKS} SELECT q_id, doc_id, p FROM (SELECT *, count(*) FILTER (p >= 0.6) OVER (PARTITION BY q_id) AS n FROM links) WHERE n = 0 OR p >= 0.6",
     "probability_blend": f"WITH {POOL}, {NAME}, b AS (SELECT q_id, doc_id, max(round(score / (score + 20), 6)) AS p FROM nrk GROUP BY q_id, doc_id) SELECT coalesce(pool.q_id, b.q_id) AS q_id, coalesce(pool.doc_id, b.doc_id) AS doc_id, round(0.7 * coalesce(pool.p, 0) + (1 - 0.7::DOUBLE) * coalesce(b.p, 0), 6) AS p FROM pool FULL JOIN b ON pool.q_id = b.q_id AND pool.doc_id = b.doc_id",
-    "threshold_grid": f"WITH {HIT}, g AS (SELECT round(0.1 + 0.1 * i, 1)::DOUBLE AS th FROM range(0, 8) t(i)), pr AS (SELECT th, q_id, count(*) AS pred, sum(hit) AS tp FROM hits, g WHERE p >= th GROUP BY th, q_id), gt AS (SELECT q_id, count(*) AS gt FROM truth GROUP BY q_id), e AS (SELECT th, item_id, coalesce(gt, 0) AS gt, coalesce(pred, 0) AS pred, coalesce(tp, 0) AS tp FROM benchmark CROSS JOIN g LEFT JOIN gt ON gt.q_id = item_id LEFT JOIN pr USING (th, q_id)) SELECT th, round(avg({F05}), 6) AS macro_f05 FROM e GROUP BY th".replace("LEFT JOIN pr USING (th, q_id)", "LEFT JOIN pr ON pr.th = g.th AND pr.q_id = item_id").replace("SELECT th, item_id", "SELECT g.th AS th, item_id"),
+    "threshold_grid": f"WITH {HIT}, g AS (SELECT round(0.1 + 0.02 * i, 2)::DOUBLE AS th FROM range(0, 43) t(i)), pr AS (SELECT th, q_id, count(*) AS pred, sum(hit) AS tp FROM hits, g WHERE p >= th GROUP BY th, q_id), gt AS (SELECT q_id, count(*) AS gt FROM truth GROUP BY q_id), e AS (SELECT th, item_id, coalesce(gt, 0) AS gt, coalesce(pred, 0) AS pred, coalesce(tp, 0) AS tp FROM benchmark CROSS JOIN g LEFT JOIN gt ON gt.q_id = item_id LEFT JOIN pr USING (th, q_id)) SELECT th, round(avg({F05}), 6) AS macro_f05 FROM e GROUP BY th".replace("LEFT JOIN pr USING (th, q_id)", "LEFT JOIN pr ON pr.th = g.th AND pr.q_id = item_id").replace("SELECT th, item_id", "SELECT g.th AS th, item_id"),
     "macro_f05": f"WITH {SCORED} SELECT {SUMMARY} FROM owner",
     "slice_summary": f"WITH {SCORED} SELECT CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS slice, {SUMMARY} FROM owner GROUP BY 1",
     "recall_at_k": f"WITH {POOL}, {TRUTH} SELECT k, count(*) AS links, round(avg(CASE WHEN rank <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM truth LEFT JOIN pool USING (q_id, doc_id), (SELECT unnest([1, 2, 3, 5]) AS k) GROUP BY k",

@@ -16,7 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 K, MAX_DF_SHARE = 5, 0.1
-GRID = [round(0.1 + 0.1 * k, 1) for k in range(8)]
+GRID = [round(0.1 + 0.02 * k, 2) for k in range(43)]
+EVENTS = ("click", "error", "purchase", "signup", "view")
 SHIFTS = [1, 2, 3, 4, 5, 7, 9, 11, 13, 21]  # fixed values: the offsets of the mirror census
 
 
@@ -33,9 +34,10 @@ def docs(spark, d) -> DataFrame:
     return src.read_table(spark, d, "documents").select(F.col("lang").alias("part"), "doc_id", "text")
 
 
-def head_of(text):
-    """The name-like view of a text: its first line."""
-    return F.get(F.split(F.coalesce(text, F.lit("")), "\n"), F.lit(0))
+def stems(text):
+    """The tokens of the second channel: words of four letters and more, by their first five letters."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]{4,})"), F.lit(1))
+    return F.transform(found, lambda t: F.left(t, F.lit(5)))
 
 
 def index(spark, d) -> DataFrame:
@@ -51,9 +53,8 @@ def pool(spark, d) -> DataFrame:
 
 
 def name_pool(spark, d) -> DataFrame:
-    heads = docs(spark, d).withColumn("text", head_of(F.col("text")))
-    at = retrieval.bm25_index(heads, tx.ascii_tokens(F.col("text")), max_df_share=MAX_DF_SHARE)
-    return retrieval.bm25_topk(items(spark, d).withColumn("text", head_of(F.col("text"))), tx.ascii_tokens(F.col("text")), at, 3)
+    at = retrieval.bm25_index(docs(spark, d), stems(F.col("text")), max_df_share=MAX_DF_SHARE)
+    return retrieval.bm25_topk(items(spark, d), stems(F.col("text")), at, 3)
 
 
 def truth(spark, d) -> DataFrame:
@@ -80,14 +81,14 @@ def normalized_text(spark, d):
 
 @query
 def token_df(spark, d):
-    return stats.token_df(docs(spark, d), tx.ascii_tokens(F.col("text")), "part").where("df >= 3")
+    return stats.token_df(docs(spark, d), tx.ascii_tokens(F.col("text")), "part")
 
 
 @query
 def idf_table(spark, d):
     rows = docs(spark, d)
     df = stats.token_df(rows, tx.ascii_tokens(F.col("text")))
-    return df.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).where("df >= 5").select("token", "df", F.round(stats.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row
+    return df.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n")))).select("token", "df", F.round(stats.idf(F.col("n"), F.col("df")), 6).alias("idf"))  # one row
 
 
 @query
@@ -124,7 +125,7 @@ def crosstab_margins(spark, d):
 
 @query
 def pivot_counts(spark, d):
-    return src.read_table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "error"]).agg(F.count(F.lit(1))).fillna(0).select("user_id", F.col("click").alias("n_click"), F.col("error").alias("n_error"))
+    return src.read_table(spark, d, "events").groupBy("user_id").pivot("event_type", list(EVENTS)).agg(F.count(F.lit(1))).fillna(0).select("user_id", *[F.col(e).alias(f"n_{e}") for e in EVENTS])
 
 
 @query
@@ -412,9 +413,7 @@ def set_change_classes(spark, d):
 
 @query
 def mirror_census(spark, d):
-    p = parts(spark, d)
-    pairs = p.select("name", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("type").alias("type")).join(p.select("name", F.col("id").alias("b"), F.col("size").alias("sb")), "name").where("a < b")
-    return census.offset_census(pairs.withColumn("delta", F.col("sb") - F.col("sa")), "type", "delta", 25, SHIFTS)
+    return census.offset_census_of_groups(parts(spark, d), "name", "id", "size", "type", 25, SHIFTS)
 
 
 @query
