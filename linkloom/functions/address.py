@@ -71,7 +71,7 @@ def tokens(folded: Column) -> Column:
 
 def components(folded: Column) -> Column:
     """The parts between commas that aren't blank."""
-    return F.filter(F.transform(F.split(F.coalesce(folded, F.lit("")), ","), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(F.coalesce(folded, F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def words(folded: Column) -> Column:

@@ -155,3 +155,13 @@ def keyed_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def unique_at(records: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id) of the keys, none of them null, that exactly one record has."""
     return records.dropna(subset=keys).groupBy(*keys).agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")
+
+
+def fuzzy_in_group(names: DataFrame, group: str, most: int, max_group: int) -> DataFrame:
+    """(group, a, b, d) of names (group, name, id) of one group within most edits. Names of lengths that differ by more never meet;
+    a group of more than max_group names raises."""
+    if names.groupBy(group).count().where(F.col("count") > max_group).limit(1).count():
+        raise ValueError(f"a group holds more than {max_group} names: add a key")
+    left = names.select(group, F.col("id").alias("a"), F.col("name").alias("x"), F.explode(F.sequence(F.length("name") - most, F.length("name") + most)).alias("len"))
+    right = names.select(group, F.col("id").alias("b"), F.col("name").alias("y"), F.length("name").alias("len"))
+    return left.join(right, [group, "len"]).where("a < b").withColumn("d", F.levenshtein("x", "y")).where(F.col("d") <= most).select(group, "a", "b", "d")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = ((1, "1"), (2, "2"), (5, "3-5"), (10, "6-10"), (50, "11-50"), (100, "51-100"), (1000, "101-1000"))
@@ -63,3 +63,39 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def vocabulary_tails(names: DataFrame, tokens: Column, least: int) -> DataFrame:
     """Last tokens that close at least so many names."""
     return names.where(F.size(tokens) > 0).groupBy(F.element_at(tokens, -1).alias("tail")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson's and Spearman's correlation; equal values share their mean rank. Counts by value come first."""
+    out = df.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    for c in "xy":
+        n = out.groupBy(c).agg(F.count("*").alias("n"))
+        ranks = numbered(n, [F.col(c)], None, "n").select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
+        out = out.join(ranks, c)
+    return out.agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"))
+
+
+def numbered(df: DataFrame, order: list[Column], by: str | None, weight: str | None = None) -> DataFrame:
+    """Rows with their place in a whole order (or, as upto, the weights up to them).
+
+    Rows are numbered inside ranges of the order's first column, or of 200 buckets of its quantiles without one, and each range adds
+    the counts of the ranges before it: no task sorts the whole table.
+    """
+    first = order[0] if by is None else F.col(by)
+    value = F.lit(1) if weight is None else F.col(weight)
+    if by is None:
+        ends = sorted(set(df.agg(F.percentile_approx(first, [k / 200 for k in range(1, 200)], F.lit(10000)).alias("q")).first()["q"] or []))
+        bucket = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: first > e)) if ends else F.lit(0)
+    else:
+        bucket = first
+    rows = df.withColumn("_b", bucket)
+    sizes = rows.groupBy("_b").agg(F.sum(value).alias("_n")).withColumn("_lower", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.sum(value).over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    name = "place" if weight is None else "upto"
+    return rows.withColumn("_i", inside).join(sizes.select("_b", "_lower"), "_b").withColumn(name, F.col("_i") + F.col("_lower")).drop("_b", "_i", "_lower")
+
+
+def manifest(df: DataFrame) -> DataFrame:
+    """Rows, and an exclusive or of the rows' md5 that no order changes, as a written table's check."""
+    head = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])), 1, 15), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("rows"), F.bit_xor(head).cast("string").alias("fingerprint"))

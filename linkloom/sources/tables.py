@@ -71,3 +71,30 @@ def problems(owners: DataFrame, lists: DataFrame, candidates: DataFrame, records
     for check in checks[1:]:
         out = out.union(check)
     return out
+
+
+def ordered_lists(owners: DataFrame, pool: DataFrame, score: str, name: str) -> DataFrame:
+    """One row an owner: its candidates by falling score, then id, as a comma list."""
+    lists = pool.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "doc_id"))).alias("xs"))
+    joined = F.array_join(F.transform("xs", lambda x: x["doc_id"].cast("string")), ",")
+    return owners.select("q_id").join(lists.select("q_id", joined.alias(name)), "q_id", "left").fillna("", [name])
+
+
+def emptied(lists: DataFrame, where: Column) -> DataFrame:
+    """Result lists with those of one partition emptied, to probe what it is worth."""
+    return lists.withColumn("matched", F.when(where, "").otherwise(F.col("matched")))
+
+
+def materialise_by(df: DataFrame, path: str, key: str, values: list[str]) -> DataFrame:
+    """Writes a table one partition value after the other and skips those that are there whole, so that a stopped run goes on
+    where it was. A partition counts as whole once its success mark is written."""
+    from urllib.parse import quote
+
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for value in values:
+        place = f"{path}/{key}={quote(value, safe='')}"
+        mark = hadoop.Path(f"{place}/_SUCCESS")
+        if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+            df.where(F.col(key) == value).drop(key).write.mode("overwrite").parquet(place)
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{key}={quote(v, safe='')}" for v in values])

@@ -6,8 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from linkloom.plans.oracles import ORACLES
-from linkloom.plans.queries import QUERIES
+from linkloom.plans import oracles, record_queries
+from linkloom.plans import queries as matching
+
+QUERIES = matching.QUERIES | record_queries.QUERIES
+ORACLES = oracles.ORACLES | record_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
