@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def r6(c: Column, name: str) -> Column:
@@ -194,6 +195,21 @@ def shift_patch(pool: DataFrame, threshold: float, shifts: list[int], ratio: flo
     return rows.withColumn("left", left).where("drop = 0 or left = 0").select("q_id", "doc_id", "p")
 
 
+def sibling_rules(scored: DataFrame, threshold: float, least: float, lead: float) -> DataFrame:
+    """Accepted links after two rules on records of one owner. Rows: q_id, doc_id, p, key, number.
+
+    Rescue: a pair over least joins if an accepted sibling has its key and number. Veto: an accepted pair goes if an accepted
+    sibling with its key and another number leads it by more than lead.
+    """
+    yes = F.col("p") >= threshold
+    best = F.max(F.when(yes, F.col("p")))
+    same, group = Window.partitionBy("q_id", "key", "number"), Window.partitionBy("q_id", "key")
+    rows = scored.withColumns({"twin": best.over(same), "top": F.max(F.when(yes, F.struct("p", "number"))).over(group)})
+    vetoed = F.coalesce((F.col("top.number") != F.col("number")) & (F.round(F.col("top.p") - F.col("p"), 6) > lead), F.lit(False))
+    rule = F.when(yes & ~vetoed, "accepted").when(yes, "vetoed").when((F.col("p") >= least) & F.col("twin").isNotNull(), "rescued")
+    return rows.withColumn("rule", rule).where("rule is not null").select("q_id", "doc_id", "p", "rule")
+
+
 def flag_scorecard(scored: DataFrame, flag: Column, threshold: float) -> DataFrame:
     """Pairs, precision and acceptance inside and outside a flag, and what vetoing or rescuing all flagged pairs changes."""
     yes = F.when(F.col("p") >= threshold, 1).otherwise(0)
@@ -364,6 +380,6 @@ def char_edit(a: str, b: str) -> str:
     return "other"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def char_edit_typology(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else char_edit(x, y) for x, y in zip(a, b, strict=True)])

@@ -428,7 +428,10 @@ def near_duplicate_pairs(spark, d):
     return pairs(spark, d).select("a", "b", blocks.near_duplicate(tx.ascii_tokens(a), tx.ascii_tokens(b), ad.core(a), ad.core(b)).alias("near"))
 
 
-@query()
+@query(
+    f"WITH {PAIRS}, u AS (SELECT a, b, token, sum(n) AS n FROM (SELECT a, b, unnest({tokens('na')}) AS token, 1 AS n FROM pr UNION ALL SELECT a, b, unnest({tokens('nb')}), -1 FROM pr) GROUP BY a, b, token), k AS (SELECT a, b, sum(greatest(n, 0)) = 1 AND sum(greatest(-n, 0)) = 1 AS sub FROM u GROUP BY a, b),"
+    f" n AS (SELECT a, b, ab, {_NUMS.format('aa')}[1] AS own, {_NUMS.format('ab')} AS ns FROM pr) SELECT a, b, CASE WHEN ab IN ('', 'null') THEN 'emptyaddr' WHEN sub THEN 'subname' WHEN own IS NOT NULL AND len(ns) > 0 AND NOT list_contains(ns, own) THEN 'housenum' ELSE 'lexhard' END AS tag FROM n JOIN k USING (a, b)"
+)
 def residual_tags(spark, d):
     kind = features.edit_kind(tx.ascii_tokens(F.col("na")), tx.ascii_tokens(F.col("nb")))
     number = ad.number_relation(F.get(tx.numbers(F.col("aa")), F.lit(0)), tx.numbers(F.col("ab")))
@@ -590,6 +593,12 @@ def shift_patch(spark, d):
     return evaluate.shift_patch(rows, T, SHIFTS)
 
 
+@query(f"WITH {SCORED}, x AS (SELECT *, doc_id % 3 AS key, line % 2 AS number FROM sc), b AS (SELECT q_id, key, max(p) AS tp FROM x WHERE p >= 0.5 GROUP BY q_id, key), t AS (SELECT b.q_id, b.key, tp, max(x.number) AS tn FROM b JOIN x ON x.q_id = b.q_id AND x.key = b.key AND x.p = tp GROUP BY b.q_id, b.key, tp), w AS (SELECT DISTINCT q_id, key, number FROM x WHERE p >= 0.5), y AS (SELECT x.q_id, x.doc_id, x.p, CASE WHEN p >= 0.5 THEN CASE WHEN tn <> x.number AND round(tp - p, 6) > 0.2 THEN 'vetoed' ELSE 'accepted' END WHEN p >= 0.3 AND w.q_id IS NOT NULL THEN 'rescued' END AS rule FROM x LEFT JOIN t ON t.q_id = x.q_id AND t.key = x.key LEFT JOIN w ON w.q_id = x.q_id AND w.key = x.key AND w.number = x.number) SELECT * FROM y WHERE rule IS NOT NULL")
+def sibling_rules(spark, d):
+    rows = scored(spark, d).select("q_id", "doc_id", "p", (F.col("doc_id") % 3).alias("key"), (F.col("line") % 2).alias("number"))
+    return evaluate.sibling_rules(rows, T, 0.3, 0.2)
+
+
 @query(f"WITH {SCORED} SELECT CASE WHEN line >= 5 THEN 1 ELSE 0 END AS flag, count(*) AS pairs, count(*) FILTER (p >= 0.5) AS accepted, round(count(*) FILTER (p >= 0.5 AND hit = 1) / greatest(count(*) FILTER (p >= 0.5), 1), 6) AS precision, count(*) FILTER (p >= 0.5 AND hit = 0) AS veto_gain, count(*) FILTER (p >= 0.5 AND hit = 1) AS veto_loss, count(*) FILTER (p < 0.5 AND hit = 1) AS rescue_gain, count(*) FILTER (p < 0.5 AND hit = 0) AS rescue_loss FROM sc GROUP BY 1")
 def flag_scorecard(spark, d):
     return evaluate.flag_scorecard(scored(spark, d), F.col("line") >= 5, T)
