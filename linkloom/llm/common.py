@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -46,6 +48,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns free memory of a worker to the system, so that what a stage needed isn't held through the next ones."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | T.StructType) -> DataFrame:
     """Runs make() once a task, then the function it returns on every Arrow batch: columns as lists in, columns as lists out."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -58,6 +70,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
             for at in range(0, batch.num_rows, 512):
                 out = call(batch.slice(at, 512).to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del call
+        out = batch = None
+        give_back()
 
     return df.mapInArrow(run, struct)
 
@@ -72,6 +87,9 @@ def filter_by_text(df: DataFrame, make: Callable[[], Callable[[list], list]]) ->
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield part.filter(pa.array(call(part.column("text").to_pylist()), pa.bool_()))
+        del call
+        part = batch = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 

@@ -156,7 +156,7 @@ class ChunkIds(Recent):
     whole text that holds one of the vocabulary's special strings: as in the tokenizer's own call, they become special ids.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 100_000):
         import regex
 
         super().__init__(room)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import bitmap_of, filter_by_text, in_bitmap, map_batches, materialise
+from linkloom.llm.common import bitmap_of, filter_by_text, hits, map_batches, materialise
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -121,12 +121,15 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / self.expected(self.sample))
 
 
-def rule_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns keep, the base counts and the shares of every row."""
+def rule_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bitmap=None, bits: int = 0) -> DataFrame:
+    """Columns keep, the base counts and the shares of every row; with a bitmap only of those whose doc_id may be in it."""
     fields = [docs.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in BASE] + [T.StructField(c, T.DoubleType()) for c in SHARES]
 
     def make():
         def call(batch: dict) -> dict:
+            if bitmap is not None:
+                held = hits(np.array([0 if d is None else d for d in batch["doc_id"]], np.int64), bitmap.value, bits)
+                batch = {c: [v for v, h in zip(batch[c], held, strict=True) if h] for c in batch}
             out = {c: batch[c] for c in keep} | {c: [] for c in (*BASE, *SHARES)}
             for text in batch["text"]:
                 base, shares = statistics_of(text)
@@ -218,9 +221,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, filter_bits: int = 24, **optio
     The forest is fitted in a pass of its own over the texts that may be labelled (a bitmap of a fixed size tells), and then
     each text is judged where it is read: only statistics are joined with labels, texts are never shuffled.
     """
-    some = docs.select("doc_id", "text")
-    some = in_bitmap(some, bitmap_of(labels_of(labels).select(F.col("doc_id").alias("rep")), filter_bits), filter_bits)
-    forest, most = calibrate(materialise(rule_statistics(some), "rule-statistics"), labels, **options)
+    bitmap = bitmap_of(labels_of(labels).select(F.col("doc_id").alias("rep")), filter_bits)
+    forest, most = calibrate(materialise(rule_statistics(docs, bitmap=bitmap, bits=filter_bits), "rule-statistics"), labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees x 2 x sample nodes
 
     def make():
