@@ -136,15 +136,17 @@ def gated_similarity(pairs: DataFrame, keys: tuple[str, ...] = ("a", "b")) -> Da
     )
 
 
-def containing(records: DataFrame, asked: DataFrame, *same: str) -> DataFrame:
-    """(q, n): how many records hold all tokens of each asked set. records: id, ts; asked: q, ts; both: the columns same, whose
-    values have to agree where the asked row has one. Sets meet by the rarest token of the asked one.
+def containing(records: DataFrame, asked: DataFrame, by: str, *same: str) -> DataFrame:
+    """(q, n): how many records of the asked row's partition hold all tokens of its set. records: id, ts, by; asked: q, ts, by;
+    both: the columns same, whose values have to agree where the asked row has one. Sets meet by the partition's rarest token of
+    the asked one.
     """
-    long = records.select("id", "ts", *same, F.explode("ts").alias("token"))
-    df = long.groupBy("token").agg(F.count("*").alias("df"))
-    want = asked.where(F.size("ts") > 0).select("q", F.col("ts").alias("qs"), *[F.col(c).alias(f"q_{c}") for c in same])
-    rare = want.select("*", F.explode("qs").alias("token")).join(df, "token").withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy("df", "token"))).where("at = 1").drop("df", "at")
-    met = rare.join(long, "token").where(F.size(F.array_except("qs", "ts")) == 0)
+    long = records.select("id", "ts", by, *same, F.explode("ts").alias("token"))
+    df = long.groupBy(by, "token").agg(F.count("*").alias("df"))
+    want = asked.where(F.size("ts") > 0).select("q", by, F.col("ts").alias("qs"), *[F.col(c).alias(f"q_{c}") for c in same])
+    order = Window.partitionBy("q").orderBy("df", "token")
+    rare = want.select("*", F.explode("qs").alias("token")).join(df, [by, "token"]).withColumn("at", F.row_number().over(order)).where("at = 1").drop("df", "at")
+    met = rare.join(long, [by, "token"]).where(F.size(F.array_except("qs", "ts")) == 0)
     for c in same:
         met = met.where(F.col(f"q_{c}").isNull() | (F.col(f"q_{c}") == F.col(c)))
     return met.groupBy("q").agg(F.count_distinct("id").alias("n"))
