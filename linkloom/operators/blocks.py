@@ -193,3 +193,22 @@ def sibling_relation(same_name: Column, same_number: Column, both_numbers: Colum
     """How two records of one owner stand to each other: twin (name and address), contradiction (one address has another number), or
     neutral."""
     return F.when(same_name & same_address, "twin").when(both_numbers & ~same_number, "contradiction").otherwise("neutral")
+
+
+def street_match(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
+    """The best pair of street components of two addresses, as columns added to the pairs.
+
+    a, b: street_signatures() of both. street_exact: the largest share of the smaller token set that the other one holds;
+    street_fuzzy: the best token_set_ratio, which is 1 where that share is; number_agree: 1 if any number is in both, else 0, -1
+    if a side has none. Without a component on a side, the first two are null and the last is -1.
+    """
+    found = pairs.withColumns({"_a": a, "_b": b})
+    words = lambda x: F.split(x["key"], " ")
+    share = lambda x, y: F.size(F.array_intersect(words(x), words(y))) / F.least(F.size(words(x)), F.size(words(y)))
+    exact = F.array_max(F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda y: share(x, y)))))
+    keys = lambda c: F.transform(c, lambda x: x["key"])
+    numbers = lambda c: F.flatten(F.transform(c, lambda x: x["numbers"]))
+    na, nb = numbers("_a"), numbers("_b")
+    agree = F.when((F.size("_a") > 0) & (F.size("_b") > 0) & (F.size(na) > 0) & (F.size(nb) > 0), F.arrays_overlap(na, nb).cast("int")).otherwise(-1)
+    fuzzy = F.round(sim.best_set_ratio(keys("_a"), keys("_b")), 6)
+    return found.withColumns({"street_exact": F.round(exact, 6), "number_agree": agree, "street_fuzzy": fuzzy}).drop("_a", "_b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,21 @@ def stratified_sample(df: DataFrame, strata: list[str], row_id: Column, per_stra
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_stratum).drop("_n")
 
 
+def quota_sample(df: DataFrame, strata: list[str], row_id: Column, total: int, least: int) -> DataFrame:
+    """Each stratum's share of total rows, but at least `least` (or all it has), in an order by hash: a sampling operator.
+
+    No quota is over the larger of both numbers, so that many rows of a stratum and partition at most are shuffled; sizes are
+    counted before. Null is a stratum like any other.
+    """
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_c"))
+    share = F.col("_c") / F.sum("_c").over(Window.partitionBy(F.lit(1)))  # one row a stratum
+    quotas = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in strata], F.greatest(F.lit(least), F.round(F.lit(total) * share)).alias("_q"))
+    order = Window.partitionBy(*strata).orderBy(F.md5(row_id.cast("string")), row_id)
+    first = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(total, least))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in strata])
+    return first.join(quotas, same).where("_n <= _q").select(*df.columns)
+
+
 def count_prior(counts: DataFrame, stratum: str, n: str) -> DataFrame:
     return counts.groupBy(stratum).agg(F.count("*").alias("owners"), F.round(F.avg(n), 6).alias("mean_n"), F.round(F.avg(F.when(F.col(n) == 0, 1.0).otherwise(0.0)), 6).alias("share_empty"))
 

@@ -383,3 +383,17 @@ def char_edit(a: str, b: str) -> str:
 @F.pandas_udf(T.StringType())
 def char_edit_typology(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else char_edit(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def rerank_diagnostic(pool: DataFrame, by: list[str], score: str, k: int) -> DataFrame:
+    """How many groups find more, as many or fewer true pairs (hit = 1) in their best k after ranking by another score.
+
+    pool: the group's columns, doc_id, rank, hit and the score. Groups without a true pair in the pool are left out.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc(score), "doc_id")
+    found = lambda place, name: F.sum(F.when(F.col(place) <= k, F.col("hit")).otherwise(0)).alias(name)
+    rows = pool.withColumn("_new", F.row_number().over(order)).groupBy(*by)
+    groups = rows.agg(found("rank", "old"), found("_new", "new"), F.sum("hit").alias("held")).where("held > 0")
+    one = lambda c, name: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(name)
+    old, new = F.col("old"), F.col("new")
+    return groups.agg(F.count("*").alias("groups"), one(new > old, "improved"), one(new == old, "same"), one(new < old, "worse"))

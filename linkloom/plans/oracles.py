@@ -76,6 +76,14 @@ _INT = "substring({}, 1, 15)::BIGINT"
 _GRAMS = "list_distinct(CASE WHEN length(p_name) >= 4 THEN list_transform(range(1, length(p_name) - 2), lambda i: substring(lower(p_name), i, 4)) ELSE [] END)"
 _LEGAL = "'sarl', 'sas', 'sa', 'sasu', 'eurl', 'sci', 'snc', 'scop', 'scs', 'sca', 'gie', 'selarl', 'earl', 'ei', 'eirl', 'llc', 'inc', 'co', 'corp', 'corporation', 'company', 'ltd', 'limited', 'private', 'pvt', 'pc', 'plc', 'lp', 'llp', 'pllc'"
 
+_STEP = "list_transform(range(1, len(d) + 2), lambda i: coalesce(d[i], 0) * (1 - p) + coalesce(d[i - 1], 0) * p)"
+#: Counts of true matches among the k best (pre) and the others (suf) of each owner, then the expected F0.5 of each k.
+EXPECTED = f"""s AS (SELECT q_id, p, row_number() OVER (PARTITION BY q_id ORDER BY p DESC, doc_id) AS n FROM pool), z AS (SELECT q_id, max(n) AS m FROM s GROUP BY q_id),
+pre AS (SELECT q_id, 0::BIGINT AS k, [1.0::DOUBLE] AS d FROM z UNION ALL SELECT pre.q_id, k + 1, {_STEP} FROM pre JOIN s ON s.q_id = pre.q_id AND s.n = k + 1),
+suf AS (SELECT q_id, m AS k, [1.0::DOUBLE] AS d FROM z UNION ALL SELECT suf.q_id, k - 1, {_STEP} FROM suf JOIN s ON s.q_id = suf.q_id AND s.n = k),
+v AS (SELECT q_id, k, x.d[1] * y.d[1] * CASE WHEN k = 0 THEN 1 ELSE 0 END AS none, x.d AS a, y.d AS b FROM pre x JOIN suf y USING (q_id, k)),
+w AS (SELECT q_id, k, CASE WHEN k = 0 THEN any_value(none) ELSE sum(a[i + 1] * b[j + 1] * 1.25 * i / (0.25 * (i + j) + k)) END AS f FROM (SELECT *, unnest(range(0, len(b))) AS j FROM (SELECT *, unnest(range(0, len(a))) AS i FROM v)) GROUP BY q_id, k)"""
+
 ORACLES: dict[str, str] = {
     "normalized_text": f"SELECT conv_id, turn, {_norm('')} AS norm, {_norm(chr(92) + 'p{M}')} AS norm_marks FROM conversations",
     "token_df": f"SELECT part, token, count(*) AS df FROM (SELECT lang AS part, unnest({_T}) AS token FROM documents) GROUP BY part, token",
@@ -138,5 +146,6 @@ ORACLES: dict[str, str] = {
     "dq_validator": "SELECT unnest(['duplicate owner', 'missing owner', 'unknown owner', 'duplicate link', 'unknown record', 'link outside the candidates', 'record with two owners']) AS rule, 0 AS n",
     "result_lists": f"WITH {LINKS} SELECT item_id AS q_id, coalesce(m, '') AS matched FROM benchmark LEFT JOIN (SELECT q_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS m FROM links GROUP BY q_id) l ON l.q_id = item_id",
     "stratified_sample": "SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r <= 5",
+    "expected_f05_sets": f"WITH RECURSIVE {POOL}, {EXPECTED} SELECT q_id, k::INT AS k, round(f, 6) AS expected FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(f, 11) DESC, k) AS r FROM w) WHERE r = 1",
     "jaro_winkler_pairs": f"WITH {NAMES} SELECT a, b, round(jaro_winkler_similarity(name_a, name_b), 6) AS jw FROM np",
 }

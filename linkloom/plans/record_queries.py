@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import address as ad
 from linkloom.functions import similarity as sim
 from linkloom.functions import text as tx
-from linkloom.operators import blocks, evaluate, features, metrics, retrieval, stats
+from linkloom.operators import blocks, census, evaluate, features, metrics, retrieval, stats
 from linkloom.plans.oracles import tokens
 from linkloom.sources import tables as src
 
@@ -293,6 +293,23 @@ def dense_gold_ranks(spark, d):
     return retrieval.gold_ranks(v.withColumnRenamed("vec_id", "q_id"), v.withColumnRenamed("vec_id", "doc_id"), gold)
 
 
+@query(
+    f"WITH {_BM}, p AS (SELECT bs.part, bs.q_id, doc_id, row_number() OVER (PARTITION BY bs.part, bs.q_id ORDER BY score DESC, doc_id) AS rank, round(jaro_winkler_similarity(u.name, v.name), 6) AS jw, (u.size = v.size)::INT AS hit FROM bs JOIN rec u ON u.id = bs.q_id JOIN rec v ON v.id = doc_id),"
+    " n AS (SELECT *, row_number() OVER (PARTITION BY part, q_id ORDER BY jw DESC, doc_id) AS place FROM p WHERE rank <= 20), g AS (SELECT sum(hit) FILTER (rank <= 5) AS o, sum(hit) FILTER (place <= 5) AS n FROM n GROUP BY part, q_id HAVING sum(hit) > 0)"
+    " SELECT count(*) AS groups, count(*) FILTER (n > o) AS improved, count(*) FILTER (n = o) AS same, count(*) FILTER (n < o) AS worse FROM g"
+)
+def rerank_diagnostic(spark, d):
+    """Does a string similarity find more in the best five of a pool of 20 than its own ranks do?"""
+    rec = records(spark, d)
+    asked = rec.groupBy("name").agg(F.min("id").alias("q_id"))
+    pool = retrieval.bm25_topk(asked, tx.char_grams(F.col("name")), gram_index(spark, d), 20).select("part", "q_id", "doc_id", "rank")
+    for side in ("q_id", "doc_id"):
+        pool = pool.join(rec.select(F.col("id").alias(side), F.col("name").alias(f"n_{side}"), F.col("size").alias(f"s_{side}")), side)
+    jw = F.round(sim.jaro_winkler("n_q_id", "n_doc_id"), 6)
+    pool = pool.select("part", "q_id", "doc_id", "rank", (F.col("s_q_id") == F.col("s_doc_id")).cast("int").alias("hit"), jw.alias("jw"))
+    return evaluate.rerank_diagnostic(pool, ["part", "q_id"], "jw", 5)
+
+
 _KEYS = f"{REC}, {_PARTS}, ks AS (SELECT rec.id, part, name, addr, CASE WHEN pos IS NOT NULL THEN raw END AS number, street, rest FROM rec JOIN sp USING (id))"
 
 
@@ -444,6 +461,24 @@ def sibling_relations(spark, d):
     return pairs(spark, d).select("a", "b", blocks.sibling_relation(F.col("na") == F.col("nb"), x == y, x.isNotNull() & y.isNotNull(), (F.col("aa") == F.col("ab")) & ~blocks.missing(F.col("aa"))).alias("relation"))
 
 
+_SIGS = (
+    f"c AS (SELECT id, unnest({_COMP.format('addr')}) AS c, generate_subscripts({_COMP.format('addr')}, 1) AS i FROM rec WHERE addr <> 'null'), t AS (SELECT id, i, regexp_extract_all(c, '[a-z0-9]+') AS ts FROM c),"
+    f" u AS (SELECT id, i, list_sort(list_distinct(list_filter(ts, lambda t: NOT regexp_matches(t, '^[0-9]') AND t NOT IN ({listed((*ad.STREET_TYPE, *ad.UNIT_MORE, *ad.STOP))}) AND length(t) > 1))) AS st, len(list_filter(ts, lambda t: t IN ({listed(ad.STREET_TYPE)}))) > 0 AS typed,"
+    " list_transform(list_filter(ts, lambda t: regexp_full_match(t, '[0-9]+[a-z]{0,2}')), lambda t: CASE WHEN ltrim(regexp_extract(t, '^[0-9]+'), '0') = '' THEN '0' ELSE ltrim(regexp_extract(t, '^[0-9]+'), '0') END) AS nums FROM t),"
+    " sg AS (SELECT id, i, st, nums FROM u WHERE len(st) > 0 AND (typed OR len(list_filter(nums, lambda n: length(n) < 5)) > 0)), an AS (SELECT id, flatten(list(nums)) AS nums FROM sg GROUP BY id)"
+)
+
+
+@query(
+    f"WITH {PAIRS}, {_SIGS}, b AS (SELECT pr.a, pr.b, max(len(list_intersect(x.st, y.st)) / least(len(x.st), len(y.st))) AS e FROM pr JOIN sg x ON x.id = pr.a JOIN sg y ON y.id = pr.b GROUP BY pr.a, pr.b)"
+    " SELECT pr.a, pr.b, round(e, 6) AS street_exact, CASE WHEN len(x.nums) > 0 AND len(y.nums) > 0 THEN list_has_any(x.nums, y.nums)::INT ELSE -1 END AS number_agree FROM pr LEFT JOIN b ON b.a = pr.a AND b.b = pr.b LEFT JOIN an x ON x.id = pr.a LEFT JOIN an y ON y.id = pr.b"
+)
+def street_match_block(spark, d):
+    """The fuzzy column of the operator has no SQL; tests hold it against plain Python."""
+    met = blocks.street_match(pairs(spark, d), ad.street_signatures(F.col("aa")), ad.street_signatures(F.col("ab")))
+    return met.select("a", "b", "street_exact", "number_agree")
+
+
 # Windows over scored pairs
 
 @query(f"WITH {SCORED}, x AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY p DESC, doc_id) AS r FROM sc) SELECT q_id, round(max(p), 6) AS top, round(coalesce(max(p) FILTER (r = 2), 0), 6) AS second, round(max(p) - coalesce(max(p) FILTER (r = 2), 0), 6) AS margin, count(*) FILTER (p > 0.8) AS n80, round(stddev_pop(p), 4) AS std FROM x GROUP BY q_id")
@@ -745,6 +780,12 @@ def guarded_moves(spark, d):
     return decide.drop_contested(free.select("q_id", "doc_id", "p"))
 
 
+@query("WITH c AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY md5(doc_id::VARCHAR), doc_id) AS r, count(*) OVER (PARTITION BY lang, source) AS n, count(*) OVER () AS t FROM documents) SELECT doc_id, lang, source FROM c WHERE r <= greatest(3, round(200 * (n / t)))")
+def quota_sample(spark, d):
+    rows = src.read_table(spark, d, "documents").select("doc_id", "lang", "source")
+    return census.quota_sample(rows, ["lang", "source"], F.col("doc_id"), 200, 3)
+
+
 # Sinks and checks
 
 @query(f"WITH {SCORED} SELECT o_orderkey AS q_id, coalesce(m, '') AS candidates FROM orders LEFT JOIN (SELECT q_id, string_agg(doc_id::VARCHAR, ',' ORDER BY p DESC, doc_id) AS m FROM sc GROUP BY q_id) l ON l.q_id = o_orderkey")

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import address as ad
+from linkloom.functions import similarity as sim
 from linkloom.functions import text as tx
-from linkloom.operators import blocks, evaluate, features, models, retrieval, stats
+from linkloom.operators import blocks, census, evaluate, features, models, retrieval, stats
 from linkloom.plans import record_queries as q
 from linkloom.sources import tables as src
 
@@ -167,3 +168,32 @@ def test_record_queries_of_empty_tables(spark, sf, tmp_path):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in ("street_parts", "record_relations", "number_block_full", "competing_owner_block", "set_shape", "claimer_by_margin", "candidate_lists", "sorted_by_composite_key", "half_splits"):
         assert q.QUERIES[name](spark, str(tmp_path)).collect() == [], name
+
+
+def test_street_match(spark):
+    data = [
+        (1, "12 rue victor hugo, paris", "12 r victor hugo, lyon"), (2, "5 main st, 7 oak av", "9 okk ave, boston"),
+        (3, "null", "5 main st"), (4, "3 elm st", "st"), (5, "3 elm st", None),
+    ]
+    df = rows(spark, data, "k long, aa string, ab string")
+    got = {r.k: r for r in blocks.street_match(df, ad.street_signatures(F.col("aa")), ad.street_signatures(F.col("ab"))).collect()}
+    assert len(got) == 5 and (got[1].street_exact, got[1].street_fuzzy, got[1].number_agree) == (1.0, 1.0, 1)
+    best = max(sim.token_set_ratio(x, y) for x in ("main", "oak") for y in ("okk",))
+    assert got[2].street_exact == 0 and got[2].number_agree == 0 and math.isclose(got[2].street_fuzzy, round(best, 6))
+    for k in (3, 4, 5):
+        assert (got[k].street_exact, got[k].street_fuzzy, got[k].number_agree) == (None, None, -1)
+
+
+def test_quota_sample(spark):
+    data = [(k, "a" if k < 80 else "b" if k < 99 else None) for k in range(100)]
+    df = rows(spark, data, "id long, s string")
+    got = census.quota_sample(df, ["s"], F.col("id"), 10, 2)
+    assert got.columns == ["id", "s"] and {r.s: r.n for r in got.groupBy("s").agg(F.count("*").alias("n")).collect()} == {"a": 8, "b": 2, None: 1}
+    assert census.quota_sample(df.where("false"), ["s"], F.col("id"), 10, 2).count() == 0
+
+
+def test_rerank_diagnostic(spark):
+    data = [(1, 10, 1, 0, 0.1), (1, 11, 2, 1, 0.9), (2, 10, 1, 1, 0.2), (2, 11, 2, 0, 0.8), (3, 10, 1, 1, 0.9), (3, 11, 2, 0, 0.1), (4, 10, 1, 0, 0.5)]
+    df = rows(spark, data, "q_id long, doc_id long, rank int, hit int, s double")
+    assert tuple(evaluate.rerank_diagnostic(df, ["q_id"], "s", 1).first()) == (3, 1, 1, 1)
+    assert tuple(evaluate.rerank_diagnostic(df.where("false"), ["q_id"], "s", 1).first()) == (0, 0, 0, 0)
