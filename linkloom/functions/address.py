@@ -218,3 +218,30 @@ def number_typology(a: Column, b: Column) -> Column:
         F.when(a.isNull() | b.isNull(), "MISSING").when(a == b, "SAME").when(d == 1, "D1").when(d == 2, "D2").when(digits(a) == digits(b), "PERM")
         .when((edits == 1) & (F.length(a) == F.length(b)), "DIGSUB").when(edits == 1, "DIGINDEL").when(d % 2 == 0, "EVEN").otherwise("ODD")
     )
+
+
+def unit_numbers(folded: Column) -> Column:
+    """The distinct numbers or single letters behind unit words, without leading zeros."""
+    found = _all(F.coalesce(folded, F.lit("")), r"\b(?:" + "|".join(sorted(set(UNIT_MORE), key=lambda w: (-len(w), w))) + r")[ .#]+(?:[0-9]+|[a-z])\b")
+    return _set(F.transform(found, lambda u: stripped(F.regexp_extract(u, "([0-9]+|[a-z])$", 1))))
+
+
+def street_typology(a: Column, b: Column, ratio: Column, set_ratio: Column) -> Column:
+    """How street tokens differ: S_SAME, S_TYPO, S_PARTIAL, S_DIFF, or S_NA where a side has none.
+
+    ratio, set_ratio: similarities from 0 to 1 of both sides' sorted tokens, joined by a blank.
+    """
+    none = (F.coalesce(F.size(a), F.lit(0)) < 1) | (F.coalesce(F.size(b), F.lit(0)) < 1)
+    partial = F.arrays_overlap(a, b) | (set_ratio >= 0.8)
+    return F.when(none, "S_NA").when(a == b, "S_SAME").when(ratio >= 0.8, "S_TYPO").when(partial, "S_PARTIAL").otherwise("S_DIFF")
+
+
+def place_typology(a: Column, b: Column) -> Column:
+    """C_SAME if the words of both places meet, else C_DIFF; C_NA where a side has none."""
+    return F.when((F.size(a) < 1) | (F.size(b) < 1), "C_NA").when(F.arrays_overlap(a, b), "C_SAME").otherwise("C_DIFF")
+
+
+def unit_typology(a: Column, b: Column) -> Column:
+    """U_NONE, U_RECDROP (only a has units), U_RECADD (only b), U_SAME (they meet) or U_CHANGE."""
+    x, y = F.size(a) > 0, F.size(b) > 0
+    return F.when(~x & ~y, "U_NONE").when(~y, "U_RECDROP").when(~x, "U_RECADD").when(F.arrays_overlap(a, b), "U_SAME").otherwise("U_CHANGE")

@@ -170,6 +170,20 @@ def house_number_typology(spark, d):
     return pairs(spark, d).select("a", "b", ad.number_typology(first("aa"), first("ab")).alias("kind"))
 
 
+_UNITS = "list_sort(list_distinct(list_transform(regexp_extract_all({}, '\\b(?:" + "|".join(sorted(set(ad.UNIT_MORE), key=lambda w: (-len(w), w))) + ")[ .#]+(?:[0-9]+|[a-z])\\b'), lambda u: CASE WHEN ltrim(regexp_extract(u, '([0-9]+|[a-z])$', 1), '0') = '' THEN '0' ELSE ltrim(regexp_extract(u, '([0-9]+|[a-z])$', 1), '0') END)))"
+
+
+@query(
+    f"WITH {PAIRS}, {_PARTS}, x AS (SELECT a, b, u.rest AS ra, v.rest AS rb, {_UNITS.format('aa')} AS ua, {_UNITS.format('ab')} AS ub FROM pr JOIN sp u ON u.id = a JOIN sp v ON v.id = b)"
+    " SELECT a, b, CASE WHEN len(ra) = 0 OR len(rb) = 0 THEN 'C_NA' WHEN list_has_any(ra, rb) THEN 'C_SAME' ELSE 'C_DIFF' END AS place_kind,"
+    " CASE WHEN len(ua) = 0 AND len(ub) = 0 THEN 'U_NONE' WHEN len(ub) = 0 THEN 'U_RECDROP' WHEN len(ua) = 0 THEN 'U_RECADD' WHEN list_has_any(ua, ub) THEN 'U_SAME' ELSE 'U_CHANGE' END AS unit_kind FROM x"
+)
+def place_and_unit_typology(spark, d):
+    rest = lambda c: ad.street_parts(F.col(c))["rest"]
+    units = lambda c: ad.unit_numbers(F.col(c))
+    return pairs(spark, d).select("a", "b", ad.place_typology(rest("aa"), rest("ab")).alias("place_kind"), ad.unit_typology(units("aa"), units("ab")).alias("unit_kind"))
+
+
 # Statistics
 
 @query(f"WITH {REC}, g AS (SELECT part, name, count(*) AS n FROM rec GROUP BY part, name) SELECT part, sum(n)::BIGINT AS rows, count(*) AS names, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 6) AS share_ambiguous, max(n) AS most FROM g GROUP BY part")

@@ -197,3 +197,15 @@ def test_rerank_diagnostic(spark):
     df = rows(spark, data, "q_id long, doc_id long, rank int, hit int, s double")
     assert tuple(evaluate.rerank_diagnostic(df, ["q_id"], "s", 1).first()) == (3, 1, 1, 1)
     assert tuple(evaluate.rerank_diagnostic(df.where("false"), ["q_id"], "s", 1).first()) == (0, 0, 0, 0)
+
+
+def test_address_typologies(spark):
+    data = [(["main"], ["main"], "S_SAME"), (["johnson"], ["johnsen"], "S_TYPO"), (["hugo", "victor"], ["victor"], "S_PARTIAL"), (["main"], ["oak"], "S_DIFF"), ([], ["oak"], "S_NA"), (None, ["oak"], "S_NA")]
+    df = rows(spark, data, "a array<string>, b array<string>, kind string")
+    joined = df.withColumns({f"j{c}": F.array_join(c, " ") for c in "ab"})
+    got = joined.select("kind", ad.street_typology(F.col("a"), F.col("b"), sim.sorted_ratio("ja", "jb"), sim.set_ratio("ja", "jb")).alias("got")).collect()
+    assert [r.got for r in got] == [r.kind for r in got]
+    data = [("apt 4, 3 elm st", "apt 04, 3 elm st", "U_SAME"), ("apt 4", "unit 5", "U_CHANGE"), ("apt 4", "3 elm st", "U_RECDROP"), (None, "suite b", "U_RECADD"), ("", "null", "U_NONE")]
+    df = rows(spark, data, "a string, b string, kind string")
+    got = df.select("kind", ad.unit_typology(ad.unit_numbers(F.col("a")), ad.unit_numbers(F.col("b"))).alias("got")).collect()
+    assert [r.got for r in got] == [r.kind for r in got]
