@@ -139,13 +139,13 @@ def hits(doc_ids: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     return ((words[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def in_bitmap(df: DataFrame, bitmap, bits: int, wanted: bool = True) -> DataFrame:
-    """The rows whose doc_id may be in the bitmap (a join takes the others out), or those for which it can't be. It saves
+def in_bitmap(df: DataFrame, bitmap, bits: int, wanted: bool = True, column: str = "doc_id") -> DataFrame:
+    """The rows whose doc_id (or that column) may be in the bitmap (a join takes the others out), or those for which it can't be. It saves
     shuffling rows that nothing wants."""
 
     def run(batches):
         words = bitmap.value
         for batch in batches:
-            yield batch.filter(pa.array(hits(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), words, bits) == wanted))
+            yield batch.filter(pa.array(hits(batch.column(column).fill_null(0).to_numpy(zero_copy_only=False), words, bits) == wanted))
 
     return df.mapInArrow(run, df.schema)

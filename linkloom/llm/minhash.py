@@ -7,8 +7,8 @@ equal sets are one node. The work then runs over nodes:
    1 - (1 - s^rows)^bands, which leaves out 2 of a million links at s = 0.75 and fewer above.
 2. In every large group of nodes with a band key, one centre is compared with all others: one row per member, however large
    the group is. Pairs whose sizes or signatures rule out the similarity go; the others are held against each other on full
-   sets. Confirmed links give components (alternating large-star and small-star). A few rounds, each with other centres,
-   join nearly all that belongs together.
+   sets. Confirmed links give components (in the driver while they are few, else alternating large-star and small-star). As each
+   key has a centre of its own, one round joins nearly all that belongs together.
 3. What is left are pairs of one group in different components. All of them are tested: in small groups by a join, in
    large groups block against block. No candidate pair of different components is left out.
 
@@ -22,9 +22,11 @@ doc_id links like any other but is never the one that others are dropped for, an
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,26 +109,9 @@ def signatures(docs: DataFrame, words_in: int, bands: int, rows: int) -> DataFra
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, node long, keys array<long>, sig binary")
 
 
-def agreeing(pairs: DataFrame, least_share: float) -> DataFrame:
-    """Pairs (a, b) of rows with sig_a and sig_b whose signatures agree in at least that share of places."""
-
-    def make():
-        def call(batch: dict) -> dict:
-            out = {"a": [], "b": []}
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["sig_a"], batch["sig_b"], strict=True):
-                if (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= least_share:
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out
-
-        return call
-
-    return map_batches(pairs.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, words_in: int, filter_bits: int) -> DataFrame:
-    """(node, items) with the sorted shingle hashes of the wanted nodes; wanted: node, rep. A bitmap of the reps spares the
-    other documents, and what it lets through in vain the join takes out."""
+    """(node, keys, sig, items) with the sorted shingle hashes of the wanted nodes; wanted: node, rep, keys, sig. A bitmap of the
+    reps spares the other documents, and what it lets through in vain the join takes out."""
     bitmap = bitmap_of(wanted, filter_bits)
 
     def make():
@@ -139,21 +124,50 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words_in: int, filter_bits: in
 
         return call
 
-    return map_batches(docs.select("doc_id", "text"), make, "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = map_batches(docs.select("doc_id", "text"), make, "node long, items binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return found.join(wanted.drop("rep"), "node").select("node", "keys", "sig", "items")
+
+
+class Joined(dict):
+    """Nodes that links have joined, to one of them for all."""
 
+    def top(self, x: int) -> int:
+        while x in self:
+            x = self[x]
+        return x
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) of the pairs (a, b) whose full sets reach the similarity."""
-    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
-    both = right.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+
+def agreeing(pairs: DataFrame, least_share: float) -> DataFrame:
+    """a, b, items_b of the pairs with sig_a and sig_b whose signatures agree in at least that share of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+            yield batch.filter(pa.array((x == y).mean(1) >= least_share)).select(["a", "b", "items_b"]) if batch.num_rows else batch.select(["a", "b", "items_b"])
+
+    return pairs.select("a", "b", "sig_a", "sig_b", "items_b").mapInArrow(run, "a long, b long, items_b binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, min_agreement: float) -> DataFrame:
+    """Links (u, v) of the pairs (a, b) whose signatures agree and whose full sets reach the similarity; none between nodes that
+    the links of the same task join already."""
+    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+    pairs = agreeing(pairs.join(sets.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("items").alias("items_b")), "b"), min_agreement)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
 
     def make():
+        joined = Joined()
+
         def call(batch: dict) -> dict:
             out = {"u": [], "v": []}
             for a, b, x, y in zip(batch["a"], batch["b"], batch["items_a"], batch["items_b"], strict=True):
+                p, q = joined.top(a), joined.top(b)
+                if p == q:
+                    continue
                 left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 same = len(np.intersect1d(left, right, assume_unique=True))
                 if 100 * same >= percent * (len(left) + len(right) - same):
+                    joined[p] = q
                     out["u"].append(a)
                     out["v"].append(b)
             return out
@@ -184,13 +198,7 @@ def links_in_blocks(members: DataFrame, percent: int, min_agreement: float, bloc
         own, node, n, label = (pdf[c].to_numpy() for c in ("own", "node", "n", "label"))
         sig, keys = np.stack([np.frombuffer(x, np.uint8) for x in pdf["sig"]]), np.stack(pdf["keys"].to_list())
         items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
-        joined: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while x in joined:
-                x = joined[x]
-            return x
-
+        joined = Joined()
         u, v = [], []
         for x in range(len(pdf)):
             rest = np.arange(x + 1 if within else max(x + 1, np.searchsorted(own, own[x], "right")), len(pdf))
@@ -201,7 +209,7 @@ def links_in_blocks(members: DataFrame, percent: int, min_agreement: float, bloc
             if len(rest):
                 rest = rest[keys[x][(keys[rest] == keys[x]).argmax(1)] == k]
             for y in rest.tolist():
-                p, q = top(label[x]), top(label[y])
+                p, q = joined.top(label[x]), joined.top(label[y])
                 if p == q:
                     continue
                 same = len(np.intersect1d(items[x], items[y], assume_unique=True))
@@ -215,12 +223,13 @@ def links_in_blocks(members: DataFrame, percent: int, min_agreement: float, bloc
 
 
 def near_duplicates(
-    docs: DataFrame, words_in: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, min_agreement: float = 0.62, star_rounds: int = 3, large: int = 32, filter_bits: int = 24
+    docs: DataFrame, words_in: int = 5, percent: int = 75, bands: int = 48, rows: int = 5, min_agreement: float = 0.62, star_rounds: int = 1, large: int = 32, filter_bits: int = 24
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     min_agreement is the share of equal minima below which a pair is ruled out: 4.7 standard deviations under 0.75 with 240
-    minima. Key groups of more than large members are first thinned by star_rounds rounds with one centre each.
+    minima. Key groups of more than large members are first thinned by star_rounds rounds with one centre each. In one round a node
+    already meets the centres of all its keys.
     """
     signed = materialise(signatures(docs, words_in, bands, rows), "signed")
     some = signed.where("node is not null")
@@ -228,34 +237,32 @@ def near_duplicates(
     shared_keys = exploded.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("k")
     members = materialise(exploded.join(shared_keys, "k").distinct(), "members")
     sizes = members.groupBy("k").agg(F.count("*").alias("c"))
-    wanted = materialise(some.groupBy("node").agg(F.min("doc_id").alias("rep")).join(members.select("node").distinct(), "node"), "wanted")
+    # A bitmap spares the signatures of nodes that share no key; the join takes out what it lets through in vain.
+    likely = in_bitmap(some.select("doc_id", "node", "keys", "sig"), bitmap_of(members.select(F.col("node").alias("rep")), filter_bits), filter_bits, column="node")
+    wanted = likely.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    wanted = materialise(wanted.join(members.select("node"), "node", "left_semi"), "wanted")
     sets = materialise(full_sets(docs, wanted, words_in, filter_bits), "sets")
-    sigs = in_bitmap(some.select("doc_id", "node", "keys", "sig"), bitmap_of(wanted, filter_bits), filter_bits)
-    sigs = materialise(sigs.join(wanted.select("node"), "node", "left_semi").drop("doc_id").dropDuplicates(["node"]), "sigs")
+    linked = None
 
-    def agree(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-        return agreeing(pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b"), min_agreement)
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows with the label of their node: the least node that links join it with, or itself."""
+        return rows.withColumn("label", F.col("node")) if linked is None else rows.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-        """Labels after the links (u, v)."""
-        for end in "uv":
-            found = found.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
-        moved = components(found.select(F.col("lu").alias("u"), F.col("lv").alias("v"))).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    def joined(found: DataFrame) -> DataFrame:
+        """Labels of all linked nodes after the stored links (u, v)."""
+        return components(found if linked is None else found.union(linked.select(F.col("node").alias("u"), F.col("label").alias("v"))), stored=True)
 
-    labels = wanted.select("node", F.col("node").alias("label"))
     crowded = materialise(members.join(sizes.where(F.col("c") > large), "k"), "crowded")
     fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     if not crowded.isEmpty():
         for turn in range(star_rounds):
-            here = crowded.join(labels, "node")
+            here = labelled(crowded)
             centres = here.groupBy("k").agg(F.min(F.struct(F.xxhash64("node", "k", F.lit(turn)), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("c")).select("k", "c.a", "c.na", "c.la")
             centres = materialise(centres, "centres")  # without its aggregate, the join below can split a hot key
             stars = here.join(centres, "k").where("label <> la").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), "na", F.col("n").alias("nb"))
-            labels = joined(labels, confirmed(agree(stars.where(fits).select("a", "b").distinct()), sets, percent))
+            linked = joined(materialise(confirmed(stars.where(fits).select("a", "b").distinct(), sets, percent, min_agreement), "stars"))
 
-    here = members.join(labels, "node")
+    here = labelled(members)
     by_label = here.groupBy("k", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     mixed = by_label.groupBy("k").agg(F.sum("m").alias("c"), F.sum("w").alias("w"), F.max(F.struct("m", "label", "w")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     parts = [x for n, of, all_ in (("n", "m", "c"), ("w", "w", "w")) for x in (F.col(f"most.{of}").alias(f"{n}_main"), (F.col(all_) - F.col(f"most.{of}")).alias(f"{n}_rest"))]
@@ -264,14 +271,13 @@ def near_duplicates(
     few = here.where(F.col("c") <= large)
     x = few.select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = few.select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = agree(x.join(y, "k").where(f"a < b and la <> lb and {fits}").select("a", "b").distinct())
-    found = confirmed(pairs, sets, percent)
+    found = confirmed(x.join(y, "k").where(f"a < b and la <> lb and {fits}").select("a", "b").distinct(), sets, percent, min_agreement)
     many = here.where(F.col("c") > large)
     if not many.isEmpty():
-        found = found.union(links_in_blocks(many.join(sigs, "node").join(sets, "node"), percent, min_agreement))
-    labels = joined(labels, materialise(found, "links"))
+        found = found.union(links_in_blocks(many.join(sets, "node"), percent, min_agreement))
+    linked = joined(materialise(found, "links"))
 
-    placed = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = labelled(signed.select("doc_id", "n_shingles", "node"))
     repeated = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("node").alias("m"), F.count("*").alias("n"))
     return _finish(placed, materialise(repeated.where("lo <> hi or (m > 0 and m < n)").select("doc_id"), "repeated-ids"))
 

@@ -173,6 +173,29 @@ def test_components(spark):
     assert {got[k] for k in (1, 2, 3, 8, 9)} == {1} and got[21] == 20 and {got[100 + k] for k in range(40)} == {100} and {got[k] for k in range(300, 331)} == {300} and 5 not in got
 
 
+def test_few_links_take_few_stored_steps(spark, monkeypatch):
+    """Links that fit the driver take no rounds of their own, and the rounds that more links take give the same labels."""
+    steps, store = [], minhash.materialise
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "materialise", lambda df, name: steps.append(name) or store(df, name))
+    draw = np.random.default_rng(3)
+    rows = [(k, " ".join(f"n{k}" if at == draw.integers(100) else f"w{at}" for at in range(100))) for k in range(40)] + [(50, "one two three"), (51, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minhash.near_duplicates(docs, large=8).collect()))
+    assert len(steps) <= 15 and "edges" not in steps
+    monkeypatch.setattr(minhash, "components", functools.partial(components.components, at_once=0))
+    assert sorted(map(tuple, minhash.near_duplicates(docs, large=8, star_rounds=2).collect())) == got and "edges" in steps
+    assert {r[0]: r[2] for r in got} == {k: c for k, (_, c) in brute_components(dict(rows)).items()}
+
+
+def test_components_at_once_and_in_rounds(spark):
+    draw = np.random.default_rng(5).integers(-400, 400, (500, 2)).tolist()
+    edges = spark.createDataFrame([*map(tuple, draw), (None, 3), (7, 7)], "u long, v long")
+    once, rounds = ({r.node: r.label for r in components.components(edges, at_once=n).collect()} for n in (1000, 0))
+    assert once == rounds and len(once) > 400
+    assert components.components(edges.limit(0)).count() == 0
+
+
 @given(st.lists(st.integers(1, 64), max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_best_fit_takes_the_tightest_bin(lengths):
