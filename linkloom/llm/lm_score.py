@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.byte_bpe import read_ranks
-from linkloom.llm.common import bitmap_of, blocks, in_bitmap, materialise
+from linkloom.llm.common import bitmap_of, blocks, give_back, in_bitmap, materialise
 
 LONG_RUN = re.compile(r"\S{2049}")
 PARTS = re.compile(r"\S{1,2048}|\s+")
@@ -53,6 +53,29 @@ def token_ids(text: str | None, coder) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, "<u2")
 
 
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of the blocks, of which a batch holds many: only one is taken out at a time. The worker's tokenizer is done with."""
+    encoding.cache_clear()
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
+def distinct_pairs(pairs: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, how often each stands there, and how often with a flag: one sort in place, no positions."""
+    x = pairs.astype(np.uint64)
+    x <<= np.uint64(1)
+    x |= good
+    x.sort()
+    flags = (x & np.uint64(1)).astype(np.uint32)
+    x >>= np.uint64(1)
+    pairs = x.astype(np.uint32)
+    del x
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1])))
+    n = np.diff(np.append(first, len(pairs))).astype(np.uint32)
+    return pairs[first], n, np.add.reduceat(flags, first).astype(np.uint32) if len(first) else n
+
+
 def token_blocks(rows: DataFrame, ranks_path: str, pattern: str, block_tokens: int) -> DataFrame:
     """Blocks of the rows (doc_id, good, text): ids of the rows, their lengths in tokens, flags, and the 16-bit token ids."""
 
@@ -79,6 +102,8 @@ def token_blocks(rows: DataFrame, ranks_path: str, pattern: str, block_tokens: i
                         n, held, size = n + 1, [], 0
         if held:
             yield block()
+        held = batch = part = None
+        give_back()
 
     return rows.select("doc_id", "good", "text").mapInArrow(run, BLOCK)
 
@@ -121,13 +146,14 @@ def token_counts(tokens: DataFrame, vocabulary: int, weight: float, smoothing: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((4, vocabulary + 1), np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                lens, ids = np.array(row["lens"], np.int64), np.frombuffer(row["ids"], "<u2")
-                good = np.repeat(np.frombuffer(row["good"], np.uint8), lens).astype(bool)
-                first = pairs_of(lens, ids, vocabulary) >> np.uint32(16)
-                for k, x in enumerate((ids[good], ids, first[good], first)):
-                    n[k] += np.bincount(x, minlength=vocabulary + 1)
+        for row in one_by_one(batches):
+            lens, ids = np.array(row["lens"], np.int64), np.frombuffer(row["ids"], "<u2")
+            good = np.repeat(np.frombuffer(row["good"], np.uint8), lens).astype(bool)
+            first = pairs_of(lens, ids, vocabulary) >> np.uint32(16)
+            for k, x in enumerate((ids[good], ids, first[good], first)):
+                n[k] += np.bincount(x, minlength=vocabulary + 1)
+        row = ids = good = first = x = None
+        give_back()
         at = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(c[at]) for c in n]], ["token", "t", "b", "tf", "bf"])
 
@@ -143,25 +169,29 @@ def pair_counts(tokens: DataFrame, vocabulary: int, shards: int) -> DataFrame:
     """Answers of the shards to the blocks: block, shard, and the counts of the block's pairs there over all blocks."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                lens = np.array(row["lens"], np.int64)
-                pairs, at, n = np.unique(pairs_of(lens, np.frombuffer(row["ids"], "<u2"), vocabulary), return_inverse=True, return_counts=True)
-                good = np.bincount(at, np.repeat(np.frombuffer(row["good"], np.uint8), lens), len(pairs)).astype(np.uint32)
-                shard = shard_of(pairs, shards)
-                order = np.argsort(shard, kind="stable")
-                found, first = np.unique(shard[order], return_index=True)
-                columns = [found, np.full(len(found), row["block"])]
-                for values in (pairs, n.astype(np.uint32), good):
-                    columns.append([part.tobytes() for part in np.split(values[order], first[1:])] if len(found) else [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "block", "pairs", "n", "good"])
+        for row in one_by_one(batches):
+            lens = np.array(row["lens"], np.int64)
+            pairs, n, good = distinct_pairs(pairs_of(lens, np.frombuffer(row["ids"], "<u2"), vocabulary), np.repeat(np.frombuffer(row["good"], np.uint8), lens))
+            shard = shard_of(pairs, shards)
+            order = np.argsort(shard, kind="stable")
+            found, first = np.unique(shard[order], return_index=True)
+            columns = [found, np.full(len(found), row["block"])]
+            for values in (pairs, n, good):
+                columns.append([part.tobytes() for part in np.split(values[order], first[1:])] if len(found) else [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["shard", "block", "pairs", "n", "good"])
+        row = lens = pairs = n = good = shard = order = columns = values = None
+        give_back()
 
     def add(rows: pa.Table) -> pa.Table:
-        pairs, n, good = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint32) for c in ("pairs", "n", "good"))
-        ends = np.cumsum([len(x) // 4 for x in rows["pairs"].to_pylist()])[:-1]
-        pairs, at = np.unique(pairs, return_inverse=True)
-        sums = [np.bincount(at, x, len(pairs)).astype(np.int64)[at] for x in (good, n)]
-        target, background = ([part.tobytes() for part in np.split(x, ends)] for x in sums)
+        sent = [np.frombuffer(x, np.uint32) for x in rows["pairs"].to_pylist()]
+        pairs = np.unique(np.concatenate(sent))
+        places, sums = [np.searchsorted(pairs, x).astype(np.uint32) for x in sent], []
+        for c in ("good", "n"):
+            total = np.zeros(len(pairs), np.int64)
+            for at, x in zip(places, rows[c].to_pylist(), strict=True):
+                total[at] += np.frombuffer(x, np.uint32)  # a block sends each of its pairs once
+            sums.append([total[at].tobytes() for at in places])
+        target, background = sums
         return pa.table({"block": rows["block"], "shard": rows["shard"], "target": pa.array(target, pa.binary()), "background": pa.array(background, pa.binary())})
 
     sent = tokens.select("block", "lens", "good", "ids").mapInArrow(send, "shard long, block long, pairs binary, n binary, good binary")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -317,6 +318,23 @@ def test_lm_query_by_brute_force(spark, sf, table, tik):
         assert r.score == pytest.approx(target[r.doc_id] - background[r.doc_id], abs=1e-9)
 
 
+def test_lm_blocks_are_taken_out_one_by_one():
+    """A block's pairs are counted in two copies of 64 bits and what is left of them; a batch of many is never taken out whole."""
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    pairs, good = draw.integers(0, 1 << 18, 1 << 20).astype(np.uint32) << np.uint32(14), draw.integers(0, 2, 1 << 20).astype(np.uint8)
+    tracemalloc.start()
+    found, n, flags = lm_score.distinct_pairs(pairs, good)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, at, times = np.unique(pairs, return_inverse=True, return_counts=True)
+    assert (found == want).all() and (n == times).all() and (flags == np.bincount(at, good)).all() and n.dtype == flags.dtype == np.uint32
+    assert peak < 24 * len(pairs) and [len(x) for x in lm_score.distinct_pairs(pairs[:0], good[:0])] == [0, 0, 0]
+    rows = lm_score.one_by_one(iter([pa.RecordBatch.from_pydict({"ids": [b"ab", b"c"]}), pa.RecordBatch.from_pydict({"ids": [b"d"]})]))
+    assert [r["ids"] for r in rows] == [b"ab", b"c", b"d"]
+
+
 def test_lm_probabilities_sum_to_one(tik):
     texts = {1: "a b a b c", 2: "a b d"}
     _, p = brute_lm_losses(tik, texts, [1, 2])
