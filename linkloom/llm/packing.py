@@ -75,6 +75,9 @@ class BestFit:
 
 COMMON_SPACE = re.compile(r"[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
+#: The characters that OTHER_SPACE finds: to look for each of them in a text takes less time than the pattern.
+OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if OTHER_SPACE.match(c))
+OTHER_ASCII_SPACES = tuple(c for c in OTHER_SPACES if c.isascii())
 #: What the merges below are right for. A vocabulary that says something else is refused.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
@@ -133,6 +136,13 @@ class Recent(dict):
         self[key] = value
 
 
+def has_other_space(text: str) -> bool:
+    for c in OTHER_ASCII_SPACES if text.isascii() else OTHER_SPACES:
+        if c in text:
+            return True
+    return False
+
+
 class PieceIds(Recent):
     """Piece of the pre-tokeniser (normalised, without white space) to its ids as little-endian 32-bit bytes."""
 
@@ -145,7 +155,10 @@ class PieceIds(Recent):
         if ids is None:
             ids = array("I", self.engine(piece.encode() + b"\xff")).tobytes()
         if len(piece) <= 64:
-            self.keep(piece, ids)
+            if len(self) < self.room:
+                self[piece] = ids
+            else:
+                self.keep(piece, ids)
         return ids
 
 
@@ -162,13 +175,17 @@ class ChunkIds(Recent):
         super().__init__(room)
         self.tokenizer, engine, pattern, self.special = loaded(path)
         self.pieces, self.split = PieceIds(engine, room), regex.compile(pattern).findall
+        self.clean = False  # the text at hand has no white space but the common one
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             ids = self.of_chunk(chunk)
         if len(chunk) <= 64:  # longer ones hardly come again
-            self.keep(chunk, ids)
+            if len(self) < self.room:
+                self[chunk] = ids
+            else:
+                self.keep(chunk, ids)
         return ids
 
     def of_chunk(self, chunk: str) -> bytes:
@@ -176,10 +193,12 @@ class ChunkIds(Recent):
         if chunk.isascii():
             if small.isalpha():
                 return self.pieces[small]
-            plain = not OTHER_SPACE.search(chunk)
+            if small[:-1].isalpha() and not small[-1].isalnum() and (self.clean or not small[-1].isspace()):  # a word and a mark
+                return self.pieces[small[:-1]] + self.pieces[small[-1]]
+            plain = self.clean or not OTHER_SPACE.search(chunk)
         else:
             # Python lowers a sigma at the end of a word in its own way; marks may compose anew once their letter is small.
-            plain = "\u03a3" not in chunk and is_normalized("NFC", chunk) and is_normalized("NFC", small) and not OTHER_SPACE.search(chunk)
+            plain = "\u03a3" not in chunk and is_normalized("NFC", chunk) and is_normalized("NFC", small) and (self.clean or not OTHER_SPACE.search(chunk))
         if plain:
             return b"".join(map(self.pieces.__getitem__, self.split(small)))
         return self.by_tokenizer(chunk)
@@ -190,7 +209,8 @@ class ChunkIds(Recent):
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.by_tokenizer(text)
-        if OTHER_SPACE.search(text):  # str.split would cut more than the tokenizer does
+        self.clean = not has_other_space(text)
+        if not self.clean:  # str.split would cut more than the tokenizer does
             return b"".join(b"".join(map(self.__getitem__, filter(None, COMMON_SPACE.split(block)))) for block in blocks(text))
         return b"".join(b"".join(map(self.__getitem__, block.split())) for block in blocks(text))
 

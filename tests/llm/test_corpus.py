@@ -212,6 +212,15 @@ def test_best_fit_takes_the_tightest_bin(lengths):
             left.append(64 - n)
 
 
+def test_packing_of_other_spaces_and_marks():
+    from tokenizers import Tokenizer
+
+    coder, own = packing.ChunkIds(WORD), Tokenizer.from_file(WORD)
+    assert all(packing.has_other_space("a" + chr(c) + "\u4e00" * k) == bool(packing.OTHER_SPACE.search(chr(c))) for c in range(0x11000) if not 0xD800 <= c < 0xE000 for k in (0, 1))
+    for text in ("Word, end. it's a'b x\x1c y\x00 'S o' dog's! 7, k7. ok\x1c", "plain ok, ok", "caf\u00e9, \u00a0 ok\x1d!", "a\u2003b, c;"):
+        assert coder.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_round_trip(spark, sf, table):
     from tokenizers import Tokenizer
 
