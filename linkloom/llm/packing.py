@@ -19,7 +19,8 @@ import sys
 import zlib
 from array import array
 from functools import lru_cache
-from unicodedata import is_normalized
+from itertools import groupby
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pandas as pd
@@ -78,15 +79,22 @@ OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 #: The characters that OTHER_SPACE finds: to look for each of them in a text takes less time than the pattern.
 OTHER_SPACES = tuple(c for c in map(chr, range(0x3001)) if OTHER_SPACE.match(c))
 OTHER_ASCII_SPACES = tuple(c for c in OTHER_SPACES if c.isascii())
-#: What the merges below are right for. A vocabulary that says something else is refused.
+#: White space to the tokenizer, too; to it, the four separators of ASCII are marks like others.
+TO_SPACE = {ord(c): " " for c in OTHER_SPACES if c not in "\x1c\x1d\x1e\x1f"}
+BASIC = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+WIDE = re.compile("[\U00010000-\U0010ffff]")
+#: Characters of BASIC that Python's Unicode doesn't know, while the tokenizer's may.
+UNKNOWN = re.compile("[" + "".join(c for c in BASIC if category(c) == "Cn") + "]")
+#: What the steps below are right for. A vocabulary that says something else is refused.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def merge_engine(spec: dict):
-    """tiktoken's engine with the merges of the vocabulary.
+    """tiktoken's engine with the merges of the vocabulary: a function from pieces, each with a space behind it, to their ids.
 
-    It knows single bytes only. The last byte of a piece, which the vocabulary holds as a symbol of its own, is therefore
-    followed by 0xFF, which UTF-8 never holds; a byte and 0xFF merge before all others.
+    The engine knows single bytes only. The last byte of a piece, which the vocabulary holds as a symbol of its own, is told by
+    the space, which no piece holds; a byte and the space merge before all others.
     """
     import tiktoken
 
@@ -94,21 +102,51 @@ def merge_engine(spec: dict):
     shown = dict(zip(printable, map(chr, printable), strict=True)) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
     vocabulary = spec["model"]["vocab"]
     end = spec["model"]["end_of_word_suffix"]
-    written = {shown[b]: bytes((b,)) for b in range(256)} | {shown[b] + end: bytes((b, 0xFF)) for b in range(256)}
+    written = {shown[b]: bytes((b,)) for b in range(256)} | {shown[b] + end: bytes((b, 0x20)) for b in range(256)}
     ranks = {data: vocabulary[symbol] for symbol, data in written.items()}
     for pair in spec["model"]["merges"]:
         left, right = pair if isinstance(pair, list) else pair.split(" ")
         written[left + right] = written[left] + written[right]
         ranks[written[left + right]] = vocabulary[left + right]
     singles, merged = list(ranks.values())[:512], list(ranks.values())[512:]
-    if merged != sorted(merged) or max(singles) > 511 or max(ranks[bytes((b,))] for b in range(256)) > min(ranks[bytes((b, 0xFF))] for b in range(256)):
+    if merged != sorted(merged) or max(singles) > 511 or max(ranks[bytes((b,))] for b in range(256)) > min(ranks[bytes((b, 0x20))] for b in range(256)):
         raise ValueError("the ids do not follow the merges")
-    return tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    if len(ranks) != 512 + len(spec["model"]["merges"]):
+        raise ValueError("a merge holds white space, or two make the same symbol")
+    # The engine looks for one special string at least; no line end is left in what it gets.
+    encoding = tiktoken.Encoding("pieces", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={"\n": 1 << 30})
+
+    def engine(pieces: str) -> bytes:
+        return encoding.encode_to_numpy(pieces, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    return engine
+
+
+def piece_cutter(pattern: str):
+    """A function that puts spaces round every piece of a lower-cased text that is no run of letters, if its only white space is
+    the space: what is between spaces then are the pieces of the pattern."""
+    import regex
+
+    if pattern != PIECES:
+        raise ValueError("not the pieces that this operator knows")
+
+    def cutter(characters: str):
+        letters, numbers = ("".join(f"{run[0]}-{run[-1]}" for run in regex.findall(kind, characters)) for kind in (r"\p{L}+", r"\p{N}+"))
+        # The pattern without its runs of letters, led by one set of characters, which `re` finds fast.
+        found = rf"[^ {letters}](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<![{numbers}])[^ {letters}{numbers}]*|)"
+        return re.compile(found).sub
+
+    ascii, basic, wide = cutter(BASIC[:128]), cutter(BASIC), cutter(BASIC + "".join(map(chr, range(0x10000, 0x110000))))
+
+    def cut(text: str) -> str:
+        return (ascii if text.isascii() else wide if WIDE.search(text) else basic)(r" \g<0> ", text)
+
+    return cut
 
 
 @lru_cache(2)
 def loaded(path: str):
-    """(tokenizer, engine, pattern, special strings) of the vocabulary: of a fixed size, so a worker keeps them."""
+    """(tokenizer, engine, cutter, special strings) of the vocabulary: of a fixed size, so a worker keeps them."""
     import json
 
     from tokenizers import Tokenizer
@@ -119,7 +157,7 @@ def loaded(path: str):
     split = spec["pre_tokenizer"]["pretokenizers"]
     if steps != NORMALIZERS or [x["type"] for x in split] != ["Split", "ByteLevel"] or spec["model"]["type"] != "BPE" or any(x["normalized"] for x in spec["added_tokens"]):
         raise ValueError(f"{path}: neither the normaliser nor the pre-tokenizer that this operator knows")
-    return Tokenizer.from_file(path), merge_engine(spec), split[0]["pattern"]["Regex"], tuple(x["content"] for x in spec["added_tokens"])
+    return Tokenizer.from_file(path), merge_engine(spec), piece_cutter(split[0]["pattern"]["Regex"]), tuple(x["content"] for x in spec["added_tokens"])
 
 
 class Recent(dict):
@@ -143,76 +181,59 @@ def has_other_space(text: str) -> bool:
     return False
 
 
-class PieceIds(Recent):
-    """Piece of the pre-tokeniser (normalised, without white space) to its ids as little-endian 32-bit bytes."""
+def small(text: str) -> str:
+    """Lower-cased as the tokenizer does it; Python alone lowers a sigma at the end of a word in its own way."""
+    return text.replace("\u03a3", "\u03c3").lower()
 
-    def __init__(self, engine, room: int):
-        super().__init__(room)
-        self.engine = engine
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array("I", self.engine(piece.encode() + b"\xff")).tobytes()
-        if len(piece) <= 64:
-            if len(self) < self.room:
-                self[piece] = ids
-            else:
-                self.keep(piece, ids)
-        return ids
+def is_plain(text: str) -> bool:
+    """Whether Python can tell the normal form: marks may compose anew once their letter is small."""
+    if text.isascii():
+        return True
+    if UNKNOWN.search(text) or any(category(c) == "Cn" for c in set(WIDE.findall(text))):
+        return False
+    return is_normalized("NFC", text) and is_normalized("NFC", small(text))
 
 
 class ChunkIds(Recent):
-    """White-space separated chunk to its ids as little-endian 32-bit bytes. The vocabulary never merges over white space.
+    """Texts to their ids as little-endian 32-bit bytes. The vocabulary never merges over white space.
 
-    A chunk whose normal form Python can tell is cut into pieces here; any other goes through the tokenizer itself. So does a
-    whole text that holds one of the vocabulary's special strings: as in the tokenizer's own call, they become special ids.
+    A text whose normal form Python can tell is cut into pieces here, and all of them go through the engine in one call. Of any
+    other text, the chunks between white space for which that can't be told go through the tokenizer itself, and recent ones are
+    kept. So does a whole text that holds one of the vocabulary's special strings: as in the tokenizer's own call, they become
+    special ids.
     """
 
     def __init__(self, path: str, room: int = 100_000):
-        import regex
-
         super().__init__(room)
-        self.tokenizer, engine, pattern, self.special = loaded(path)
-        self.pieces, self.split = PieceIds(engine, room), regex.compile(pattern).findall
-        self.clean = False  # the text at hand has no white space but the common one
+        self.tokenizer, self.engine, self.cut, self.special = loaded(path)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self.of_chunk(chunk)
+            ids = self.by_tokenizer(chunk)
         if len(chunk) <= 64:  # longer ones hardly come again
-            if len(self) < self.room:
-                self[chunk] = ids
-            else:
-                self.keep(chunk, ids)
+            self.keep(chunk, ids)
         return ids
 
-    def of_chunk(self, chunk: str) -> bytes:
-        small = chunk.lower()
-        if chunk.isascii():
-            if small.isalpha():
-                return self.pieces[small]
-            if small[:-1].isalpha() and not small[-1].isalnum() and (self.clean or not small[-1].isspace()):  # a word and a mark
-                return self.pieces[small[:-1]] + self.pieces[small[-1]]
-            plain = self.clean or not OTHER_SPACE.search(chunk)
-        else:
-            # Python lowers a sigma at the end of a word in its own way; marks may compose anew once their letter is small.
-            plain = "\u03a3" not in chunk and is_normalized("NFC", chunk) and is_normalized("NFC", small) and (self.clean or not OTHER_SPACE.search(chunk))
-        if plain:
-            return b"".join(map(self.pieces.__getitem__, self.split(small)))
-        return self.by_tokenizer(chunk)
-
     def by_tokenizer(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def of_plain(self, text: str) -> bytes:
+        return self.engine(self.cut(small(text).replace("\n", " ").replace("\t", " ").replace("\r", " ")) + " ")
+
+    def of_block(self, text: str) -> bytes:
+        if has_other_space(text):
+            text = text.translate(TO_SPACE)
+        if is_plain(text):
+            return self.of_plain(text)
+        runs = groupby(filter(None, COMMON_SPACE.split(text)), is_plain)
+        return b"".join(self.of_plain(" ".join(run)) if plain else b"".join(map(self.__getitem__, run)) for plain, run in runs)
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.by_tokenizer(text)
-        self.clean = not has_other_space(text)
-        if not self.clean:  # str.split would cut more than the tokenizer does
-            return b"".join(b"".join(map(self.__getitem__, filter(None, COMMON_SPACE.split(block)))) for block in blocks(text))
-        return b"".join(b"".join(map(self.__getitem__, block.split())) for block in blocks(text))
+        return b"".join(map(self.of_block, blocks(text)))
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

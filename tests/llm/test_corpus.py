@@ -221,6 +221,28 @@ def test_packing_of_other_spaces_and_marks():
         assert coder.encode(text) == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_cuts_a_text_at_once():
+    coder, calls = packing.ChunkIds(WORD), []
+    engine = coder.engine
+    coder.engine = lambda pieces: calls.append(pieces) or engine(pieces)
+    text = " ".join(f"W\u00f6rter{k}'s, \u039f\u0394\u039f\u03a3 a\u00a0b\x1cc \U0001f642d {k}!'re\n" for k in range(400))
+    assert coder.encode(text) == np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() and len(calls) == 1
+    assert len(coder) == 0  # no chunk of it went through the tokenizer
+
+
+def test_packing_of_characters_newer_than_python():
+    coder = packing.ChunkIds(WORD)
+    for c in "\u088f\u0c5c\u1c89\ua7cb\ua7da\u1c8a\U00010d58\U00010940\U00016d66\U000187fe\U0001e6da\ufffe":
+        text = f"a{c}b {c}1{c}'s e\u0301{c} \U0001f642{c}"
+        assert coder.encode(text) == np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(c)
+
+
+def test_recent_ids_of_the_tokenizer_come_back():
+    small, large = packing.ChunkIds(WORD, 3), packing.ChunkIds(WORD)
+    text = "".join(f"plain {w}e\u0301, " for w in "a b c a d e a b f g b h a".split()) * 2 + "e\u0301" * 70
+    assert small.encode(text) == large.encode(text) == large.by_tokenizer(text) and len(small) <= 3 and len(large) == 8
+
+
 def test_packing_round_trip(spark, sf, table):
     from tokenizers import Tokenizer
 
